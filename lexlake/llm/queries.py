@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, quality, token_files, toxicity
+from . import bpe, media, packing, pii, quality, simhash, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest, folder, with_ids=False)
 
 
+def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -45,5 +49,5 @@ def op10_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op4_speculative_bpe, op5_media_columns, op6_token_files, op8_bradley_terry_quality, op9_sum_of_squares_packing, op10_crf_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op4_speculative_bpe, op5_media_columns, op6_token_files, op7_golay_simhash, op8_bradley_terry_quality, op9_sum_of_squares_packing, op10_crf_personal_data)}
 SQL: dict[str, str] = {}
