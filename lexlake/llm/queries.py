@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, pii, quality, simhash, substrings, token_files, toxicity
+from . import bpe, fingerprints, media, packing, pii, quality, simhash, substrings, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op3_relative_lempel_ziv, op4_speculative_bpe, op5_media_columns, op6_token_files, op7_golay_simhash, op8_bradley_terry_quality, op9_sum_of_squares_packing, op10_crf_personal_data)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op2_canonical_digest, op3_relative_lempel_ziv, op4_speculative_bpe, op5_media_columns, op6_token_files, op7_golay_simhash, op8_bradley_terry_quality, op9_sum_of_squares_packing, op10_crf_personal_data)}
 SQL: dict[str, str] = {}
