@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .bytelevel import byte_alphabet
 from .shared import batches, pairs, texts
 from .words import packed
 
@@ -26,13 +27,6 @@ _NEVER = np.int64(1) << 40
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
-    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    moved = iter(range(256, 512))
-    return [chr(b) if b in set(kept) else chr(next(moved)) for b in range(256)]
-
-
 class SpeculativeBPE:
     """Encodes and decodes as the tokenizers library does with the BPE file at `path`.
 

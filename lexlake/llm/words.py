@@ -1,4 +1,4 @@
-"""Ids of whole texts as the tokenizers library gives them, through a cache of the pieces between spaces."""
+"""Ids of whole texts as the tokenizers library gives them, through caches of the pieces between spaces."""
 
 from __future__ import annotations
 
@@ -8,11 +8,15 @@ import sys
 from array import array
 from functools import lru_cache
 
+from .bytelevel import byte_alphabet
 from .shared import one_thread
 
 #: A space before which a byte-level tokenizer may not be cut: one that white space or the end follows.
 _GAP = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_BYTES = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+CACHED = 700_000
 
 
 class ChunkEncoder:
@@ -20,11 +24,12 @@ class ChunkEncoder:
 
     A text is cut only where neither pre-tokenizer of the two known kinds can join what stands on either side:
     before a space that a non-space follows (byte level; the space goes to the right piece), or at any space
-    (a split that drops white space). Every distinct piece is encoded by the library once. Other kinds of
-    tokenizer get whole texts. The cache holds at most `limit` pieces besides those of one text.
+    (a split that drops white space). Each distinct piece is encoded by the library when it first comes: plain
+    Latin words by its model alone, all else by its whole encode(). Other kinds of tokenizer get whole texts.
+    The caches hold at most CACHED pieces.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = CACHED):
         one_thread()
         from tokenizers import Tokenizer
 
@@ -35,11 +40,11 @@ class ChunkEncoder:
             conf = json.load(f)
         pre = conf.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
-        self.spaced = conf.get("normalizer") is None and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
-        self.dropped = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and r"[^\s" in json.dumps(steps[0]["pattern"]).replace("\\\\", "\\")
-        self.limit = limit
-        self.cache: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        kinds = [n["type"] for n in (conf.get("normalizer") or {}).get("normalizers", [])]
+        self.spaced = conf.get("normalizer") is None and [s.get("type") for s in steps] == ["ByteLevel"] and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
+        self.dropped = kinds == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.first = _Pieces(self, "", limit // 2)
+        self.later = _Pieces(self, " " if self.spaced else "", limit)
 
     def whole(self, text: str) -> bytes:
         return packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -49,25 +54,42 @@ class ChunkEncoder:
             return b""
         if self.spaced:
             pieces = _CUT.split(text) if _GAP.search(text) else text.split(" ")
-            if (head := self.first.get(pieces[0])) is None:
-                if len(self.first) >= self.limit:
-                    self.first.clear()
-                head = self.first[pieces[0]] = self.whole(pieces[0])
-            return head + self._joined(pieces[1:], " ")
+            return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
         if self.dropped:
-            return self._joined(text.split(" "), "")
+            return b"".join(map(self.later.__getitem__, text.replace("\n", " ").split(" ")))
         return self.whole(text)
 
-    def _joined(self, pieces: list[str], lead: str) -> bytes:
-        try:
-            return b"".join([self.cache[p] for p in pieces])
-        except KeyError:
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            new = [p for p in set(pieces) if p not in self.cache]
-            for p, e in zip(new, self.library.encode_batch_fast([lead + p for p in new], add_special_tokens=False), strict=True):
-                self.cache[p] = packed(e.ids)
-            return b"".join([self.cache[p] for p in pieces])
+
+class _Pieces(dict):
+    """Ids of pieces, `lead` before each; found when first asked for."""
+
+    def __init__(self, owner: ChunkEncoder, lead: str, limit: int):
+        super().__init__()
+        self.owner, self.limit = owner, limit
+        self.lead, self.mapped_lead = lead, lead.translate(_BYTES)
+        self.tokenize = owner.library.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        got = self[piece] = self._ids(piece)
+        return got
+
+    def _ids(self, piece: str) -> bytes:
+        if _LATIN.fullmatch(piece):
+            return self._word(piece)
+        if piece[-1:] in (".", ",") and _LATIN.fullmatch(piece, 0, len(piece) - 1):
+            return self._word(piece[:-1]) + self.owner.first[piece[-1]]
+        parts = piece.split("\n")
+        if len(parts) > 1 and self.owner.spaced and all(p and p.split() == [p] for p in parts):
+            return self[parts[0]] + b"".join([self.owner.first["\n"] + self.owner.first[p] for p in parts[1:]])
+        return self.owner.whole(self.lead + piece)
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower() if self.owner.dropped else word
+        if not low.isalpha():
+            return self.owner.whole(self.lead + word)
+        return packed([t.id for t in self.tokenize(self.mapped_lead + low.encode().decode("latin-1").translate(_BYTES))])
 
 
 def packed(ids: list[int]) -> bytes:
@@ -79,5 +101,5 @@ def packed(ids: list[int]) -> bytes:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
-    """One for each Python worker: its cache serves all tasks that the worker gets."""
+    """One for each Python worker: its caches serve all tasks that the worker gets."""
     return ChunkEncoder(path)
