@@ -10,18 +10,22 @@ ordered choices), or the codeword indices of all three segments.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches, pairs, partitions, stored, texts
+from .shared import batches, pairs, partitions, stored, text_key, texts
 
 RADIUS = 3
+#: For near copies of texts: differing bits of the words' fingerprint that the pair keys always find, and of the 128
+#: bits of five-word shingles. Texts with a share s of shingles in common differ in 128 * acos(2s / (1 + s)) / pi of these on
+#: average: 19 at a similarity of 0.8, 25 at 0.7.
+WORD_RADIUS, SHINGLE_RADIUS = 6, 22
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CUTS = ((0, 22), (22, 21), (43, 21))
 ORDERED = [(a, b) for a in range(3) for b in range(3) if a != b]
@@ -48,6 +52,25 @@ def shingle_fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def near_prints(text: str | None) -> tuple[int, int, int]:
+    """For near copies of texts: a fingerprint of the distinct words, in which an edited word costs little, and 128
+    bits of the distinct five-word shingles, whose distance tells the share of shingles in common."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return 0, 0, 0
+    digest, five = xxhash.xxh64_intdigest, min(5, len(words))
+    own = np.array([digest(w, 42) for w in {*words}], "<u8")
+    shingles = np.array([[(d := xxhash.xxh128_intdigest(b" ".join(words[k : k + five]))) & 0xFFFFFFFFFFFFFFFF, d >> 64] for k in range(len(words) - five + 1)], "<u8")
+    shingles = np.unique(shingles, axis=0)
+    return majority(own), majority(np.ascontiguousarray(shingles[:, 0])), majority(np.ascontiguousarray(shingles[:, 1]))
+
+
 def signed(x: int) -> int:
     """64 bits as Spark's long."""
     return x - (1 << 64) if x >> 63 else x
@@ -123,6 +146,43 @@ def golay_keys(fp: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.nda
     yield row, tag | (np.repeat(i0, count) << np.uint64(24)) | (own[1][row] << np.uint64(12)) | other, 1
 
 
+def pair_keys(fp: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The same for five differing bits: two of the three segments have at most two each, or one each, so neighbours of
+    both sides meet under the codeword indices of some two segments. Every row finds and looks (role 2)."""
+    n = len(fp)
+    near = []
+    for k, (_, bits) in enumerate(CUTS):
+        part = segment(fp, k)
+        around = np.stack([code.index(part), *(code.index(part ^ np.uint64(1 << j)) for j in range(bits))], axis=1)
+        around.sort(axis=1)
+        fresh = np.ones_like(around, bool)
+        fresh[:, 1:] = around[:, 1:] != around[:, :-1]
+        row, col = np.nonzero(fresh)
+        near.append((row, around[row, col]))
+    for tag, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+        (ra, ia), (rb, ib) = near[a], near[b]
+        first = np.searchsorted(rb, np.arange(n + 1))
+        count = np.diff(first)[ra]
+        other = ib[np.repeat(first[ra], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        yield np.repeat(ra, count), (np.uint64(tag) << np.uint64(24)) | (np.repeat(ia, count) << np.uint64(12)) | other, 2
+
+
+def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of fingerprints (one column, or words and shingles), broadcast against each other."""
+    d = np.bitwise_count(a ^ b)
+    if d.shape[-1] == 1:
+        return d[..., 0] <= RADIUS
+    return (d[..., 0] <= WORD_RADIUS) & (d[..., 1:].sum(-1, dtype=np.int64) <= SHINGLE_RADIUS)
+
+
+def node_ids(prints: np.ndarray) -> np.ndarray:
+    """A node for each fingerprint: itself, or 64 bits of several columns."""
+    out = prints[:, 0].copy()
+    for k in range(1, prints.shape[1]):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + prints[:, k] * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
 class Union:
     """Union-find over small integers."""
 
@@ -136,15 +196,17 @@ class Union:
         return x
 
 
-def forest(found: np.ndarray, looking: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def forest(prints: np.ndarray, role: np.ndarray) -> np.ndarray:
     """Links between the fingerprints of one key that keep all its connections: fewer than it has fingerprints."""
-    nodes, where = np.unique(np.concatenate([found, looking]), return_inverse=True)
-    f, q = where[: len(found)], where[len(found) :]
+    nodes, at, where = np.unique(prints, axis=0, return_index=True, return_inverse=True)
+    where = where.reshape(-1)
+    f, q = np.unique(where[role != 1]), np.unique(where[role != 0])
+    ids = node_ids(nodes)
     sets, links = Union(len(nodes)), []
     label = np.arange(len(nodes))
     for k in range(0, len(q), 256):
         part = q[k : k + 256]
-        x, y = np.nonzero(np.bitwise_count(nodes[part][:, None] ^ nodes[f][None, :]) <= radius)
+        x, y = np.nonzero(close(nodes[part][:, None, :], nodes[f][None, :, :]))
         x, y = part[x], f[y]
         open_ = label[x] != label[y]
         if not open_.any():
@@ -155,22 +217,25 @@ def forest(found: np.ndarray, looking: np.ndarray, radius: int = RADIUS) -> np.n
             if ra != rb:
                 # The roots stand for two groups that the pair joins; a link between roots joins them as well.
                 sets.up[max(ra, rb)] = min(ra, rb)
-                links.append((nodes[max(ra, rb)], nodes[min(ra, rb)]))
+                links.append((ids[max(ra, rb)], ids[min(ra, rb)]))
         label = np.array([sets.root(i) for i in label])
     return np.array(links, np.uint64).reshape(-1, 2)
 
 
-_KEYED = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("fp", pa.int64()), ("role", pa.int8())])
 _HOT = pa.schema([("key", pa.int64()), ("role", pa.int8()), ("n", pa.int64())])
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-KeyFunction = Callable[[np.ndarray, Golay], Iterator[tuple[np.ndarray, np.ndarray, int]]]
 
 
 def _numbers(batch: pa.RecordBatch, k: int, kind: str = "u8") -> np.ndarray:
-    return batch.column(k).to_numpy(zero_copy_only=False).view(kind) if kind == "u8" else batch.column(k).to_numpy(zero_copy_only=False)
+    got = batch.column(k).to_numpy(zero_copy_only=False)
+    return got.view("u8") if kind == "u8" else got
+
+
+def _prints(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([_numbers(batch, k) for k in range(first, batch.num_columns)], axis=1)
 
 
-def hot_keys(fps: DataFrame) -> dict[tuple[int, int], int]:
+def hot_keys(fps: DataFrame, keys) -> dict[tuple[int, int], int]:
     """Keys that hold many of all rows, with how many blocks they are cut into: MOST_HOT at most, the bound of what is sent to tasks.
 
     Each task names only keys with a share of its own rows that a hot key has; missing one costs balance, never links.
@@ -179,7 +244,7 @@ def hot_keys(fps: DataFrame) -> dict[tuple[int, int], int]:
     def run(got):
         code, held, rows = Golay(), {}, 0
         for batch in got:
-            for _, key, role in golay_keys(_numbers(batch, 0), code):
+            for _, key, role in keys(_numbers(batch, 0), code):
                 rows += len(key)
                 k, n = np.unique(key, return_counts=True)
                 for x, c in zip(k[n > 16].tolist(), n[n > 16].tolist(), strict=True):
@@ -191,78 +256,94 @@ def hot_keys(fps: DataFrame) -> dict[tuple[int, int], int]:
     return {(r.key, r.role): -(-r.n // BLOCK) for r in rows}
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Of distinct fingerprints (column fp): links (a, b) that connect all within RADIUS bits, and only such.
+def near_links(fps: DataFrame, keys=golay_keys) -> DataFrame:
+    """Of distinct fingerprints (one column, or three for near copies): links (a, b) of nodes that connect all close ones, and only such.
 
     A group of n fingerprints under one key gives less than n links, not all its pairs. A hot key is cut into
     blocks on both sides; a task compares two blocks.
     """
-    hot = hot_keys(fps)
+    hot = hot_keys(fps, keys)
     n = partitions(fps)
+    cols = [f"p{k}" for k in range(len(fps.columns))]
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int32()), ("role", pa.int8()), *((c, pa.int64()) for c in cols)])
+
+    def row_batch(key: np.ndarray, block: np.ndarray, role: int, prints: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(block), pa.array(np.full(len(key), role, np.int8)), *(pa.array(np.ascontiguousarray(prints[:, k]).view("i8")) for k in range(len(cols)))], schema=schema)
 
     def keyed(got):
         code = Golay()
         for batch in got:
-            fp = _numbers(batch, 0)
-            for at, key, role in golay_keys(fp, code):
-                block = np.zeros(len(key), np.int32)
-                if hot:
-                    for k in {x for x, _ in hot}:
-                        some = np.flatnonzero(key == k)
-                        if not len(some):
+            all_prints = _prints(batch, 0)
+            for begin in range(0, len(all_prints), 2048):
+                prints = all_prints[begin : begin + 2048]
+                for at, key, role in keys(prints[:, 0], code):
+                    block = np.zeros(len(key), np.int32)
+                    some = np.flatnonzero(np.isin(key, np.array([k for k, _ in hot], np.int64).view("u8"))) if hot else np.zeros(0, np.int64)
+                    for k in np.unique(key[some]).tolist():
+                        mine = some[key[some] == k]
+                        row = prints[at[mine]]
+                        own = node_ids(row) % np.uint64(1000003)
+                        name = signed(k)
+                        if role == 2:
+                            # Blocks x <= y of one list: a row of block b is in all pairs with b.
+                            m = hot.get((name, 2), 1)
+                            b = (own % np.uint64(m)).astype(np.int32)
+                            block[mine] = b * m + b
+                            for j in range(m):
+                                other = b != j
+                                if other.any():
+                                    yield row_batch(key[mine][other], np.minimum(b, j)[other] * m + np.maximum(b, j)[other], role, row[other])
                             continue
-                        mine, theirs = hot.get((k, role), 1), hot.get((k, 1 - role), 1)
-                        own = (fp[at[some]] % np.uint64(1000003) % np.uint64(mine)).astype(np.int32)
+                        ours, theirs = hot.get((name, role), 1), hot.get((name, 1 - role), 1)
                         # Block number: found-by block x looking blocks + looking block.
-                        step, other = (theirs, 1) if role == 0 else (1, mine)
-                        block[some] = own * step
+                        step, other = (theirs, 1) if role == 0 else (1, ours)
+                        base = (own % np.uint64(ours)).astype(np.int32) * np.int32(step)
+                        block[mine] = base
                         for j in range(1, theirs):
-                            more = (own * step + j * other).astype(np.int32)
-                            yield _keyed(key[some], more, fp[at[some]], role)
-                yield _keyed(key, block, fp[at], role)
+                            yield row_batch(key[mine], base + np.int32(j * other), role, row)
+                    yield row_batch(key, block, role, prints[at])
 
     def linked(got):
-        held: list[np.ndarray] = [np.zeros(0, "u8"), np.zeros(0, np.int32), np.zeros(0, "u8"), np.zeros(0, np.int8)]
+        held = None
         for batch in got:
-            held = [np.concatenate([h, _numbers(batch, k, kind)]) for k, (h, kind) in enumerate(zip(held, ("u8", "", "u8", ""), strict=True))]
+            new = (_numbers(batch, 0), _numbers(batch, 1, ""), _numbers(batch, 2, ""), _prints(batch, 3))
+            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
             last = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
             if len(last):
                 yield from _links_of(*(h[: last[-1] + 1] for h in held))
-                held = [h[last[-1] + 1 :] for h in held]
-        yield from _links_of(*held)
+                held = tuple(h[last[-1] + 1 :] for h in held)
+        if held is not None:
+            yield from _links_of(*held)
 
-    rows = fps.mapInArrow(keyed, "key long, block int, fp long, role byte")
+    ddl = ", ".join(f"{c} long" for c in cols)
+    rows = fps.mapInArrow(keyed, f"key long, block int, role byte, {ddl}")
     return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(linked, "a long, b long").distinct()
 
 
-def _keyed(key: np.ndarray, block: np.ndarray, fp: np.ndarray, role: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view("i8")), pa.array(block), pa.array(fp.view("i8")), pa.array(np.full(len(key), role, np.int8))], schema=_KEYED)
-
-
-def _links_of(key: np.ndarray, block: np.ndarray, fp: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _links_of(key: np.ndarray, block: np.ndarray, role: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Sorted by key and block; whole groups."""
     if not len(key):
         return
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
     size = np.diff(np.append(start, len(key)))
-    looking = np.add.reduceat(role.astype(np.int64), start)
-    both = (looking > 0) & (looking < size)
-    small = both & (size <= 16)
+    both = (np.add.reduceat((role != 0).astype(np.int64), start) > 0) & (np.add.reduceat((role != 1).astype(np.int64), start) > 0) & (size > 1)
+    small = both & (size <= 32)
     out = []
     if small.any():
-        # All pairs of the small groups at once: each row against those up to 15 places on.
+        # All pairs of the small groups at once: each row against those up to 31 places on.
         group = np.repeat(np.arange(len(start)), size)
         on = np.flatnonzero(np.repeat(small, size))
         for lag in range(1, int(size[small].max())):
-            x = on[on + lag < len(key)]
-            y = x + lag
-            near = (group[x] == group[y]) & (role[x] != role[y]) & (fp[x] != fp[y])
-            x, y = x[near], y[near]
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= RADIUS
-            out.append(np.stack([fp[x[near]], fp[y[near]]], axis=1))
-    for g in np.flatnonzero(both & (size > 16)):
+            on = on[on + lag < len(key)]
+            on = on[group[on] == group[on + lag]]
+            x, y = on, on + lag
+            some = (role[x] != role[y]) | (role[x] == 2)
+            x, y = x[some], y[some]
+            some = close(prints[x], prints[y]) & (prints[x] != prints[y]).any(1)
+            out.append(np.stack([node_ids(prints[x[some]]), node_ids(prints[y[some]])], axis=1))
+    for g in np.flatnonzero(both & (size > 32)):
         part = slice(start[g], start[g] + size[g])
-        out.append(forest(fp[part][role[part] == 0], fp[part][role[part] == 1]))
+        out.append(forest(prints[part], role[part]))
     links = np.concatenate(out) if out else np.zeros((0, 2), np.uint64)
     if len(links):
         links = np.unique(links, axis=0)
@@ -296,3 +377,37 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     classes = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(classes, "root").select(F.col("fp").alias("known"), "component_id")
     return prints.join(named, prints.fp == named.known).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_NEAR = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64())])
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near copies, all columns unchanged: that of the smallest id (null last, then by text hash).
+
+    Near are texts whose words' fingerprints differ in WORD_RADIUS bits or fewer (all pairs up to five are found,
+    most of six) and whose 128 bits of five-word shingles differ in SHINGLE_RADIUS or fewer, a similarity of about
+    0.8; groups are what links reach. Null and wordless texts are copies of each other. Of rows alike in id and
+    text one stays.
+    """
+
+    def run(got):
+        for batch in got:
+            def rows(batch=batch):
+                for i, text, tie in pairs(batch, "doc_id", "text", "tie"):
+                    p = near_prints(text)
+                    node = node_ids(np.array([p], np.uint64))[0]
+                    yield i, tie, signed(int(node)), *map(signed, p)
+
+            yield from batches(rows(), _NEAR)
+
+    prints = stored(texts(docs, id_col, text_col).withColumn("tie", text_key("text")).mapInArrow(run, "doc_id long, tie long, node long, p0 long, p1 long, p2 long"))
+    nodes = prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("p0", "p1", "p2")))
+    roots = components(near_links(stored(nodes.select("p0", "p1", "p2")), pair_keys))
+    rooted = prints.join(roots.select("node", "root"), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("tie"))).alias("first")
+    stay = rooted.groupBy("root").agg(first).select(F.col("first.unknown").alias("_unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.tie").alias("_tie"))
+    known = docs.withColumns({"_unknown": F.col(f"`{id_col}`").isNull(), "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tie": text_key(F.col(f"`{text_col}`").cast("string"))})
+    one = known.join(stay, ["_unknown", "_id", "_tie"], "left_semi")
+    by = Window.partitionBy("_unknown", "_id", "_tie").orderBy(F.lit(0))
+    return one.withColumn("_row", F.row_number().over(by)).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
