@@ -47,7 +47,7 @@ def human_size(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB"), 1):
         size = 1024**k
-        out = F.when(n >= size, F.concat(F.format_number(F.floor(n * 10 / size) / 10, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= size, F.format_string(f"%.1f {unit}", F.floor(n * 10 / size) / 10)).otherwise(out)
     return out
 
 
@@ -57,7 +57,7 @@ def roman_value(roman: Column) -> Column:
     value = F.create_map(*(F.lit(x) for pair in (("I", 1), ("V", 5), ("X", 10), ("L", 50), ("C", 100), ("D", 500), ("M", 1000)) for x in pair))
     each = F.transform(signs, lambda c: value[c])
     signed = F.zip_with(each, F.concat(F.slice(each, 2, 1 << 20), F.array(F.lit(0))), lambda a, b: F.when(a < b, -a).otherwise(a))
-    return F.aggregate(signed, F.lit(0), lambda s, x: s + x)
+    return F.when(F.size(signs) == 0, 0).otherwise(F.aggregate(signed, F.lit(0), lambda s, x: s + x))
 
 
 def blob_sha(content: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import queries as _retrieval  # noqa: F401  each module adds its queries
+from . import more as _more  # noqa: F401  adds its queries
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
