@@ -12,7 +12,6 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bytelevel import byte_alphabet
-from .shared import batches, pairs, texts
+from .shared import batches, cached, pairs, texts
 from .words import packed
 
 _NEVER = np.int64(1) << 40
@@ -175,10 +174,9 @@ class SpeculativeBPE:
         mapped = ["".join([self.alphabet[b] for b in w.encode("utf-8", "replace")]) for w in words]
         tried = [self.propose(w) for w in mapped]
         flat = np.array([t for x in tried for t in x], np.int64)
-        ends = np.cumsum([len(x) for x in tried])
         fine = np.ones(len(words), bool)
         fine[[k for k, x in enumerate(tried) if not x]] = False
-        owner = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+        owner = np.repeat(np.arange(len(words)), np.array([len(x) for x in tried], np.int64))
         fine[owner[~self.whole[flat]]] = False
         inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) > 1 else np.zeros(0, np.int64)
         kinds, which = np.unique(flat[inside] * self.n + flat[inside + 1], return_inverse=True)
@@ -242,10 +240,9 @@ class SpeculativeBPE:
             self.chunks[p] = (packed(ids), "".join([" " + self.token[i] for i in ids]))
 
 
-@lru_cache(maxsize=4)
 def coder(path: str) -> SpeculativeBPE:
     """One for each Python worker."""
-    return SpeculativeBPE(path)
+    return cached("bpe", path, lambda: SpeculativeBPE(path))
 
 
 CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
