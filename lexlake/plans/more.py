@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.dims import MONTHS
 from ..operators import citations as ci
+from ..operators import embedding as em
 from ..operators import identity as idn
+from ..operators import pipeline as pl
 from ..operators import reports as rp
+from ..operators import retrieval as rt
 from ..sources import html
 from ..streaming import limits, markers
 from .queries import Tables, query
@@ -239,3 +242,48 @@ def marker_stream(t: Tables) -> DataFrame:
     c = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), text.alias("text"))
     cut = c.select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 17)), lambda k: F.substring(F.col("text"), (k * 17 + 1).cast("int"), F.lit(17)))).alias("seq", "delta"))
     return markers.split_streams(cut.select("stream_id", F.col("seq").cast("long").alias("seq"), "delta"))
+
+
+@query(r"""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('CAPO ', doc_id % 9, ' - CAPO ', doc_id % 9, ' ', source) WHEN 1 THEN concat('CAPO ', doc_id % 9, ' CAPO ', doc_id % 7, ' ', source) ELSE concat('Titolo ', source) END AS label, concat('[', source, '](http://x/', doc_id, ') di  legge (18G000', doc_id % 90 + 10, ')') AS title FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 9 = doc_id % 7) THEN regexp_replace(label, '^CAPO \d+ (- )?', '') ELSE label END AS label, concat(regexp_extract(title, '\[([^\]]*)\]', 1), ' di legge') AS title FROM x""")
+def label_cleanup(t: Tables) -> DataFrame:
+    """UI-06, CHK-08/09."""
+    d = t("documents")
+    k = lambda n: (F.col("doc_id") % n).cast("string")
+    label = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CAPO "), k(9), F.lit(" - CAPO "), k(9), F.lit(" "), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("CAPO "), k(9), F.lit(" CAPO "), k(7), F.lit(" "), "source")).otherwise(F.concat(F.lit("Titolo "), "source"))
+    title = F.concat(F.lit("["), "source", F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") di  legge (18G000"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(")"))
+    return d.select("doc_id", tx.partition_label(label).alias("label"), tx.clean_title(title).alias("title"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS act, l_linenumber AS article, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) - 1 AS split_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS legal_no FROM lineitem),
+k AS (SELECT *, concat('a', act, '#', article, '#', split_no) AS chunk_id FROM c),
+r AS (SELECT o_orderkey AS query_id, o_orderkey AS act, o_orderkey % 4 AS article FROM orders WHERE o_orderkey % 20 = 0),
+e AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY split_no, chunk_id) AS rank, 0 AS tier FROM r JOIN k ON k.act = r.act AND k.article = r.article WHERE r.article > 0 QUALIFY rank <= 12),
+b AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY legal_no, chunk_id) AS rank, 2 AS tier FROM r JOIN k ON k.act = r.act WHERE r.article = 0 QUALIFY rank <= 2),
+h AS (SELECT query_id, k.chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY k.l_partkey, k.chunk_id) AS rank, 1 AS tier FROM r JOIN k ON k.act = r.act QUALIFY rank <= 3),
+u AS (SELECT query_id, id, min((tier, rank)) AS a FROM (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM h) GROUP BY 1, 2)
+SELECT query_id, id, a[1]::BIGINT AS tier, row_number() OVER (PARTITION BY query_id ORDER BY a[1], a[2], id) AS position FROM u QUALIFY position <= 7""")
+def retrieve_tiers(t: Tables) -> DataFrame:
+    """RET-08/12/13, TOP-03/06: orders as acts, their lines as chunks."""
+    c = t("lineitem").select(F.concat(F.lit("a"), F.col("l_orderkey").cast("string")).alias("act_ref"), F.col("l_linenumber").cast("string").alias("article"), "l_orderkey", "l_linenumber", "l_partkey")
+    c = c.withColumn("split_no", F.row_number().over(Window.partitionBy("act_ref", "article").orderBy("l_partkey")) - 1).withColumn("legal_no", F.row_number().over(Window.partitionBy("act_ref").orderBy("l_linenumber", "l_partkey")))
+    c = c.withColumn("chunk_id", F.concat_ws("#", "act_ref", "article", F.col("split_no").cast("string")))
+    o = t("orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("act_ref"), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 4).cast("string")).alias("article"), F.lit(1).alias("ref_no"))
+    hybrid = rt.top_per(o.select("query_id", "act_ref").join(c, "act_ref"), ["query_id"], [F.asc("l_partkey"), F.asc("chunk_id")], 3)
+    return pl.retrieve(o, c, hybrid.select("query_id", F.col("chunk_id").alias("id"), "rank"), 3)
+
+
+@query(None)
+def follow_citations(t: Tables) -> DataFrame:
+    """RET-09, EXT-05..09: documents as articles whose texts cite the next ones."""
+    n = F.col("doc_id")
+    cite = F.concat(F.lit(" di cui all'articolo "), (n + 1).cast("string"), F.lit(" e all'art. "), (n + 2).cast("string"), F.lit(" della legge 7 agosto 1990, n. 241 "))
+    c = t("documents").select(n.cast("string").alias("chunk_id"), F.lit("legge-241-1990").alias("act_ref"), n.cast("string").alias("article"), F.lit(0).alias("split_no"), F.concat("text", cite).alias("text"))
+    hits = c.where("cast(chunk_id as long) % 100 = 0").withColumn("query_id", F.col("chunk_id").cast("long"))
+    return pl.follow_citations(hits, c, 6000)
+
+
+@query(None)
+def embed_texts(t: Tables) -> DataFrame:
+    """RET-06/07: the stand-in model's vectors."""
+    return em.embed(t("documents").select("doc_id", "text"), "text").select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
