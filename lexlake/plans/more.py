@@ -155,7 +155,8 @@ def header_identity(t: Tables) -> DataFrame:
     kind = F.when(F.col("o_orderkey") % 3 == 0, "LEGGE").when(F.col("o_orderkey") % 3 == 1, "DECRETO LEGISLATIVO").otherwise("REGIO DECRETO-LEGGE")
     title = F.concat(kind, F.lit(" "), (F.col("o_orderkey") % 28 + 1).cast("string"), F.lit(" "), month, F.lit(" "), (1950 + F.col("o_orderkey") % 70).cast("string"), F.lit(", n. "), F.col("o_orderkey").cast("string"), F.lit(" (18G00011)"))
     null = F.lit(None).cast("string")
-    r = t("orders").select("o_orderkey", idn.act_identity(title, null, null, F.lit("Leggi/x.md"), F.lit("legge")).alias("r"))
+    titled = t("orders").select("o_orderkey", title.alias("title"))
+    r = idn.with_identity(titled, F.col("title"), null, null, F.lit("Leggi/x.md"), F.lit("legge"), "r")
     return r.select("o_orderkey", "r.act_ref", "r.act_type", "r.year", F.col("r.date").cast("string").alias("date"), idn.act_label(F.col("r.act_ref")).alias("label"))
 
 

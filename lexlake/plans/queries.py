@@ -12,7 +12,6 @@ from ..functions import text as tx
 from ..operators import chunking as ch
 from ..operators import ingestion as ing
 from ..operators import parsing as pr
-from ..operators import reports as rp
 from ..operators import retrieval as rt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

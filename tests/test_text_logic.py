@@ -125,9 +125,8 @@ def test_identity(spark):
         (None, None, None, "x/Atto vario.md", "decreto-atto-vario", "filename"),
     ]
     df = spark.createDataFrame(rows, "title string, subtitle string, first string, path string, want string, source string")
-    r = identity.act_identity(*map(F.col, ("title", "subtitle", "first", "path")), F.lit("decreto"))
-    for row in df.select("*", r.alias("r")).collect():
-        assert (row.r.act_ref, row.r.source) == (row.want, row.source), row
+    for row in identity.with_identity(df, *map(F.col, ("title", "subtitle", "first", "path")), F.lit("decreto")).collect():
+        assert (row.identity.act_ref, row.identity.source) == (row.want, row.source), row
 
 
 def test_scalars(spark):
