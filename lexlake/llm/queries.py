@@ -58,4 +58,12 @@ def op10_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ordinal_toxicity, op2_canonical_digest, op3_relative_lempel_ziv, op4_speculative_bpe, op5_media_columns, op6_token_files, op7_golay_simhash, op8_bradley_terry_quality, op9_sum_of_squares_packing, op10_crf_personal_data)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_relative_lempel_ziv": r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+f AS (SELECT h, min((doc_id, s)) AS m FROM win GROUP BY 1),
+cov AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM win JOIN f USING (h) WHERE (doc_id, s) <> m)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+k AS (SELECT word.doc_id, count(*) AS kept, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN cov ON cov.doc_id = word.doc_id AND cov.p = word.p GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+}
