@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import batches, pairs, texts
+from .shared import batches, cached, pairs, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("other", *KINDS)
@@ -94,6 +94,8 @@ ISBN 978 and volume 22, no. 7
 order A-113 and part X200b shipped
 """.strip().splitlines()
 
+TOGETHER = 1 << 20
+
 _SPACE = re.compile(r"\S+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -410,23 +412,22 @@ FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIN
 
 
 def _found(texts_: list[str | None], tagger: Tagger) -> Iterator[tuple[list[Span], list[Span]]]:
-    """(base spans, added spans) of each text."""
-    given = [t or "" for t in texts_]
-    for text, labels in zip(given, tagger.label([t.split() for t in given]), strict=True):
-        base = base_spans(text)
-        yield base, added_spans(text, labels, base)
-
-
-_TAGGERS: dict[int, Tagger] = {}
+    """(base spans, added spans) of each text; so many are labelled at once as TOGETHER characters hold."""
+    held: list[str] = []
+    size = 0
+    for k, t in enumerate(texts_, 1):
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= TOGETHER or k == len(texts_):
+            for text, labels in zip(held, tagger.label([x.split() for x in held]), strict=True):
+                base = base_spans(text)
+                yield base, added_spans(text, labels, base)
+            held, size = [], 0
 
 
 def _tagger(field: Field) -> Tagger:
     """One for each Python worker: its cache serves all tasks that the worker gets."""
-    key = hash(field.own.tobytes())
-    if key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(field)
-    return _TAGGERS[key]
+    return cached("pii", field.own.tobytes(), lambda: Tagger(field))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,9 +442,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tagger = _tagger(field)
         for batch in got:
             rows = list(pairs(batch, "doc_id", "text"))
-            for k in range(0, len(rows), 1000):
-                part = rows[k : k + 1000]
-                yield from batches((_row(i, *f) for (i, _), f in zip(part, _found([t for _, t in part], tagger), strict=True)), FOUND)
+            yield from batches((_row(i, *f) for (i, _), f in zip(rows, _found([t for _, t in rows], tagger), strict=True)), FOUND)
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +72,28 @@ def pairs(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def cached(kind: str, key, make):
+    """What a Python worker keeps from task to task: of one operator at a time, so that their caches never add up."""
+    if (kind, key) not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            release_memory()
+        _HELD[kind, key] = make()
+    return _HELD[kind, key]
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the machine, where the C library can: workers outlive their tasks."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def one_thread() -> None:
     """A task has one core: libraries below must not start a thread for each core of the machine."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

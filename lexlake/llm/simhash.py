@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches, pairs, partitions, stored, text_key, texts
+from .shared import batches, pairs, partitions, release_memory, stored, text_key, texts
 
 RADIUS = 3
 #: For near copies of texts: differing bits of the words' fingerprint that the pair keys always find, and of the 128
@@ -302,6 +302,7 @@ def near_links(fps: DataFrame, keys=golay_keys) -> DataFrame:
                         for j in range(1, theirs):
                             yield row_batch(key[mine], base + np.int32(j * other), role, row)
                     yield row_batch(key, block, role, prints[at])
+        release_memory()
 
     def linked(got):
         held = None
@@ -314,6 +315,7 @@ def near_links(fps: DataFrame, keys=golay_keys) -> DataFrame:
                 held = tuple(h[last[-1] + 1 :] for h in held)
         if held is not None:
             yield from _links_of(*held)
+        release_memory()
 
     ddl = ", ".join(f"{c} long" for c in cols)
     rows = fps.mapInArrow(keyed, f"key long, block int, role byte, {ddl}")

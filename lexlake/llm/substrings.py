@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import batches, pairs, partitions, text_key
+from .shared import batches, pairs, partitions, release_memory, text_key
 
 WINDOW, GRAM = 20, 8
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 #: Kinds of rows, in the order in which a task wants them within a bucket.
 ANSWER, ASK, TEXT = 0, 1, 2
 
@@ -252,6 +252,7 @@ def repeated_words(docs: DataFrame, keep: list[str], window: int, gram: int, id_
 
         rows = (r for b in got for r in pairs(b, "_id", "_text", "_tie"))
         yield from out(r for c in _chunks(rows, 1) for r in chunk(c))
+        release_memory()
 
     def blocks(got, answer):
         """Rows come by bucket, answers first: those are handed on, questions are answered a bucket at a time."""
@@ -269,6 +270,7 @@ def repeated_words(docs: DataFrame, keep: list[str], window: int, gram: int, id_
             yield from answer(held)
 
         yield from out(rows())
+        release_memory()
 
     def documents(got, kinds, work):
         """Rows come by bucket, answers before texts: work(answers, texts of the bucket)."""
@@ -292,6 +294,7 @@ def repeated_words(docs: DataFrame, keep: list[str], window: int, gram: int, id_
                 part.append((lens.decompress(r[2]).decode("utf-8") if r[2] is not None else None, *r[3:]))
             if part:
                 yield from work(found, part)
+        release_memory()
 
     def windows(got):
         def work(found: _Lookup, rows: list[tuple]):

@@ -6,10 +6,9 @@ import json
 import re
 import sys
 from array import array
-from functools import lru_cache
 
 from .bytelevel import byte_alphabet
-from .shared import one_thread
+from .shared import cached, one_thread
 
 #: A space before which a byte-level tokenizer may not be cut: one that white space or the end follows.
 _GAP = re.compile(r" (?!\S)")
@@ -99,7 +98,6 @@ def packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> ChunkEncoder:
     """One for each Python worker: its caches serve all tasks that the worker gets."""
-    return ChunkEncoder(path)
+    return cached("words", path, lambda: ChunkEncoder(path))
