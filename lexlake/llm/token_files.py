@@ -104,7 +104,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     folder = folder or shared_folder(spark)
     enc = encoder(path)
     width = 2 if enc.library.get_vocab_size() <= 1 << 16 else 4
-    sample = rows.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    # Each task names that many ids at most; only the chosen documents' texts come to the driver.
+    short = rows.where(F.length("text") <= SAMPLE_CHARS)
+    chosen = [r.doc_id for r in short.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    sample = short.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect() if chosen else []
     dictionary = train_dictionary([serialize(enc.encode(r.text) + END, width) for r in sample])
     sha = hashlib.sha256(dictionary).digest()
     _put(f"{folder}/dictionary.zdict", dictionary)
