@@ -33,7 +33,7 @@ class SpeculativeBPE:
     text split by a pattern, with a word-end suffix. Others raise ValueError.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 700_000):
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         model, pre = conf["model"], conf["pre_tokenizer"]
@@ -55,6 +55,7 @@ class SpeculativeBPE:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.spaced = conf["decoder"] is None  # without a decoder the library joins tokens by spaces
         self.alphabet = byte_alphabet()
+        self.table = {b: c for b, c in enumerate(self.alphabet)}
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.longest = max(map(len, self.vocab))
         self.limit = limit
@@ -171,7 +172,7 @@ class SpeculativeBPE:
 
     def learn(self, words: list[str]) -> None:
         """Encodes words not yet known, all their pairs in one check."""
-        mapped = ["".join([self.alphabet[b] for b in w.encode("utf-8", "replace")]) for w in words]
+        mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in words]
         tried = [self.propose(w) for w in mapped]
         flat = np.array([t for x in tried for t in x], np.int64)
         fine = np.ones(len(words), bool)
