@@ -1,0 +1,135 @@
+"""Near copies by the Jaccard similarity of sets of five-word shingles: every pair of LEAST or more is found, and only such.
+
+Two sets of a and b shingles with a similarity of 0.8 or more differ in (a + b) / 9 shingles at most. Shingles are dealt
+by their hash to more parts than that, so some part is equal in both (pigeonhole); its contents are the key under which
+the two meet. The number of parts goes by the size: a set takes part in its own band of sizes and in the next, and sets
+of 0.8 or more lie in one band or two adjacent ones. Under a key, sets are connected unless their sizes and the counts
+of their shingles by the last bits, whose differences add up to no more than the shingles in which they differ, rule a
+similarity of 0.8 out. What is connected is then decided exactly.
+"""
+
+from __future__ import annotations
+
+import math
+from bisect import bisect_right
+from functools import cache
+
+import numpy as np
+import xxhash
+
+WIDTH = 5
+COUNTS = 64
+#: Band k holds sizes from EDGES[k] to EDGES[k + 1] - 1; 1.25 times a size is in its band or the next.
+EDGES = [1]
+while EDGES[-1] < 1 << 40:
+    EDGES.append(EDGES[-1] * 5 // 4 + 1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct five-word shingles; A-Z lower-cased, words split at ASCII white space. A shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    width = min(WIDTH, len(words))
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def set_node(h: np.ndarray) -> int:
+    """64 bits, as Spark's long, that stand for the set; texts with equal sets are one node."""
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), 7)).view(np.int64))
+
+
+@cache
+def parts(band: int) -> tuple[int, int]:
+    """Of sets in this band and the one below: the number of parts, and the most shingles in which two near ones differ."""
+    differ = 2 * (EDGES[band + 1] - 1) // 9
+    if not differ:
+        return 1, 0
+    n = differ + 1
+    for _ in range(3):
+        # Parts that are empty on both sides tell nothing: as many more parts as are empty in nearly all sets.
+        empty = n * math.exp(-EDGES[max(band - 1, 0)] / n)
+        n = differ + 1 + math.ceil(empty + 4 * math.sqrt(empty))
+    return n, differ
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set; any two sets with a similarity of 0.8 or more share one."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    own, out = bisect_right(EDGES, len(h)) - 1, []
+    for band in (own, own + 1):
+        n, differ = parts(band)
+        part = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        x = np.add.reduceat(h, start)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + part[start] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        out.append(x)
+        if len(start) <= differ:
+            # So many parts are empty that the equal ones may be just these; only sets alike in this need each other's key.
+            out.append(np.array([band], np.uint64))
+    return np.concatenate(out)
+
+
+def counts(h: np.ndarray) -> bytes:
+    """Shingles by the last bits of their hash, modulo 256."""
+    return np.bincount((h & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.uint8).tobytes()
+
+
+def may_be_near(size: int, count: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """False only where a similarity of 0.8 or more is impossible. Differences modulo 256 are never above the true ones."""
+    least = np.abs((counts - count).view(np.int8).astype(np.int16)).sum(1)
+    return (9 * least <= sizes + size) & (5 * sizes >= 4 * size) & (5 * size >= 4 * sizes)
+
+
+def connections(sizes: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which may be near, less than there are sets."""
+    links, left, reached = [], np.arange(len(sizes)), []
+    while len(left):
+        if not reached:
+            reached, left = [left[0]], left[1:]
+        u = reached.pop()
+        some = may_be_near(sizes[u], counts[u], sizes[left], counts[left])
+        reached.extend(left[some])
+        links.extend((u, v) for v in left[some])
+        left = left[~some]
+    return links
+
+
+def near(common: int, a: int, b: int) -> bool:
+    """A Jaccard similarity of 0.8 or more."""
+    return 9 * common >= 4 * (a + b)
+
+
+def groups(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one that it reaches over pairs of 0.8 or more; only sets that share one of their rarest
+    shingles, as near ones must, are compared."""
+    sizes = np.array([len(s) for s in sets])
+    label = np.arange(len(sets))
+    _, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    own = [np.sort(x) for x in np.split(rank[number.reshape(-1)], np.cumsum(sizes)[:-1])]
+    rare = [x[: len(x) - -(-4 * len(x) // 5) + 1] for x in own]
+    shingle, of = np.concatenate(rare), np.repeat(np.arange(len(sets)), [len(x) for x in rare])
+    order = np.argsort(shingle, kind="stable")
+    shingle, of = shingle[order], of[order]
+    mark = np.zeros(len(count), bool)
+    for i in range(1, len(sets)):
+        low, high = np.searchsorted(shingle, rare[i], "left").tolist(), np.searchsorted(shingle, rare[i], "right").tolist()
+        other = np.unique(np.concatenate([of[a:b] for a, b in zip(low, high, strict=True)]))
+        other = other[(other < i) & (label[other] != label[i]) & (5 * sizes[other] >= 4 * sizes[i]) & (5 * sizes[i] >= 4 * sizes[other])]
+        mark[own[i]] = True
+        while len(other):
+            j, other = other[0], other[1:]
+            if near(int(mark[own[j]].sum()), sizes[i], sizes[j]):
+                a, b = sorted((label[i], label[j]))
+                label[label == b] = a
+                other = other[label[other] != a]
+        mark[own[i]] = False
+    return label

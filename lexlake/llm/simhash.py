@@ -18,14 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .components import components
 from .shared import batches, pairs, partitions, release_memory, stored, text_key, texts
 
 RADIUS = 3
-#: For near copies of texts: differing bits of the words' fingerprint that the pair keys always find, and of the 128
-#: bits of five-word shingles. Texts with a share s of shingles in common differ in 128 * acos(2s / (1 + s)) / pi of these on
-#: average: 19 at a similarity of 0.8, 25 at 0.7.
-WORD_RADIUS, SHINGLE_RADIUS = 6, 22
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 CUTS = ((0, 22), (22, 21), (43, 21))
 ORDERED = [(a, b) for a in range(3) for b in range(3) if a != b]
@@ -52,25 +49,6 @@ def shingle_fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def majority(h: np.ndarray) -> int:
-    """The bits that more than half of the hashes have."""
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
-
-
-def near_prints(text: str | None) -> tuple[int, int, int]:
-    """For near copies of texts: a fingerprint of the distinct words, in which an edited word costs little, and 128
-    bits of the distinct five-word shingles, whose distance tells the share of shingles in common."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0, 0, 0
-    digest, five = xxhash.xxh64_intdigest, min(5, len(words))
-    own = np.array([digest(w, 42) for w in {*words}], "<u8")
-    shingles = np.array([[(d := xxhash.xxh128_intdigest(b" ".join(words[k : k + five]))) & 0xFFFFFFFFFFFFFFFF, d >> 64] for k in range(len(words) - five + 1)], "<u8")
-    shingles = np.unique(shingles, axis=0)
-    return majority(own), majority(np.ascontiguousarray(shingles[:, 0])), majority(np.ascontiguousarray(shingles[:, 1]))
-
-
 def signed(x: int) -> int:
     """64 bits as Spark's long."""
     return x - (1 << 64) if x >> 63 else x
@@ -168,11 +146,8 @@ def pair_keys(fp: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of fingerprints (one column, or words and shingles), broadcast against each other."""
-    d = np.bitwise_count(a ^ b)
-    if d.shape[-1] == 1:
-        return d[..., 0] <= RADIUS
-    return (d[..., 0] <= WORD_RADIUS) & (d[..., 1:].sum(-1, dtype=np.int64) <= SHINGLE_RADIUS)
+    """Of rows of fingerprints, broadcast against each other."""
+    return np.bitwise_count(a ^ b)[..., 0] <= RADIUS
 
 
 def node_ids(prints: np.ndarray) -> np.ndarray:
@@ -257,7 +232,7 @@ def hot_keys(fps: DataFrame, keys) -> dict[tuple[int, int], int]:
 
 
 def near_links(fps: DataFrame, keys=golay_keys) -> DataFrame:
-    """Of distinct fingerprints (one column, or three for near copies): links (a, b) of nodes that connect all close ones, and only such.
+    """Of distinct fingerprints: links (a, b) of nodes that connect all close ones, and only such.
 
     A group of n fingerprints under one key gives less than n links, not all its pairs. A hot key is cut into
     blocks on both sides; a task compares two blocks.
@@ -381,34 +356,120 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     return prints.join(named, prints.fp == named.known).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_NEAR = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("p2", pa.int64())])
+_NEAR = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+_GROUP = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+
+def _of_one_key(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by key, cut so that all rows of a key are in one."""
+    held = []
+    for batch in got:
+        if not batch.num_rows:
+            continue
+        key = _numbers(batch, 0, "")
+        at = int(np.searchsorted(key, key[-1]))
+        if at or (held and held[-1].column(0)[0].as_py() != key[0]):
+            yield pa.concat_batches([*held, batch.slice(0, at)]) if held else batch.slice(0, at)
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def set_links(rows: DataFrame) -> DataFrame:
+    """Of (node, size, counts, keys): links that connect all nodes that have a key in common and may be near."""
+
+    def shared(got):
+        for batch in _of_one_key(got):
+            key, node = _numbers(batch, 0, ""), _numbers(batch, 1, "")
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])[: len(key)]
+            key, node = key[new], node[new]
+            same = key[1:] == key[:-1]
+            some = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[some])], schema=_KEYED)
+        release_memory()
+
+    def linked(got):
+        for batch in _of_one_key(got):
+            key, node, sizes = (_numbers(batch, k, "") for k in range(3))
+            counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, shingle_sets.COUNTS)
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]).tolist()
+            links = set()
+            for a, b in zip(start, [*start[1:], len(key)], strict=True):
+                links.update((node[a + x], node[a + y]) for x, y in shingle_sets.connections(sizes[a:b], counts[a:b]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINK)
+        release_memory()
+
+    n = partitions(rows)
+    keyed = rows.select(F.explode("keys").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
+    some = stored(keyed.mapInArrow(shared, "key long, node long"))
+    whole = some.join(rows.select("node", "size", "counts").dropDuplicates(["node"]), "node").select("key", "node", "size", "counts")
+    return whole.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long").distinct()
+
+
+def near_groups(members: DataFrame) -> DataFrame:
+    """Of (root, node, text), where near texts have equal roots: (node, root), root now shared by what pairs of 0.8 or more connect."""
+
+    def run(got):
+        def decided():
+            held, root = {}, None
+            for batch in got:
+                for r, node, text in pairs(batch, "root", "node", "text"):
+                    if r != root and held:
+                        yield from _decided(held)
+                        held = {}
+                    root = r
+                    if node not in held:
+                        held[node] = shingle_sets.shingle_set(text)
+            if held:
+                yield from _decided(held)
+
+        yield from batches(decided(), _GROUP)
+        release_memory()
+
+    return members.select("root", "node", "text").repartition(partitions(members), "root").sortWithinPartitions("root", "node").mapInArrow(run, "node long, root long")
+
+
+def _decided(held: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
+    nodes = [*held]
+    return zip(nodes, (nodes[k] for k in shingle_sets.groups([*held.values()]).tolist()), strict=True)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, all columns unchanged: that of the smallest id (null last, then by text hash).
 
-    Near are texts whose words' fingerprints differ in WORD_RADIUS bits or fewer (all pairs up to five are found,
-    most of six) and whose 128 bits of five-word shingles differ in SHINGLE_RADIUS or fewer, a similarity of about
-    0.8; groups are what links reach. Null and wordless texts are copies of each other. Of rows alike in id and
+    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all such pairs and no
+    others; groups are what they connect. Null and wordless texts are copies of each other. Of rows alike in id and
     text one stays.
     """
 
     def run(got):
+        seen = set()
         for batch in got:
             def rows(batch=batch):
                 for i, text, tie in pairs(batch, "doc_id", "text", "tie"):
-                    p = near_prints(text)
-                    node = node_ids(np.array([p], np.uint64))[0]
-                    yield i, tie, signed(int(node)), *map(signed, p)
+                    h = shingle_sets.shingle_set(text)
+                    node = shingle_sets.set_node(h)
+                    # Copies of a text give its keys once in a task.
+                    yield i, tie, node, len(h), shingle_sets.counts(h), [] if node in seen else shingle_sets.band_keys(h).view("i8")
+                    seen.add(node)
 
-            yield from batches(rows(), _NEAR)
+            yield from batches(rows(), _NEAR, 512)
+        release_memory()
 
-    prints = stored(texts(docs, id_col, text_col).withColumn("tie", text_key("text")).mapInArrow(run, "doc_id long, tie long, node long, p0 long, p1 long, p2 long"))
-    nodes = prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("p0", "p1", "p2")))
-    roots = components(near_links(stored(nodes.select("p0", "p1", "p2")), pair_keys))
-    rooted = prints.join(roots.select("node", "root"), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+    known = {"_unknown": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_tie": F.col("tie")}
+    read = texts(docs, id_col, text_col).withColumn("tie", text_key("text"))
+    prints = stored(read.mapInArrow(run, "doc_id long, tie long, node long, size long, counts binary, keys array<long>"))
+    roots = components(set_links(prints.select("node", "size", "counts", "keys"))).select("node", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("tie"))).alias("first")
-    stay = rooted.groupBy("root").agg(first).select(F.col("first.unknown").alias("_unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.tie").alias("_tie"))
+    picked = [F.col("first.unknown").alias("_unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.tie").alias("_tie")]
+    nodes = prints.groupBy("node").agg(first).join(roots, "node").select("node", "root", *picked)
+    members = read.withColumns(known).join(nodes, [*known]).select("root", "node", "text")
+    rooted = prints.join(stored(near_groups(members)), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
+    stay = rooted.groupBy("root").agg(first).select(*picked)
     known = docs.withColumns({"_unknown": F.col(f"`{id_col}`").isNull(), "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tie": text_key(F.col(f"`{text_col}`").cast("string"))})
     one = known.join(stay, ["_unknown", "_id", "_tie"], "left_semi")
     by = Window.partitionBy("_unknown", "_id", "_tie").orderBy(F.lit(0))
