@@ -49,3 +49,10 @@ def test_keys_meet_at_the_limit():
             counts = [np.frombuffer(shingle_sets.counts(x), np.uint8) for x in (a, b)]
             assert shingle_sets.connections(np.array([len(a), len(b)]), np.stack(counts)) == [(0, 1)]
             assert shingle_sets.groups([a, b]).tolist() == [0, 0]
+
+
+def test_texts_below_the_limit_stay(spark):
+    """Pairs of 0.7 to 0.79, near by their fingerprints and not by their shingles."""
+    draw = random.Random(8)
+    texts = [t for _ in range(40) for t in edited(draw, 0.7, 0.79)]
+    assert kept(spark, texts) == [*range(80)]
