@@ -101,6 +101,52 @@ def rubrics(rows: DataFrame) -> DataFrame:
     return k.where((F.col("place") <= 4) & (F.col("numbered") == 0) & F.col("text").rlike(pattern)).groupBy("doc").agg(F.min_by(F.regexp_extract("text", pattern, 1), "place").alias("rubric"))
 
 
+def _stripped(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
+def finish_articles(arts: DataFrame) -> DataFrame:
+    """Articles with rubric, and the body without it and without the lines from the first that is exactly N O T E.
+
+    ATX articles: the first block of non-blank lines, up to a numbered one, joined by spaces. Plain ones: the line in
+    single brackets that `rubrics` finds. Others have none.
+    """
+    a = arts.withColumn("x", F.split("body", "\n")).withColumn("note", F.array_position(F.transform("x", _stripped), "N O T E").cast("int"))
+    a = a.withColumn("x", F.when(F.col("note") > 0, F.slice("x", F.lit(1), F.greatest(F.col("note") - 1, F.lit(0)))).otherwise(F.col("x"))).withColumn("bare", F.transform("x", _stripped))
+    size = F.size("x")
+    begin = F.array_position(F.transform("bare", lambda b: b != ""), True).cast("int")
+    a = a.withColumn("begin", F.greatest(begin, F.lit(1)))
+    stop = F.array_position(F.transform("x", lambda line, i: (i + 1 >= F.col("begin")) & ((_stripped(line) == "") | line.rlike(PARAGRAPH))), True).cast("int")
+    a = a.withColumn("stop", F.when(stop > 0, stop).otherwise(size + 1))
+    pattern = r"^\((?!\()(.+?)\)\.?$"
+    four = F.slice(F.filter(F.transform("bare", lambda b, i: F.struct(b.alias("b"), (i + 1).alias("at"))), lambda s: s["b"] != ""), 1, 4)
+    a = a.withColumn("four", four)
+    found = F.array_position(F.transform("four", lambda s: s["b"].rlike(pattern)), True).cast("int")
+    numbered = F.array_position(F.transform("four", lambda s: s["b"].rlike(PARAGRAPH)), True).cast("int")
+    a = a.withColumn("at", F.when((found > 0) & ((numbered == 0) | (found < numbered)), F.try_element_at("four", found)["at"]))
+    block, bracket = (F.col("style") == "atx") & (F.col("stop") > F.col("begin")), (F.col("style") == "plain") & F.col("at").isNotNull()
+    first = F.when(block, F.col("begin")).otherwise(F.col("at"))
+    after = F.when(block, F.col("stop")).otherwise(F.col("at") + 1)
+    rubric = F.when(block, F.array_join(F.slice("bare", F.col("begin"), F.greatest(F.col("stop") - F.col("begin"), F.lit(0))), " ")).when(bracket, F.regexp_extract(F.try_element_at("bare", F.col("at")), pattern, 1))
+    rest = F.filter("x", lambda line, i: (i + 1 < first) | (i + 1 >= after))
+    body = F.array_join(F.when(block | bracket, rest).otherwise(F.col("x")), "\n")
+    return a.select("doc", "article_no", "number", "style", "path", rubric.alias("rubric"), body.alias("body"))
+
+
+def article_paragraphs(finished: DataFrame) -> DataFrame:
+    """(doc, article_no, rubric, paragraph_no, number, text) of finished articles; blank text above the first number is none,
+    an article without numbers is one paragraph."""
+    key = F.struct("doc", "article_no")
+    a = finished.select(key.alias("doc"), "rubric", F.split("body", "\n").alias("x"))
+    found = paragraphs(a.select("doc", F.posexplode("x").alias("at", "line")).select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "line"))
+    text = F.array_join(F.slice("x", F.col("first_line").cast("int"), F.col("n_lines").cast("int")), "\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"^\n+", ""), r"(?U)\s+$", "")
+    k = a.join(found, "doc").withColumn("text", text).withColumn("any", F.max("number").over(Window.partitionBy("doc")))
+    k = k.withColumn("text", F.when(F.col("any").isNull(), _stripped(F.col("text"))).otherwise(F.col("text")))
+    k = k.where(F.col("any").isNull() | F.col("number").isNotNull() | (_stripped(F.col("text")) != ""))
+    return k.select("doc.doc", "doc.article_no", "rubric", "paragraph_no", "number", "text")
+
+
 def cut_notes(rows: DataFrame) -> DataFrame:
     """Lines above the first that is exactly N O T E."""
     w = Window.partitionBy("doc").orderBy("line_no")

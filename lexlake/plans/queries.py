@@ -333,10 +333,16 @@ def comma_scan(t: Tables) -> DataFrame:
 @query("WITH " + _LINES.format(rule=_NUMBERED) + r""", k AS (SELECT doc, line_no, trim(line) AS x FROM l WHERE trim(line) <> ''), k2 AS (SELECT *, row_number() OVER w AS place, max(regexp_matches(x, '^\d+(-ter)?\.\s')::INT) OVER w AS numbered FROM k WINDOW w AS (PARTITION BY doc ORDER BY line_no))
 SELECT doc, arg_min(regexp_extract(x, '^\((.+?)\)\.?$', 1), place) AS rubric FROM k2 WHERE place <= 4 AND numbered = 0 AND regexp_matches(x, '^\([^(].*?\)\.?$') GROUP BY 1""")
 def rubric_extract(t: Tables) -> DataFrame:
-    """PRS-05/06."""
+    """PRS-06 over whole documents; PRS-05 and the removal from the body are in article_finish."""
     return pr.rubrics(_lines(t, _NUMBERED))
 
 
+@query()
+def article_finish(t: Tables) -> DataFrame:
+    """PRS-04/05/06/09."""
+    return pr.article_paragraphs(pr.finish_articles(pr.articles(pr.line_events(_lines(t, _MARKS)))))
+
+
 @query("WITH " + _LINES.format(rule=_MARKS) + r""", k AS (SELECT *, coalesce(trim(lag(line) OVER (PARTITION BY doc ORDER BY line_no)), '') <> '' AS above FROM l)
 SELECT doc, count(*) FILTER (regexp_matches(line, '^=+\s*$') AND above) AS setext_1, count(*) FILTER (regexp_matches(line, '^-{2,}\s*$') AND above) AS setext_2, count(*) FILTER (regexp_matches(line, '^#{1,6}\s')) AS atx FROM k GROUP BY 1""")
 def census_headings(t: Tables) -> DataFrame:
