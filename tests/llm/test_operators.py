@@ -245,6 +245,64 @@ def test_substrings(spark, docs, rows):
         assert got == removed_by_brute_force(texts, w)
 
 
+def factors_by_brute_force(texts, window):
+    """Greedy longest matches against the first places of all windows."""
+    words = {i: t.split() for i, t in texts}
+    first, out = {}, []
+    for i in sorted(words):
+        for s in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][s : s + window]), (i, s))
+    for i in sorted(words):
+        at = lambda s: first.get(tuple(words[i][s : s + window])) if s + window <= len(words[i]) else None  # noqa: B023, E731
+        p = 0
+        while p + window <= len(words[i]):
+            ref, k = at(p), 1
+            if ref == (i, p):
+                p += 1
+                continue
+            while at(p + k) == (ref[0], ref[1] + k):
+                k += 1
+            out.append((i, p, k - 1 + window, *ref))
+            p += k
+    return sorted(out)
+
+
+def overlapping(draw, n):
+    """Texts pieced together from passages, with edits, so that matches run over the ends of others."""
+    stock = [[f"{draw.choice('abcd')}{draw.randint(0, 60)}" for _ in range(draw.randint(10, 60))] for _ in range(8)]
+    out = []
+    for k in range(n):
+        words = [w for _ in range(draw.randint(0, 5)) for w in draw.choice(stock)]
+        for j in draw.sample(range(len(words)), min(len(words), draw.randint(0, 2))):
+            words[j] = f"e{k}"
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_factors_are_greedy_and_longest(spark):
+    texts = overlapping(random.Random(4), 80)
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = sorted(tuple(r) for r in substrings.relative_factors(df).collect())
+    assert got == factors_by_brute_force(texts, 20)
+
+
+@pytest.mark.parametrize("fold", [1, 8 << 20])
+def test_factors_over_many_blocks(spark, monkeypatch, fold):
+    """Small chunks, blocks answered row by row: each factor is a match with an earlier text, together they are all repeats."""
+    monkeypatch.setattr(substrings, "CHUNK_CHARS", 400)
+    monkeypatch.setattr(substrings, "FOLD_BYTES", fold)
+    texts = overlapping(random.Random(7), 120)
+    words = {i: t.split() for i, t in texts}
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    gone = {i: np.zeros(len(w), bool) for i, w in words.items()}
+    for i, s, n, j, at in map(tuple, substrings.relative_factors(df).collect()):
+        assert n >= 20 and words[i][s : s + n] == words[j][at : at + n] and (j, at) < (i, s)
+        gone[i][s : s + n] = True
+    want = removed_by_brute_force(texts)
+    assert {i: int(g.sum()) for i, g in gone.items()} == {i: w[1] for i, w in want.items()}
+    assert {r.doc_id: tuple(r)[1:] for r in substrings.dedup_digest(df).collect()} == want
+
+
 def test_repeats_are_cut(spark):
     passage = " ".join(f"p{k}" for k in range(55))
     df = edge(spark, [(1, f"eins\n{passage}\tzwei"), (2, f"drei  {passage} vier\n"), (3, None), (4, "kept  as\nit is")])
@@ -305,20 +363,18 @@ def test_links_of_a_dense_group(spark, monkeypatch, block):
 def test_golay_keys_meet():
     code, draw = simhash.Golay(), np.random.default_rng(1)
     a = draw.integers(0, 1 << 63, 2000).astype(np.uint64)
-    for most, keys in ((3, simhash.golay_keys), (5, simhash.pair_keys)):
-        b = a.copy()
-        for k in range(len(b)):
-            for bit in draw.choice(64, draw.integers(0, most + 1), replace=False):
-                b[k] ^= np.uint64(1 << int(bit))
-        found = []
-        for fps in (a, b):
-            own = {}
-            for at, key, role in keys(fps, code):
-                for i, k in zip(at.tolist(), key.tolist(), strict=True):
-                    own.setdefault((i, role), set()).add(k)
-            found.append(own)
-        first, second = (0, 1) if most == 3 else (2, 2)
-        assert all(found[0][i, first] & found[1][i, second] for i in range(len(a)))
+    b = a.copy()
+    for k in range(len(b)):
+        for bit in draw.choice(64, draw.integers(0, 4), replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    found = []
+    for fps in (a, b):
+        own = {}
+        for at, key, role in simhash.golay_keys(fps, code):
+            for i, k in zip(at.tolist(), key.tolist(), strict=True):
+                own.setdefault((i, role), set()).add(k)
+        found.append(own)
+    assert all(found[0][i, 0] & found[1][i, 1] for i in range(len(a)))
 
 
 def test_components(spark):
@@ -328,18 +384,6 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_copies_stage(spark):
-    draw = random.Random(4)
-    text = [f"{draw.choice('abcdefgh')}{draw.randint(0, 300)}" for _ in range(300)]
-    edit = list(text)
-    edit[150] = "edited"
-    other = [f"z{draw.randint(0, 300)}" for _ in range(300)]
-    rows = [(5, " ".join(text)), (3, " ".join(edit)), (8, " ".join(other)), (8, " ".join(other)), (None, " ".join(text)), (9, None), (10, "")]
-    out = simhash.drop_near_copies(edge(spark, rows))
-    assert out.columns == edge(spark, rows).columns
-    assert sorted(r.doc_id for r in out.collect()) == [3, 8, 9]
-
-
 def canonical(text):
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())).strip(" ")
 
