@@ -15,12 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shingle_sets
 from .components import components
-from .shared import batches, pairs, partitions, release_memory, stored, text_key, texts
+from .shared import batches, pairs, partitions, release_memory, stored, texts
 
 RADIUS = 3
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -31,22 +30,30 @@ BLOCK = 4096
 MOST_HOT = 2000
 
 
-def shingle_fingerprint(text: str | None, width: int = 3) -> int:
-    """A-Z lower-cased, words split at ASCII white space; a bit is 1 if more than half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included: A-Z lower-cased, words split at ASCII white space. A shorter text is one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(width, len(words)) - 1 :].tolist()
+    width = min(width, len(words))
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)], "<u8")
+
+
+def print_of(h: np.ndarray) -> int:
+    """A bit is 1 if more than half of the hashes have it."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):
+    for k in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def shingle_fingerprint(text: str | None, width: int = 3) -> int:
+    """0 for a text without words."""
+    return print_of(shingle_hashes(text, width))
 
 
 def signed(x: int) -> int:
@@ -124,27 +131,6 @@ def golay_keys(fp: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.nda
     yield row, tag | (np.repeat(i0, count) << np.uint64(24)) | (own[1][row] << np.uint64(12)) | other, 1
 
 
-def pair_keys(fp: np.ndarray, code: Golay) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """The same for five differing bits: two of the three segments have at most two each, or one each, so neighbours of
-    both sides meet under the codeword indices of some two segments. Every row finds and looks (role 2)."""
-    n = len(fp)
-    near = []
-    for k, (_, bits) in enumerate(CUTS):
-        part = segment(fp, k)
-        around = np.stack([code.index(part), *(code.index(part ^ np.uint64(1 << j)) for j in range(bits))], axis=1)
-        around.sort(axis=1)
-        fresh = np.ones_like(around, bool)
-        fresh[:, 1:] = around[:, 1:] != around[:, :-1]
-        row, col = np.nonzero(fresh)
-        near.append((row, around[row, col]))
-    for tag, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (ra, ia), (rb, ib) = near[a], near[b]
-        first = np.searchsorted(rb, np.arange(n + 1))
-        count = np.diff(first)[ra]
-        other = ib[np.repeat(first[ra], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        yield np.repeat(ra, count), (np.uint64(tag) << np.uint64(24)) | (np.repeat(ia, count) << np.uint64(12)) | other, 2
-
-
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows of fingerprints, broadcast against each other."""
     return np.bitwise_count(a ^ b)[..., 0] <= RADIUS
@@ -175,7 +161,7 @@ def forest(prints: np.ndarray, role: np.ndarray) -> np.ndarray:
     """Links between the fingerprints of one key that keep all its connections: fewer than it has fingerprints."""
     nodes, at, where = np.unique(prints, axis=0, return_index=True, return_inverse=True)
     where = where.reshape(-1)
-    f, q = np.unique(where[role != 1]), np.unique(where[role != 0])
+    f, q = np.unique(where[role == 0]), np.unique(where[role == 1])
     ids = node_ids(nodes)
     sets, links = Union(len(nodes)), []
     label = np.arange(len(nodes))
@@ -259,16 +245,6 @@ def near_links(fps: DataFrame, keys=golay_keys) -> DataFrame:
                         row = prints[at[mine]]
                         own = node_ids(row) % np.uint64(1000003)
                         name = signed(k)
-                        if role == 2:
-                            # Blocks x <= y of one list: a row of block b is in all pairs with b.
-                            m = hot.get((name, 2), 1)
-                            b = (own % np.uint64(m)).astype(np.int32)
-                            block[mine] = b * m + b
-                            for j in range(m):
-                                other = b != j
-                                if other.any():
-                                    yield row_batch(key[mine][other], np.minimum(b, j)[other] * m + np.maximum(b, j)[other], role, row[other])
-                            continue
                         ours, theirs = hot.get((name, role), 1), hot.get((name, 1 - role), 1)
                         # Block number: found-by block x looking blocks + looking block.
                         step, other = (theirs, 1) if role == 0 else (1, ours)
@@ -303,7 +279,7 @@ def _links_of(key: np.ndarray, block: np.ndarray, role: np.ndarray, prints: np.n
         return
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])]))
     size = np.diff(np.append(start, len(key)))
-    both = (np.add.reduceat((role != 0).astype(np.int64), start) > 0) & (np.add.reduceat((role != 1).astype(np.int64), start) > 0) & (size > 1)
+    both = (np.add.reduceat((role == 0).astype(np.int64), start) > 0) & (np.add.reduceat((role == 1).astype(np.int64), start) > 0)
     small = both & (size <= 32)
     out = []
     if small.any():
@@ -314,7 +290,7 @@ def _links_of(key: np.ndarray, block: np.ndarray, role: np.ndarray, prints: np.n
             on = on[on + lag < len(key)]
             on = on[group[on] == group[on + lag]]
             x, y = on, on + lag
-            some = (role[x] != role[y]) | (role[x] == 2)
+            some = role[x] != role[y]
             x, y = x[some], y[some]
             some = close(prints[x], prints[y]) & (prints[x] != prints[y]).any(1)
             out.append(np.stack([node_ids(prints[x[some]]), node_ids(prints[y[some]])], axis=1))
@@ -354,123 +330,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     classes = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(classes, "root").select(F.col("fp").alias("known"), "component_id")
     return prints.join(named, prints.fp == named.known).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-_NEAR = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64())])
-_GROUP = pa.schema([("node", pa.int64()), ("root", pa.int64())])
-
-
-def _of_one_key(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by key, cut so that all rows of a key are in one."""
-    held = []
-    for batch in got:
-        if not batch.num_rows:
-            continue
-        key = _numbers(batch, 0, "")
-        at = int(np.searchsorted(key, key[-1]))
-        if at or (held and held[-1].column(0)[0].as_py() != key[0]):
-            yield pa.concat_batches([*held, batch.slice(0, at)]) if held else batch.slice(0, at)
-            held = []
-        held.append(batch.slice(at))
-    if held:
-        yield pa.concat_batches(held)
-
-
-def set_links(rows: DataFrame) -> DataFrame:
-    """Of (node, size, counts, keys): links that connect all nodes that have a key in common and may be near."""
-
-    def shared(got):
-        for batch in _of_one_key(got):
-            key, node = _numbers(batch, 0, ""), _numbers(batch, 1, "")
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])[: len(key)]
-            key, node = key[new], node[new]
-            same = key[1:] == key[:-1]
-            some = np.concatenate([[False], same])[: len(key)] | np.concatenate([same, [False]])[: len(key)]
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[some])], schema=_KEYED)
-        release_memory()
-
-    def linked(got):
-        for batch in _of_one_key(got):
-            key, node, sizes = (_numbers(batch, k, "") for k in range(3))
-            counts = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, shingle_sets.COUNTS)
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]).tolist()
-            links = set()
-            for a, b in zip(start, [*start[1:], len(key)], strict=True):
-                links.update((node[a + x], node[a + y]) for x, y in shingle_sets.connections(sizes[a:b], counts[a:b]))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=_LINK)
-        release_memory()
-
-    n = partitions(rows)
-    keyed = rows.select(F.explode("keys").alias("key"), "node").repartition(n, "key").sortWithinPartitions("key", "node")
-    some = stored(keyed.mapInArrow(shared, "key long, node long"))
-    whole = some.join(rows.select("node", "size", "counts").dropDuplicates(["node"]), "node").select("key", "node", "size", "counts")
-    return whole.repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long").distinct()
-
-
-def near_groups(members: DataFrame) -> DataFrame:
-    """Of (root, node, text), where near texts have equal roots: (node, root), root now shared by what pairs of 0.8 or more connect."""
-
-    def run(got):
-        def decided():
-            held, root = {}, None
-            for batch in got:
-                for r, node, text in pairs(batch, "root", "node", "text"):
-                    if r != root and held:
-                        yield from _decided(held)
-                        held = {}
-                    root = r
-                    if node not in held:
-                        held[node] = shingle_sets.shingle_set(text)
-            if held:
-                yield from _decided(held)
-
-        yield from batches(decided(), _GROUP)
-        release_memory()
-
-    return members.select("root", "node", "text").repartition(partitions(members), "root").sortWithinPartitions("root", "node").mapInArrow(run, "node long, root long")
-
-
-def _decided(held: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
-    nodes = [*held]
-    return zip(nodes, (nodes[k] for k in shingle_sets.groups([*held.values()]).tolist()), strict=True)
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, all columns unchanged: that of the smallest id (null last, then by text hash).
-
-    Near are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all such pairs and no
-    others; groups are what they connect. Null and wordless texts are copies of each other. Of rows alike in id and
-    text one stays.
-    """
-
-    def run(got):
-        seen = set()
-        for batch in got:
-            def rows(batch=batch):
-                for i, text, tie in pairs(batch, "doc_id", "text", "tie"):
-                    h = shingle_sets.shingle_set(text)
-                    node = shingle_sets.set_node(h)
-                    # Copies of a text give its keys once in a task.
-                    yield i, tie, node, len(h), shingle_sets.counts(h), [] if node in seen else shingle_sets.band_keys(h).view("i8")
-                    seen.add(node)
-
-            yield from batches(rows(), _NEAR, 512)
-        release_memory()
-
-    known = {"_unknown": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_tie": F.col("tie")}
-    read = texts(docs, id_col, text_col).withColumn("tie", text_key("text"))
-    prints = stored(read.mapInArrow(run, "doc_id long, tie long, node long, size long, counts binary, keys array<long>"))
-    roots = components(set_links(prints.select("node", "size", "counts", "keys"))).select("node", "root")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("tie"))).alias("first")
-    picked = [F.col("first.unknown").alias("_unknown"), F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.tie").alias("_tie")]
-    nodes = prints.groupBy("node").agg(first).join(roots, "node").select("node", "root", *picked)
-    members = read.withColumns(known).join(nodes, [*known]).select("root", "node", "text")
-    rooted = prints.join(stored(near_groups(members)), "node", "left").select("doc_id", "tie", F.coalesce("root", "node").alias("root"))
-    stay = rooted.groupBy("root").agg(first).select(*picked)
-    known = docs.withColumns({"_unknown": F.col(f"`{id_col}`").isNull(), "_id": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tie": text_key(F.col(f"`{text_col}`").cast("string"))})
-    one = known.join(stay, ["_unknown", "_id", "_tie"], "left_semi")
-    by = Window.partitionBy("_unknown", "_id", "_tie").orderBy(F.lit(0))
-    return one.withColumn("_row", F.row_number().over(by)).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
