@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.llm import packing, pii, shared, simhash, substrings, toxicity
+from lexlake.llm import near_copies, packing, pii, shared, substrings, toxicity
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
