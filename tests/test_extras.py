@@ -7,27 +7,10 @@ import pytest
 from pyspark.sql import types as T
 
 from lexlake.operators.embedding import embed, token_batches
-from lexlake.operators.prose import prose_references
 from lexlake.sources import changes, tables
 from lexlake.streaming.events import Admission, EventReader, admit
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("vedi [art. 5](http://x?urn:nir:stato:legge:1990-08-07;241~art5bis-com2) e oltre", [("legge-241-1990", "5-bis", "2")]),
-        ("la [legge](http://x?urn:nir:stato:legge:1990;241) citata", []),
-        ("decreto legislativo 9 aprile 2008, n. 81, art. 18", [("dlgs-81-2008", "18", None)]),
-        ("di cui all'articolo 7 e di cui al comma 3", [(None, "7", None), (None, None, "3")]),
-        ("all'art. 4 del citato decreto legislativo 81/2008", [("dlgs-81-2008", "4", None)]),
-        ("urn della [costituzione](urn:nir:stato:costituzione:1947;1~art3)", []),
-        (None, []),
-    ],
-)
-def test_prose(text, want):
-    assert [(r["act_ref"], r["article"], r["comma"]) for r in prose_references(text)] == want
-
-
 def test_name_status():
     raw = "M\0A a/1.md\0R100\0a/2.md\0b/2.md\0R090\0a/3.md\0b/3.md\0D\0a/4.md\0C080\0a/5.md\0b/5.md\0A\0readme.md\0T\0a/6.md\0"
     assert list(changes.name_status(raw)) == [("upsert", "A a/1.md", None), ("move", "b/2.md", "a/2.md"), ("delete", "a/3.md", None), ("upsert", "b/3.md", None), ("delete", "a/4.md", None), ("upsert", "b/5.md", None), ("upsert", "a/6.md", None)]
