@@ -75,3 +75,32 @@ APPROVAL = ["approvazione del ", "testo definitivo del ", "testo del "]
 
 #: The status that a collection's name says; all others are in force.
 COLLECTION_STATUS = {"Atti normativi abrogati (in originale)": "abrogato", "DL decaduti": "decaduto"}
+
+#: The type of acts that a collection's name suggests.
+COLLECTION_TYPE = {
+    "Atti di attuazione Regolamenti UE": "decreto",
+    "Atti di recepimento direttive UE": "decreto_legislativo",
+    "Atti normativi abrogati (in originale)": "atto_normativo",
+    "Codici": "codice",
+    "DL decaduti": "decreto_legge",
+    "DL e leggi di conversione": "decreto_legge",
+    "DL proroghe": "decreto_legge",
+    "DPCM": "dpcm",
+    "DPR": "dpr",
+    "Decreti Legislativi": "decreto_legislativo",
+    "Decreti legislativi luogotenenziali": "decreto_legislativo_luogotenenziale",
+    "Leggi contenenti deleghe": "legge",
+    "Leggi costituzionali": "legge_costituzionale",
+    "Leggi delega e relativi provvedimenti delegati": "legge",
+    "Leggi di delegazione europea": "legge",
+    "Leggi di ratifica": "legge",
+    "Leggi finanziarie e di bilancio": "legge",
+    "Regi decreti": "regio_decreto",
+    "Regi decreti legislativi": "regio_decreto_legislativo",
+    "Regolamenti di delegificazione": "dpr",
+    "Regolamenti governativi": "dpr",
+    "Regolamenti ministeriali": "decreto_ministeriale",
+    "Testi Unici": "testo_unico",
+}
+#: Words that open a partition's heading.
+PARTITIONS = ["LIBRO", "PARTE", "TITOLO", "CAPO", "SEZIONE"]

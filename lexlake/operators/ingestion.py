@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from ..sources.scratch import stored
 
 DEFAULT_STATUS = "vigente"
 
@@ -30,11 +31,20 @@ def resume_skip(files: DataFrame, done: DataFrame, path: str, sha: str) -> DataF
 def lot_durability(chunks: DataFrame, file: str, order: list[Column], lot: int = 256) -> DataFrame:
     """(file, n_chunks, durable_lot): chunks fill lots in order, a file is durable with the lot of its last chunk.
 
-    Positions come from counts by file, so the one window over all rows has a row for each file.
+    Files are dealt into ranges of the order; a file's place is the sum of the ranges before its own, and of the files
+    before it within. The one window over all ranges has a row for each range.
     """
-    per_file = chunks.groupBy(file, *order).agg(F.count("*").alias("n_chunks"))
-    running = F.sum("n_chunks").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return per_file.select(file, "n_chunks", F.floor((running - 1) / lot).cast("long").alias("durable_lot"))
+    keys = [F.struct(c).alias(f"_o{k}") for k, c in enumerate(order)]
+    per_file = chunks.groupBy(file, *keys).agg(F.count("*").alias("n_chunks"))
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_o{k}" for k in range(len(order))]
+    ranged = stored(per_file.repartitionByRange(n, *names, file).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum("n_chunks").alias("s")).select("_range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    # A row for each range: at most the number of shuffle partitions.
+    within = F.sum("n_chunks").over(Window.partitionBy("_range").orderBy(*names, file).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("upto", within).join(F.broadcast(offsets), "_range")
+    return placed.select(file, "n_chunks", F.floor((F.col("upto") + F.col("offset") - 1) / lot).cast("long").alias("durable_lot"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -75,13 +85,28 @@ def latest_wins(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
 
 
 def dry_run(files: DataFrame, group: str, key: str, order: list[Column], chars: Column) -> DataFrame:
-    """By group: files, duplicates skipped, characters of the rest, estimated tokens."""
+    """By group, and of all (group null): files, duplicates skipped, characters of the rest, estimated tokens."""
     owned = first_file_wins(files, key, order)
     kept = F.sum(F.when(F.col("owner"), chars).otherwise(0)).cast("long")
-    out = owned.groupBy(group).agg(F.count("*").alias("files"), F.count_if(~F.col("owner")).alias("skipped"), kept.alias("chars"))
+    out = owned.rollup(group).agg(F.count("*").alias("files"), F.count_if(~F.col("owner")).alias("skipped"), kept.alias("chars"))
     return out.withColumn("est_tokens", token_estimate(F.col("chars")))
 
 
 def watermark(runs: DataFrame) -> DataFrame:
     """The newest completed run's end commit."""
     return runs.where("status = 'completed' and commit_to is not null").agg(F.max_by("commit_to", "id").alias("commit_to"), F.max("id").alias("run_id"))
+
+
+def set_status(acts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Acts (key, status, sha, ...) with the status of `changes` (key, status, sha), a null sha keeping the old one; and
+    one row, n_rows: how many acts were met."""
+    new = changes.groupBy("key").agg(F.max_by(F.struct("status", "sha"), "status").alias("new"))
+    got = acts.join(new, "key", "left")
+    after = got.withColumns({"status": F.coalesce("new.status", "status"), "sha": F.coalesce("new.sha", "sha")}).select(*acts.columns)
+    return after, acts.join(new, "key", "left_semi").agg(F.count("*").alias("n_rows"))
+
+
+def drop_progress(progress: DataFrame, changes: DataFrame, path: str = "file_path") -> DataFrame:
+    """Checkpoint rows without those of deleted and moved files, which have to be done again where they now are."""
+    gone = changes.where("status in ('delete', 'move')").select(F.coalesce("old_path", "path").alias(path)).distinct()
+    return progress.join(gone, path, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dims import SUFFIX_PATTERN, SUFFIXES
+from ..functions.dims import PARTITIONS, SUFFIX_PATTERN, SUFFIXES
 
 PARAGRAPH = rf"^(\d+)(?:-({SUFFIX_PATTERN}))?\.\s"
 
@@ -36,6 +36,21 @@ def line_events(rows: DataFrame) -> DataFrame:
     return heads.select("doc", "line_no", "kind", "payload").unionByName(rest.select("doc", "line_no", "kind", payload.alias("payload")))
 
 
+#: An article's number: digits, then perhaps a suffix set off by a space, a dot or a hyphen.
+_N, _SUFFIX, _END = r"(\d+)", rf"(?:[ .-]+({SUFFIX_PATTERN}))?", r"\.?\s*$"
+ATX = rf"^###\s+Art\.?\s*{_N}{_SUFFIX}{_END}"
+SETEXT = rf"^Art\.?\s+{_N}{_SUFFIX}{_END}"
+PLAIN = rf"^(\S.*?)-art\.\s+(\d+(?:/\d+)?)(?:\s+({SUFFIX_PATTERN}))?\s*$"
+ONLY = rf"(?i)^#* *Articolo\s+unico{_END}"
+_PARTITION = rf"(?i)^({'|'.join(PARTITIONS)})\b"
+
+
+def article_style() -> Column:
+    """How an event (kind, payload) marks an article, null if it doesn't."""
+    p, kind = F.col("payload"), F.col("kind")
+    return F.when((kind == "atx") & (p.rlike(ATX) | p.rlike(ONLY)), "atx").when((kind == "h2") & (p.rlike(SETEXT) | p.rlike(ONLY)), "setext").when((kind == "line") & p.rlike(PLAIN), "plain")
+
+
 def article_number(base: Column, suffix: Column) -> Column:
     return F.when(suffix == "", base).otherwise(F.concat(base, F.lit("-"), suffix))
 
@@ -47,9 +62,7 @@ def articles(events: DataFrame) -> DataFrame:
     heading before the marker. A document without articles is one, "unico", of all its text.
     """
     p, kind = F.col("payload"), F.col("kind")
-    atx, setext, plain = rf"^###\s+Art\.?\s*(\d+)(?:[ .-]+({SUFFIX_PATTERN}))?\.?\s*$", rf"^Art\.?\s+(\d+)(?:[ .-]+({SUFFIX_PATTERN}))?\.?\s*$", rf"^(\S.*?)-art\.\s+(\d+(?:/\d+)?)(?:\s+({SUFFIX_PATTERN}))?\s*$"
-    only = r"(?i)^#* *Articolo\s+unico\.?\s*$"
-    style = F.when((kind == "atx") & (p.rlike(atx) | p.rlike(only)), "atx").when((kind == "h2") & (p.rlike(setext) | p.rlike(only)), "setext").when((kind == "line") & p.rlike(plain), "plain")
+    atx, setext, plain, only, style = ATX, SETEXT, PLAIN, ONLY, article_style()
     number = F.when(kind.isin("atx", "h2") & p.rlike(only), "unico").when(kind == "atx", article_number(F.regexp_extract(p, atx, 1), F.regexp_extract(p, atx, 2)))
     number = number.when(kind == "h2", article_number(F.regexp_extract(p, setext, 1), F.regexp_extract(p, setext, 2))).otherwise(article_number(F.regexp_extract(p, plain, 2), F.regexp_extract(p, plain, 3)))
     w = Window.partitionBy("doc").orderBy("line_no")
@@ -57,7 +70,7 @@ def articles(events: DataFrame) -> DataFrame:
     opens = F.col("style").isNotNull()
     e = e.withColumn("bound", F.when(opens, F.lit(True)).when(kind.isin("h1", "atx", "h2"), F.lit(False)))
     e = e.withColumn("inside", F.coalesce(F.last("bound", ignorenulls=True).over(w), F.lit(False))).withColumn("article_no", F.sum(F.when(opens, 1).otherwise(0)).over(w))
-    part = F.last(F.when((kind == "h2") & F.col("style").isNull() & p.rlike(r"(?i)^(LIBRO|PARTE|TITOLO|CAPO|SEZIONE)\b"), p), ignorenulls=True).over(w)
+    part = F.last(F.when((kind == "h2") & F.col("style").isNull() & p.rlike(_PARTITION), p), ignorenulls=True).over(w)
     e = e.withColumn("part", part)
     body_line = F.when(~opens | F.col("bound").isNull(), F.struct("line_no", "payload"))
     in_article = e.where("inside").groupBy("doc", "article_no").agg(
@@ -133,18 +146,38 @@ def finish_articles(arts: DataFrame) -> DataFrame:
     return a.select("doc", "article_no", "number", "style", "path", rubric.alias("rubric"), body.alias("body"))
 
 
-def article_paragraphs(finished: DataFrame) -> DataFrame:
+def article_paragraphs(finished: DataFrame, with_articles: bool = False) -> DataFrame:
     """(doc, article_no, rubric, paragraph_no, number, text) of finished articles; blank text above the first number is none,
-    an article without numbers is one paragraph."""
+    an article without numbers is one paragraph. with_articles adds the article's own number, as `article`, and path."""
     key = F.struct("doc", "article_no")
-    a = finished.select(key.alias("doc"), "rubric", F.split("body", "\n").alias("x"))
+    a = finished.select(key.alias("doc"), "rubric", F.col("number").alias("article"), "path", F.split("body", "\n").alias("x"))
     found = paragraphs(a.select("doc", F.posexplode("x").alias("at", "line")).select("doc", (F.col("at") + 1).cast("long").alias("line_no"), "line"))
     text = F.array_join(F.slice("x", F.col("first_line").cast("int"), F.col("n_lines").cast("int")), "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"^\n+", ""), r"(?U)\s+$", "")
     k = a.join(found, "doc").withColumn("text", text).withColumn("any", F.max("number").over(Window.partitionBy("doc")))
     k = k.withColumn("text", F.when(F.col("any").isNull(), _stripped(F.col("text"))).otherwise(F.col("text")))
     k = k.where(F.col("any").isNull() | F.col("number").isNotNull() | (_stripped(F.col("text")) != ""))
-    return k.select("doc.doc", "doc.article_no", "rubric", "paragraph_no", "number", "text")
+    return k.select("doc.doc", "doc.article_no", "rubric", "paragraph_no", "number", "text", *(["article", "path"] if with_articles else []))
+
+
+def act_heads(events: DataFrame) -> DataFrame:
+    """(doc, title, subtitle): the first level-1 heading, and the first level-2 heading after it that is neither a partition
+    nor an article; null where there is none."""
+    p = F.col("payload")
+    other = (F.col("kind") == "h2") & ~p.rlike(_PARTITION) & ~p.rlike(SETEXT) & ~p.rlike(ONLY)
+    first = events.groupBy("doc").agg(F.min(F.when(F.col("kind") == "h1", F.col("line_no"))).alias("at"), F.min_by("payload", F.when(F.col("kind") == "h1", F.col("line_no"))).alias("title"))
+    later = events.where(other).join(first.select("doc", "at"), "doc").where("line_no > at").groupBy("doc").agg(F.min_by("payload", "line_no").alias("subtitle"))
+    return first.join(later, "doc", "left").select("doc", "title", "subtitle")
+
+
+def orphan_text(events: DataFrame) -> DataFrame:
+    """(doc, orphan): plain lines outside any article, joined."""
+    w = Window.partitionBy("doc").orderBy("line_no")
+    kind = F.col("kind")
+    bound = F.when(article_style().isNotNull(), F.lit(True)).when(kind.isin("h1", "atx", "h2"), F.lit(False))
+    e = events.withColumn("inside", F.coalesce(F.last(bound, ignorenulls=True).over(w), F.lit(False)))
+    some = e.where((kind == "line") & ~F.col("inside")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("line_no", "payload"))).alias("lines"))
+    return some.select("doc", F.array_join(F.transform("lines", lambda x: x["payload"]), "\n").alias("orphan"))
 
 
 def cut_notes(rows: DataFrame) -> DataFrame:
@@ -153,10 +186,40 @@ def cut_notes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("noted", F.max((F.trim("line") == "N O T E").cast("int")).over(w)).where("noted = 0").drop("noted")
 
 
-def heading_census(rows: DataFrame) -> DataFrame:
-    """(doc, setext_1, setext_2, atx): headings as the census counts them: any non-blank line above an underline, ATX ones too."""
+#: A census reads headings by its own rules: an ATX heading may have an underline, and any line but blank ones.
+_CENSUS_ATX = r"^(#{1,6}) (.+?)\s*$"
+_CENSUS_ARTICLE = r"(?i)^Art\.?\s*\d+"
+
+
+def census_headings(rows: DataFrame) -> DataFrame:
+    """(doc, line_no, level, text, setext) of all headings as the census counts them.
+
+    ATX of level 1 to 6; a non-blank line above a run of "=" or of two or more "-" is one of level 1 or 2, unless it is
+    such an underline itself. Of underlines in a row every other one counts, from the first on.
+    """
     w = Window.partitionBy("doc").orderBy("line_no")
-    above = F.coalesce(F.trim(F.lag("line").over(w)), F.lit("")) != ""
-    k = rows.withColumn("above", above)
-    one, two = F.col("line").rlike(r"^=+\s*$") & F.col("above"), F.col("line").rlike(r"^-{2,}\s*$") & F.col("above")
-    return k.groupBy("doc").agg(F.count_if(one).alias("setext_1"), F.count_if(two).alias("setext_2"), F.count_if(F.col("line").rlike(r"^#{1,6}\s")).alias("atx"))
+    line = F.col("line")
+    level = F.when(line.rlike(r"^=+\s*$"), 1).when(line.rlike(r"^-{2,}\s*$"), 2)
+    k = rows.withColumn("level", level).withColumn("atx", F.nullif(F.regexp_extract("line", _CENSUS_ATX, 1), F.lit("")))
+    k = k.withColumn("above", F.trim(F.regexp_replace(F.lag("line").over(w), r"\s+", " ")))
+    other = F.col("level").isNull()
+    k = k.withColumn("run", F.sum(other.cast("int")).over(w))
+    place = F.row_number().over(Window.partitionBy("doc", "run").orderBy("line_no"))
+    # Place of a line among the underlines that follow one after the other: the first of them counts if what is above it isn't blank.
+    k = k.withColumn("place", place - F.when(F.col("run") > 0, 1).otherwise(0))
+    first = Window.partitionBy("doc", "run").orderBy("line_no")
+    opens = F.first(F.when(~other, F.coalesce(F.col("above"), F.lit("")) != ""), ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    k = k.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    under = ~other & F.when(F.col("opens"), F.col("place") % 2 == 1).otherwise(F.col("place") % 2 == 0)
+    atx = k.where("atx is not null").select("doc", "line_no", F.length("atx").alias("level"), F.regexp_extract("line", _CENSUS_ATX, 2).alias("text"), F.lit(False).alias("setext"))
+    return atx.unionByName(k.where(under & F.col("atx").isNull()).select("doc", "line_no", "level", F.col("above").alias("text"), F.lit(True).alias("setext")))
+
+
+def census_scan(rows: DataFrame) -> DataFrame:
+    """(doc, s1, s2, a1 .. a6, atx_art, setext_art, plain_art, comma_lines) of each document with lines."""
+    heads = census_headings(rows)
+    article = F.col("text").rlike(_CENSUS_ARTICLE)
+    counts = [F.count_if(F.col("setext") & (F.col("level") == k)).alias(f"s{k}") for k in (1, 2)] + [F.count_if(~F.col("setext") & (F.col("level") == k)).alias(f"a{k}") for k in range(1, 7)]
+    found = heads.groupBy("doc").agg(*counts, F.count_if(~F.col("setext") & article).alias("atx_art"), F.count_if(F.col("setext") & article).alias("setext_art"))
+    plain = rows.groupBy("doc").agg(F.count_if(F.col("line").rlike(r"^\S.*-art\. \d+[a-z .]*$")).alias("plain_art"), F.count_if(F.col("line").rlike(r"^\d+(-[a-z]+)?\. \S")).alias("comma_lines"))
+    return plain.join(found, "doc", "left").na.fill(0).select("doc", *(f"s{k}" for k in (1, 2)), *(f"a{k}" for k in range(1, 7)), "atx_art", "setext_art", "plain_art", "comma_lines")

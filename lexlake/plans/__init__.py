@@ -1,5 +1,6 @@
 """Registered queries and their SQL."""
 
+from . import extra as _extra  # noqa: F401  adds its queries
 from . import more as _more  # noqa: F401  adds its queries
 from .queries import QUERIES, SQL
 

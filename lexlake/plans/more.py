@@ -14,7 +14,7 @@ from ..operators import pipeline as pl
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..sources import html
-from ..streaming import limits, markers
+from ..streaming import limits
 from .queries import Tables, query
 
 
@@ -48,24 +48,6 @@ def bind_unbound(t: Tables) -> DataFrame:
     return got.select("o_orderkey", F.coalesce("own", "one").alias("act")).where("act is not null")
 
 
-@query(r"""SELECT source, count(*) AS files, count(*) FILTER (regexp_matches(text, '^[A-Za-z0-9+/=]{64}')) AS base64, count(*) FILTER (regexp_matches(text, '^[A-Z]')) AS capital, count(*) FILTER (contains(text, chr(10))) AS many_lines, count(*) FILTER (contains(text, '|')) AS tables FROM documents GROUP BY 1""")
-def census_formats(t: Tables) -> DataFrame:
-    """AGG-12/17, SRC-03/11: formats by collection, each a conditional count in one pass."""
-    x = F.col("text")
-    return t("documents").groupBy("source").agg(F.count("*").alias("files"), F.count_if(x.rlike("^[A-Za-z0-9+/=]{64}")).alias("base64"), F.count_if(x.rlike("^[A-Z]")).alias("capital"), F.count_if(F.contains(x, F.lit("\n"))).alias("many_lines"), F.count_if(F.contains(x, F.lit("|"))).alias("tables"))
-
-
-_NAME = "CASE page_id % 6 WHEN 0 THEN concat('2018-01-0', page_id % 9 + 1, '_18G000', page_id % 90 + 10, '_ORIGINALE_V1') WHEN 1 THEN concat('Atto ', '18G000', page_id % 90 + 10) WHEN 2 THEN concat('Legge ', page_id, '_', page_id % 5) WHEN 3 THEN concat('', page_id) WHEN 4 THEN concat('legge-', page_id) ELSE concat('Legge ', page_id, '!') END"
-
-
-@query(rf"""WITH x AS (SELECT page_id, {_NAME} AS name FROM pages), k AS (SELECT *, CASE WHEN regexp_matches(name, '^\d{{4}}-\d{{2}}-\d{{2}}_[0-9A-Za-z]+_(?:VIGENZA_\d{{4}}-\d{{2}}-\d{{2}}|ORIGINALE)_V\d+$') THEN 'dated_code' WHEN regexp_matches(name, '(?:^|[ _.])(?:\d{{2,4}}[A-Z]\d{{4,5}}[A-Z]?|\d{{6,7}}[A-Z])$') THEN 'gazette_code'
-WHEN regexp_matches(name, '_\d+$') THEN 'numbered' WHEN regexp_matches(name, '^\d+$') THEN 'number' WHEN regexp_matches(name, '^[a-z0-9-]+$') THEN 'slug' ELSE 'other' END AS class FROM x)
-SELECT class, count(*) AS n, min(name) AS example FROM k GROUP BY 1""")
-def filename_class(t: Tables) -> DataFrame:
-    """FLT-10, AGG-18."""
-    x = t("pages").select("page_id", F.expr(_NAME).alias("name"))
-    return x.withColumn("class", rp.filename_class(F.col("name"))).groupBy("class").agg(F.count("*").alias("n"), F.min("name").alias("example"))
-
 
 @query("""WITH k AS (SELECT source, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
 h AS (SELECT *, unnest([1, 2, 3]) AS q FROM k), j AS (SELECT *, greatest(1, least(q * (n + 1) // 4, n - 1)) AS j FROM h),
@@ -78,7 +60,7 @@ def size_quartiles(t: Tables) -> DataFrame:
 
 @query(r"""WITH x AS (SELECT source, concat(text, CASE WHEN doc_id % 4 = 0 THEN repeat(chr(0), 1500) WHEN doc_id % 4 = 1 THEN repeat(' ', 40) ELSE '' END) AS text FROM documents),
 p AS (SELECT source, octet_length(encode(text)) - octet_length(encode(rtrim(text, concat(chr(0), ' ', chr(10), chr(9), chr(13))))) AS pad FROM x)
-SELECT source, count(*) FILTER (pad >= 1024) AS padded, sum(CASE WHEN pad >= 1024 THEN pad ELSE 0 END)::BIGINT AS padding_bytes FROM p GROUP BY 1""")
+SELECT source, count(*) FILTER (pad > 1024) AS padded, sum(CASE WHEN pad > 1024 THEN pad ELSE 0 END)::BIGINT AS padding_bytes FROM p GROUP BY 1""")
 def padding_stats(t: Tables) -> DataFrame:
     """AGG-14, SRC-11."""
     pad = F.when(F.col("doc_id") % 4 == 0, F.repeat(F.lit("\x00"), F.lit(1500))).when(F.col("doc_id") % 4 == 1, F.repeat(F.lit(" "), F.lit(40))).otherwise("")
@@ -111,8 +93,8 @@ def extreme_sizes(t: Tables) -> DataFrame:
     return side("largest", F.desc("n_chars")).union(side("smallest", F.asc("n_chars")))
 
 
-@query(r"""WITH x AS (SELECT doc_id, text, n_chars, replace(substr(text, 1, 60), chr(10), ' ') AS head FROM documents),
-y AS (SELECT *, trim(regexp_replace(replace(lower(regexp_replace(translate(head, 'àáâäãèéêëìíîïòóôöõùúûüñçÀÁÂÄÃÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜÑÇ', 'aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC'), '[^\x00-\x7f]', '', 'g')), '.', ''), '[^a-z0-9]+', ' ', 'g')) AS words,
+@query(r"""WITH x AS (SELECT doc_id, text, n_chars, replace(text, chr(10), ' ') AS head FROM documents),
+y AS (SELECT *, trim(regexp_replace(replace(lower(regexp_replace(strip_accents(head), '[^\x00-\x7f]', '', 'g')), '.', ''), '[^a-z0-9]+', ' ', 'g')) AS words,
 trim(CASE WHEN starts_with(text, substr(text, 1, 20)) THEN substr(text, 21) ELSE text END) AS body FROM x)
 SELECT doc_id, words, replace(words, ' ', '-') AS slug, regexp_replace(regexp_replace(lower(head), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS anchor,
 CASE WHEN length(body) <= 240 THEN body ELSE concat(regexp_replace(CASE WHEN contains(substr(body, 1, 240), ' ') THEN regexp_extract(substr(body, 1, 240), '(?s)^(.*) [^ ]*$', 1) ELSE substr(body, 1, 240) END, '[ ,;:.]+$', ''), '…') END AS snippet,
@@ -120,8 +102,8 @@ CASE WHEN length(text) <= 80 THEN text ELSE concat(rtrim(CASE WHEN contains(subs
 CASE WHEN n_chars >= 1048576 THEN concat(format('{:.1f}', floor(n_chars * 10 / 1048576) / 10), ' MB') WHEN n_chars >= 1024 THEN concat(format('{:.1f}', floor(n_chars * 10 / 1024) / 10), ' KB') ELSE concat(n_chars::VARCHAR, ' B') END AS size,
 round_even(n_chars / 2.26, 0)::BIGINT AS tokens FROM y""")
 def text_scalars(t: Tables) -> DataFrame:
-    """REF-05, SCL-04/05/06/08/10/11, CHK-10."""
-    d = t("documents").withColumn("head", F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")))
+    """REF-05, SCL-04/06/10/11, CHK-10."""
+    d = t("documents").withColumn("head", F.replace("text", F.lit("\n"), F.lit(" ")))
     x = F.col("head")
     return d.select("doc_id", tx.normalize_words(x).alias("words"), tx.slug(x).alias("slug"), tx.anchor_slug(x).alias("anchor"), tx.snippet(F.col("text"), F.substring("text", 1, 20)).alias("snippet"), tx.truncate_words(F.col("text"), 80).alias("short"), tx.human_size(F.col("n_chars")).alias("size"), tx.token_estimate(F.col("n_chars")).alias("tokens"))
 
@@ -150,7 +132,7 @@ def urn_identity(t: Tables) -> DataFrame:
 @query("""WITH x AS (SELECT o_orderkey, o_orderkey % 3 AS k, (o_orderkey % 28 + 1)::VARCHAR AS day, (1950 + o_orderkey % 70)::VARCHAR AS y, o_orderkey::VARCHAR AS n, o_orderkey % 12 AS m FROM orders)
 SELECT o_orderkey, concat(CASE k WHEN 0 THEN 'legge' WHEN 1 THEN 'dlgs' ELSE 'rdl' END, '-', n, '-', y) AS act_ref, CASE k WHEN 0 THEN 'legge' WHEN 1 THEN 'decreto_legislativo' ELSE 'regio_decreto_legge' END AS act_type, y::BIGINT AS year, concat(y, '-', lpad((m + 1)::VARCHAR, 2, '0'), '-', lpad(day, 2, '0')) AS date, concat(CASE k WHEN 0 THEN 'Legge ' WHEN 1 THEN 'Decreto Legislativo ' ELSE 'Regio Decreto-Legge ' END, n, '/', y) AS label FROM x""")
 def header_identity(t: Tables) -> DataFrame:
-    """REF-01/02/11/12, UI-01, SCL-14: headers written from order keys, read back."""
+    """REF-01/02, UI-01, SCL-14: headers written from order keys, read back."""
     month = F.array(*map(F.lit, MONTHS))[(F.col("o_orderkey") % 12).cast("int")]
     kind = F.when(F.col("o_orderkey") % 3 == 0, "LEGGE").when(F.col("o_orderkey") % 3 == 1, "DECRETO LEGISLATIVO").otherwise("REGIO DECRETO-LEGGE")
     title = F.concat(kind, F.lit(" "), (F.col("o_orderkey") % 28 + 1).cast("string"), F.lit(" "), month, F.lit(" "), (1950 + F.col("o_orderkey") % 70).cast("string"), F.lit(", n. "), F.col("o_orderkey").cast("string"), F.lit(" (18G00011)"))
@@ -170,7 +152,7 @@ _RATED = "CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type
 _CONFIG = "concat('cfg', cast(cast(json_extract_string(props, '$.k') AS BIGINT) % 4 AS VARCHAR))"
 
 
-@query(f"""WITH r AS (SELECT {_RATED} AS rating, {_CONFIG} AS config FROM events WHERE event_type IN ('purchase', 'signup', 'error')) SELECT config, count(*) AS n, count(*) FILTER (rating = 1) AS up, round(count(*) FILTER (rating = 1) / count(*), 6) AS up_rate FROM r GROUP BY 1""")
+@query(f"""WITH r AS (SELECT {_RATED} AS rating, {_CONFIG} AS config FROM events WHERE event_type IN ('purchase', 'signup', 'error')) SELECT config, count(*) AS n, count(*) FILTER (rating = 1) AS up, round(count(*) FILTER (rating = 1) / count(*), 6) AS up_rate FROM r GROUP BY ROLLUP (config)""")
 def feedback_report(t: Tables) -> DataFrame:
     """AGG-07/08, TOP-08, SCL-09: events as ratings."""
     rows = t("events").withColumn("rating", F.expr(_RATED)).where("rating is not null")
@@ -214,17 +196,9 @@ def windowed_events(t: Tables) -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n")
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\(\(|\)\)')) AS tokens, starts_with(text, '((') AS whole, regexp_matches(text, '\(\(') AS amended, regexp_matches(text, '^\d+\. ') AS numbered FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('((', substr(text, 1, 50), '))') WHEN doc_id % 3 = 1 THEN concat(doc_id::VARCHAR, '. ', text) ELSE text END AS text FROM documents)""")
-def norm_text_marks(t: Tables) -> DataFrame:
-    """UI-02/03/04/05."""
-    marked = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("(("), F.substring("text", 1, 50), F.lit("))"))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("doc_id").cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
-    x = t("documents").select("doc_id", marked.alias("text"))
-    return x.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"\(\(|\)\)"), F.lit(0))).alias("tokens"), F.startswith("text", F.lit("((")).alias("whole"), F.contains("text", F.lit("((")).alias("amended"), F.col("text").rlike(r"^\d+\. ").alias("numbered"))
-
-
-@query(None)
+@query("SELECT doc_id, 0::BIGINT AS pos, concat('dlgs-', doc_id % 90 + 1, '-2008') AS act_ref, 'decreto_legislativo' AS act_type, (doc_id % 90 + 1)::VARCHAR AS number, 2008::BIGINT AS year, (doc_id % 300 + 1)::VARCHAR AS article, '2' AS comma FROM documents UNION ALL SELECT doc_id, 1, 'codice-civile', 'codice', NULL, NULL, '5', NULL FROM documents UNION ALL SELECT doc_id, 2, 'codice-civile', 'codice', NULL, NULL, '7', NULL FROM documents")
 def grammar_refs(t: Tables) -> DataFrame:
-    """EXT-01..09, SET-03/09: references put into the benchmark's and documents' texts, and read back."""
+    """EXT-01..04, FLT-12, SCL-12/13, SET-09: references put into the documents' texts, and read back."""
     ref = F.concat(F.lit(" art. "), (F.col("doc_id") % 300 + 1).cast("string"), F.lit(", comma 2, del d.lgs. "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit("/2008; artt. 5 e 7 c.c. "))
     x = t("documents").select("doc_id", F.concat("text", ref).alias("text"))
     return ci.with_references(x, "text").select("doc_id", F.posexplode("refs").alias("pos", "r")).select("doc_id", "pos", "r.*")
@@ -232,44 +206,36 @@ def grammar_refs(t: Tables) -> DataFrame:
 
 @query(None)
 def html_extract(t: Tables) -> DataFrame:
-    """PRS-10/11."""
+    """Extension: title, shown text and links of raw pages."""
     return html.page_contents(t("pages"))
 
 
-@query(None)
-def marker_stream(t: Tables) -> DataFrame:
-    """STM-01/02/07, EXT-10: turns with markers, cut into pieces of 17 characters."""
-    text = F.concat(F.col("text"), F.lit(" [[dlgs-81-2008 art. 18 comma 1]] [[open "))
-    c = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), text.alias("text"))
-    cut = c.select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 17)), lambda k: F.substring(F.col("text"), (k * 17 + 1).cast("int"), F.lit(17)))).alias("seq", "delta"))
-    return markers.split_streams(cut.select("stream_id", F.col("seq").cast("long").alias("seq"), "delta"))
-
-
 @query(r"""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('CAPO ', doc_id % 9, ' - CAPO ', doc_id % 9, ' ', source) WHEN 1 THEN concat('CAPO ', doc_id % 9, ' CAPO ', doc_id % 7, ' ', source) ELSE concat('Titolo ', source) END AS label, concat('[', source, '](http://x/', doc_id, ') di  legge (18G000', doc_id % 90 + 10, ')') AS title FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 9 = doc_id % 7) THEN regexp_replace(label, '^CAPO \d+ (- )?', '') ELSE label END AS label, concat(regexp_extract(title, '\[([^\]]*)\]', 1), ' di legge') AS title FROM x""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 9 = doc_id % 7) THEN regexp_replace(label, '^CAPO \d+ (- )?', '') ELSE label END AS label, concat(regexp_extract(title, '\[([^\]]*)\]', 1), ' di legge') AS title, concat('Oggetto ', doc_id::VARCHAR) AS rubric FROM x""")
 def label_cleanup(t: Tables) -> DataFrame:
-    """UI-06, CHK-08/09."""
+    """UI-06, CHK-08/09: labels, titles, rubrics."""
     d = t("documents")
     k = lambda n: (F.col("doc_id") % n).cast("string")
     label = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CAPO "), k(9), F.lit(" - CAPO "), k(9), F.lit(" "), "source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("CAPO "), k(9), F.lit(" CAPO "), k(7), F.lit(" "), "source")).otherwise(F.concat(F.lit("Titolo "), "source"))
     title = F.concat(F.lit("["), "source", F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") di  legge (18G000"), (F.col("doc_id") % 90 + 10).cast("string"), F.lit(")"))
-    return d.select("doc_id", tx.partition_label(label).alias("label"), tx.clean_title(title).alias("title"))
+    return d.select("doc_id", tx.partition_label(label).alias("label"), tx.clean_title(title).alias("title"), tx.clean_rubric(F.concat(F.lit("Oggetto  "), F.col("doc_id").cast("string"), F.lit(" (Articolo 3,\ncomma 1)"))).alias("rubric"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS act, l_linenumber AS article, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) - 1 AS split_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS legal_no FROM lineitem),
 k AS (SELECT *, concat('a', act, '#', article, '#', split_no) AS chunk_id FROM c),
-r AS (SELECT o_orderkey AS query_id, o_orderkey AS act, o_orderkey % 4 AS article FROM orders WHERE o_orderkey % 20 = 0),
+r AS (SELECT o_orderkey AS query_id, o_orderkey AS act, o_orderkey // 100 % 4 AS article FROM orders WHERE o_orderkey % 100 = 0),
 e AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY split_no, chunk_id) AS rank, 0 AS tier FROM r JOIN k ON k.act = r.act AND k.article = r.article WHERE r.article > 0 QUALIFY rank <= 12),
 b AS (SELECT query_id, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY legal_no, chunk_id) AS rank, 2 AS tier FROM r JOIN k ON k.act = r.act WHERE r.article = 0 QUALIFY rank <= 2),
 h AS (SELECT query_id, k.chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY k.l_partkey, k.chunk_id) AS rank, 1 AS tier FROM r JOIN k ON k.act = r.act QUALIFY rank <= 3),
 u AS (SELECT query_id, id, min((tier, rank)) AS a FROM (SELECT * FROM e UNION ALL SELECT * FROM b UNION ALL SELECT * FROM h) GROUP BY 1, 2)
 SELECT query_id, id, a[1]::BIGINT AS tier, row_number() OVER (PARTITION BY query_id ORDER BY a[1], a[2], id) AS position FROM u QUALIFY position <= 7""")
 def retrieve_tiers(t: Tables) -> DataFrame:
-    """RET-08/12/13, TOP-03/06: orders as acts, their lines as chunks."""
+    """RET-08/12, TOP-03/06: orders as acts, their lines as chunks."""
     c = t("lineitem").select(F.concat(F.lit("a"), F.col("l_orderkey").cast("string")).alias("act_ref"), F.col("l_linenumber").cast("string").alias("article"), "l_orderkey", "l_linenumber", "l_partkey")
     c = c.withColumn("split_no", F.row_number().over(Window.partitionBy("act_ref", "article").orderBy("l_partkey")) - 1).withColumn("legal_no", F.row_number().over(Window.partitionBy("act_ref").orderBy("l_linenumber", "l_partkey")))
     c = c.withColumn("chunk_id", F.concat_ws("#", "act_ref", "article", F.col("split_no").cast("string")))
-    o = t("orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("act_ref"), F.when(F.col("o_orderkey") % 4 > 0, (F.col("o_orderkey") % 4).cast("string")).alias("article"), F.lit(1).alias("ref_no"))
+    n = F.floor(F.col("o_orderkey") / 100) % 4
+    o = t("orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("act_ref"), F.when(n > 0, n.cast("string")).alias("article"), F.lit(1).alias("ref_no"))
     hybrid = rt.top_per(o.select("query_id", "act_ref").join(c, "act_ref"), ["query_id"], [F.asc("l_partkey"), F.asc("chunk_id")], 3)
     return pl.retrieve(o, c, hybrid.select("query_id", F.col("chunk_id").alias("id"), "rank"), 3)
 

@@ -134,15 +134,15 @@ def citation_frequency(t: Tables) -> DataFrame:
     return rt.citation_frequency(refs, t("part").where("p_size <= 10").select(F.col("p_partkey").alias("target")))
 
 
-@query("""WITH h AS (SELECT l_orderkey AS act, l_linenumber AS article, list_distinct(list(l_suppkey % 5)) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
-m AS (SELECT o_orderkey * 10 + k AS marker, o_orderkey + (o_orderkey % 7 = 0)::INT * 100000000 AS act, CASE WHEN k = 0 THEN NULL ELSE k END AS article, CASE WHEN k = 2 THEN o_orderkey % 5 END AS paragraph FROM orders, (SELECT unnest(range(0, 5)) AS k)),
+@query("""WITH h AS (SELECT l_orderkey AS act, l_linenumber AS article, list_distinct(list(l_suppkey % 5)) AS p FROM lineitem GROUP BY 1, 2),
+m AS (SELECT o_orderkey * 10 + k AS marker, o_orderkey + (o_orderkey % 7 = 0)::INT * 100000000 AS act, CASE WHEN k = 0 THEN NULL ELSE k END AS article, CASE WHEN k = 2 THEN o_orderkey % 5 END AS paragraph FROM orders, (SELECT unnest(range(0, 9)) AS k)),
 g AS (SELECT m.*, a.act IS NOT NULL AS has_act, h.act IS NOT NULL AS has_article, p FROM m LEFT JOIN (SELECT DISTINCT act FROM h) a ON a.act = m.act LEFT JOIN h ON h.act = m.act AND h.article = m.article),
 r AS (SELECT marker, act, article, paragraph, CASE WHEN NOT has_act THEN 'unknown_act' WHEN article IS NOT NULL AND NOT has_article THEN 'unknown_article' WHEN paragraph IS NOT NULL AND NOT coalesce(list_contains(p, paragraph), false) THEN 'unknown_paragraph' ELSE 'ok' END AS reason FROM g)
 SELECT *, reason IN ('ok', 'unknown_paragraph') AS verified FROM r""")
 def guardrail_verdict(t: Tables) -> DataFrame:
-    """JON-07, RET-10: markers made of order keys, checked against the orders' first lines."""
-    hits = t("lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("act"), F.col("l_linenumber").cast("long").alias("article"), F.array(F.col("l_suppkey") % 5).alias("paragraphs"))
-    k = t("orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    """JON-07, RET-10: markers made of order keys, checked against the orders' lines."""
+    hits = t("lineitem").select(F.col("l_orderkey").alias("act"), F.col("l_linenumber").cast("long").alias("article"), F.array(F.col("l_suppkey") % 5).alias("paragraphs"))
+    k = t("orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     act = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 7 == 0, 100000000).otherwise(0)
     markers = k.select((F.col("o_orderkey") * 10 + F.col("k")).alias("marker"), act.alias("act"), F.when(F.col("k") > 0, F.col("k").cast("long")).alias("article"), F.when(F.col("k") == 2, F.col("o_orderkey") % 5).alias("paragraph"))
     return rt.guardrail(markers, hits)
@@ -197,7 +197,7 @@ def first_file_wins(t: Tables) -> DataFrame:
 
 @query(f"WITH {_FILES} SELECT key, coalesce(max_by(status, doc_id) FILTER (status <> 'vigente'), 'vigente') AS status FROM f GROUP BY 1")
 def status_override(t: Tables) -> DataFrame:
-    """WIN-02, REF-10."""
+    """WIN-02."""
     return ing.status_override(_files(t), "key", "status", F.col("doc_id"))
 
 
@@ -222,7 +222,7 @@ def lot_durability(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_FILES}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, doc_id) = 1 AS owner FROM f),
-g AS (SELECT source, count(*) AS files, count(*) FILTER (NOT owner) AS skipped, sum(CASE WHEN owner THEN n_chars ELSE 0 END)::BIGINT AS chars FROM o GROUP BY 1) SELECT *, round_even(chars / 2.26, 0)::BIGINT AS est_tokens FROM g""")
+g AS (SELECT source, count(*) AS files, count(*) FILTER (NOT owner) AS skipped, sum(CASE WHEN owner THEN n_chars ELSE 0 END)::BIGINT AS chars FROM o GROUP BY ROLLUP (source)) SELECT *, round_even(chars / 2.26, 0)::BIGINT AS est_tokens FROM g""")
 def dry_run_estimate(t: Tables) -> DataFrame:
     """AGG-02, ING-09, SCL-10."""
     return ing.dry_run(_files(t), "source", "key", [F.asc("source"), F.asc("doc_id")], F.col("n_chars"))
@@ -247,7 +247,7 @@ def _changes(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SNAP} SELECT status, path, old_path FROM ch")
 def snapshot_diff(t: Tables) -> DataFrame:
-    """SRC-05, FLT-04."""
+    """SRC-05."""
     return _changes(t)
 
 
@@ -259,17 +259,16 @@ def delta_apply(t: Tables) -> DataFrame:
     return ing.apply_changes(acts, _changes(t))
 
 
-@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0 AND l_quantity > 20) AND NOT l_quantity > 20
-AND (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0 AND l_quantity > 20)""")
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45)""")
 def stale_points(t: Tables) -> DataFrame:
-    """SET-05, SNK-04, JON-10: of a fifth of the orders, lines of more than 20 were produced again."""
-    old = t("lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", "l_quantity")
-    return ing.stale_points(old, old.where("l_quantity > 20"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
+    """SET-05, SNK-04, JON-10: lines of more than 45 were produced again."""
+    old = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return ing.stale_points(old, old.where("l_quantity > 45"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 'X', NULL FROM orders WHERE o_orderkey % 40 = 0 AND o_orderkey > 0""")
 def latest_wins_upsert(t: Tables) -> DataFrame:
-    """SNK-02/05/07/14: omitted values become null."""
+    """SNK-02/05/07: omitted values become null."""
     base = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     new = base.where("o_orderkey % 4 = 0").select("o_orderkey").union(base.where("o_orderkey % 40 = 0 and o_orderkey > 0").select(-F.col("o_orderkey")))
     return ing.latest_wins(base, new.select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice")), ["o_orderkey"])
@@ -333,7 +332,7 @@ def comma_scan(t: Tables) -> DataFrame:
 @query("WITH " + _LINES.format(rule=_NUMBERED) + r""", k AS (SELECT doc, line_no, trim(line) AS x FROM l WHERE trim(line) <> ''), k2 AS (SELECT *, row_number() OVER w AS place, max(regexp_matches(x, '^\d+(-ter)?\.\s')::INT) OVER w AS numbered FROM k WINDOW w AS (PARTITION BY doc ORDER BY line_no))
 SELECT doc, arg_min(regexp_extract(x, '^\((.+?)\)\.?$', 1), place) AS rubric FROM k2 WHERE place <= 4 AND numbered = 0 AND regexp_matches(x, '^\([^(].*?\)\.?$') GROUP BY 1""")
 def rubric_extract(t: Tables) -> DataFrame:
-    """PRS-06 over whole documents; PRS-05 and the removal from the body are in article_finish."""
+    """PRS-06 over whole documents; the removal from the body is in article_finish."""
     return pr.rubrics(_lines(t, _NUMBERED))
 
 
@@ -343,13 +342,6 @@ def article_finish(t: Tables) -> DataFrame:
     return pr.article_paragraphs(pr.finish_articles(pr.articles(pr.line_events(_lines(t, _MARKS)))))
 
 
-@query("WITH " + _LINES.format(rule=_MARKS) + r""", k AS (SELECT *, coalesce(trim(lag(line) OVER (PARTITION BY doc ORDER BY line_no)), '') <> '' AS above FROM l)
-SELECT doc, count(*) FILTER (regexp_matches(line, '^=+\s*$') AND above) AS setext_1, count(*) FILTER (regexp_matches(line, '^-{2,}\s*$') AND above) AS setext_2, count(*) FILTER (regexp_matches(line, '^#{1,6}\s')) AS atx FROM k GROUP BY 1""")
-def census_headings(t: Tables) -> DataFrame:
-    """PRS-14, AGG-10/11."""
-    return pr.heading_census(_lines(t, _MARKS))
-
-
 # Chunks.
 
 
@@ -363,13 +355,17 @@ def chunk_split_flag(t: Tables) -> DataFrame:
 UNION ALL SELECT s.doc, s.line_no, CASE WHEN r.size + 1 + s.n <= 1500 THEN r.size + 1 + s.n ELSE s.n END, CASE WHEN r.size + 1 + s.n <= 1500 THEN r.g ELSE r.g + 1 END FROM r JOIN s ON s.doc = r.doc AND s.line_no = r.line_no + 1)
 SELECT doc, g::BIGINT AS group_no, count(*) AS n_lines, min(line_no) AS first_line FROM r GROUP BY 1, 2""")
 def chunk_greedy_groups(t: Tables) -> DataFrame:
-    """CHK-02/03: a fold over each document's line lengths."""
+    """CHK-03: a fold over each document's line lengths."""
     sized = t("documents").select(F.col("doc_id").alias("doc"), F.transform(F.split("text", "\n"), lambda x: F.length(x)).alias("sizes"))
-    each = sized.select("doc", F.posexplode(ch.merge_groups(F.col("sizes"), 1500)).alias("at", "group_no"))
+    each = sized.select("doc", F.posexplode(ch.grouped(F.col("sizes"), 1500)).alias("at", "group_no"))
     return each.groupBy("doc", "group_no").agg(F.count("*").alias("n_lines"), (F.min("at") + 1).alias("first_line"))
 
 
-@query(None)
+@query("WITH RECURSIVE " + _LINES.format(rule="line") + """, s AS MATERIALIZED (SELECT doc, line_no, length(line) AS n, sum(length(line) + 2) OVER (PARTITION BY doc ORDER BY line_no) AS upto, max(line_no) OVER (PARTITION BY doc) AS lines FROM l),
+e AS (SELECT a.doc, a.line_no AS start, greatest(max(CASE WHEN b.upto - (a.upto - a.n - 2) - 2 <= 4500 THEN b.line_no END), a.line_no, max(CASE WHEN b.line_no = a.line_no + 1 AND a.n + 2 + b.n <= 7600 THEN b.line_no END)) AS last FROM s a JOIN s b ON b.doc = a.doc AND b.line_no >= a.line_no AND (b.upto - (a.upto - a.n - 2) - 2 <= 7600 OR b.line_no <= a.line_no + 1) GROUP BY a.doc, a.line_no, a.n),
+nx AS MATERIALIZED (SELECT e.doc, start, last, CASE WHEN last = p.lines THEN NULL WHEN p.n + 2 + q.n <= 7600 THEN last ELSE last + 1 END AS next FROM e JOIN s p ON p.doc = e.doc AND p.line_no = e.last LEFT JOIN s q ON q.doc = e.doc AND q.line_no = e.last + 1),
+r AS (SELECT doc, start, last, next, 0 AS g FROM nx WHERE start = 1 UNION ALL SELECT nx.doc, nx.start, nx.last, nx.next, g + 1 FROM r JOIN nx ON nx.doc = r.doc AND nx.start = r.next)
+SELECT doc, g::BIGINT AS group_no, start::BIGINT AS first_segment, last::BIGINT AS last_segment, (last - start + 1)::BIGINT AS n_segments FROM r""")
 def chunk_overlap_groups(t: Tables) -> DataFrame:
     """CHK-04: ranges with an overlap of one segment."""
     return ch.group_segments(_lines(t, "line").select("doc", "line_no", F.length("line").alias("size")), "doc", "line_no", "size")
@@ -383,14 +379,14 @@ def _header_sql(t: int, r: int, p: int) -> str:
     return f"concat(concat('Legge ', doc_id::VARCHAR, '/', (2000 + doc_id % 20)::VARCHAR), ' — ', {_trunc_sql('title', t)}, chr(10), {_trunc_sql('path', p)}, chr(10), 'Art. ', (doc_id % 50)::VARCHAR, ' — ', {_trunc_sql('rubric', r)}, ' (comma 1)')"
 
 
-@query(f"""WITH x AS (SELECT doc_id, replace(substr(text, 1, 200), chr(10), ' ') AS title, replace(substr(text, 30, 150), chr(10), ' ') AS rubric, replace(substr(text, 11, 90), chr(10), ' ') AS path FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, replace(text, chr(10), ' ') AS title, replace(concat(source, ' ', text), chr(10), ' ') AS rubric, replace(concat(lang, ' ', text), chr(10), ' ') AS path FROM documents),
 h AS (SELECT doc_id, {", ".join(f"{_header_sql(*b)} AS h{k}" for k, b in enumerate(ch.BUDGETS))} FROM x)
 SELECT doc_id, CASE WHEN length(h0) <= 300 THEN h0 WHEN length(h1) <= 300 THEN h1 WHEN length(h2) <= 300 THEN h2 WHEN length(h3) <= 300 THEN h3 ELSE substr(h3, 1, 300) END AS header FROM h""")
 def chunk_header(t: Tables) -> DataFrame:
-    """CHK-06/07/10/11."""
-    part = lambda a, n: F.replace(F.substr("text", F.lit(a), F.lit(n)), F.lit("\n"), F.lit(" "))
+    """CHK-06/07/10."""
+    flat = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     marker = ch.range_marker(F.array(F.lit("1")), F.lit(0), F.lit(2))
-    h = ch.chunk_header(F.lit("Legge"), F.col("doc_id").cast("string"), 2000 + F.col("doc_id") % 20, part(1, 200), part(11, 90), (F.col("doc_id") % 50).cast("string"), part(30, 150), marker)
+    h = ch.chunk_header(F.lit("Legge"), F.col("doc_id").cast("string"), 2000 + F.col("doc_id") % 20, flat(F.col("text")), flat(F.concat_ws(" ", "lang", "text")), (F.col("doc_id") % 50).cast("string"), flat(F.concat_ws(" ", "source", "text")), marker)
     return t("documents").select("doc_id", h.alias("header"))
 
 
@@ -404,7 +400,7 @@ def occurrence_ids(t: Tables) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, lag(l_partkey) OVER w AS before, lead(l_partkey) OVER w AS after FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)""")
 def act_window(t: Tables) -> DataFrame:
-    """WIN-08/09, RET-14, JON-14."""
+    """WIN-08, JON-14."""
     x = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return ch.neighbours(x, "l_orderkey", [F.asc("l_linenumber"), F.asc("l_partkey")], "l_partkey").select("l_orderkey", "l_linenumber", "before", "after")
 
@@ -415,7 +411,7 @@ _ARTICLE = "CASE WHEN p_partkey % 7 = 0 THEN concat('all-', cast(p_size AS strin
 @query(f"""WITH x AS (SELECT p_brand, p_partkey, {_ARTICLE} AS article FROM part),
 y AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY (regexp_extract(article, '^(\\d+)', 1) = ''), TRY_CAST(regexp_extract(article, '^(\\d+)', 1) AS BIGINT) NULLS FIRST, CASE WHEN article LIKE '%-bis' THEN 1 WHEN article LIKE '%-ter' THEN 2 ELSE 0 END, article, p_partkey) AS rank FROM x) SELECT p_brand, p_partkey, article, rank FROM y WHERE rank <= 5""")
 def legal_order(t: Tables) -> DataFrame:
-    """TOP-01/02: the first five of each act."""
+    """TOP-01: the first five of each act."""
     x = t("part").select("p_brand", "p_partkey", F.expr(_ARTICLE).alias("article"))
     return rt.top_per(x, ["p_brand"], [*ch.legal_order(F.col("article")), F.asc("p_partkey")], 5)
 

@@ -58,7 +58,3 @@ def evaluation_set(df: DataFrame) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
     """A table whose readers prune by a column; rows of a value are dealt together, large ones over several files."""
     df.repartition(by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode(mode).partitionBy(by).parquet(path)
-
-
-def server_sent_event(kind: Column, data: Column) -> Column:
-    return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))

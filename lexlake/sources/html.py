@@ -8,16 +8,19 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Fixed values: (tag, class) of elements that start a capture, and what they hold.
+from ..functions.dims import SUFFIX_PATTERN
+
+#: Fixed values: (tag, class) of the elements whose text is captured, and what they hold.
 CAPTURES = {
+    ("h1", "tipo-numero-data-akn"): "title",
+    ("h2", "titolo-atto-akn"): "subtitle",
     ("h2", "article-num-akn"): "number",
-    ("div", "article-heading-akn"): "heading",
-    ("div", "article-pre-comma-text-akn"): "text",
-    ("span", "art_text_in_comma"): "text",
-    ("span", "comma-num-akn"): "paragraph",
-    ("div", "preamble-title-akn"): "title",
+    ("div", "attachment-name"): "attachment",
+    ("span", "art-just-text-akn"): "text",
     ("span", "attachment-just-text"): "text",
+    ("div", "art_aggiornamento-akn"): "text",
 }
 #: Elements without an end tag, and those whose text is not shown.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -25,8 +28,8 @@ SILENT = {"script", "style", "template", "noscript"}
 
 
 class Captures(HTMLParser):
-    """Text of the elements in CAPTURES, in order. Elements of one tag nest; a capture that starts inside another of the
-    same element's siblings closes it; what is open at the end counts."""
+    """Text of the elements in CAPTURES, in order. Elements of one tag nest; a captured element that starts inside another
+    closes it, as they are siblings whose end is missing; what is open at the end counts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -51,6 +54,10 @@ class Captures(HTMLParser):
             if tag == "br":
                 self.parts.append("\n")
 
+    def handle_startendtag(self, tag, attrs):
+        if tag == "br" and self.kind:
+            self.parts.append("\n")
+
     def handle_endtag(self, tag):
         if self.kind and tag == self.tag:
             self.depth -= 1
@@ -94,21 +101,44 @@ class Visible(HTMLParser):
             self.text.append(data)
 
 
-def articles_of(html: str | None) -> list[dict]:
-    """Articles of a captured page: number, annex (NAME of "NAME-art. 5"), heading, text."""
-    out: list[dict] = []
-    reader = Captures()
+_NUMBER = rf"(\d+(?:/\d+)?)(?:[ .-]+({SUFFIX_PATTERN}))?"
+_HEADING = re.compile(rf"(?i)art\.?\s*{_NUMBER}\.?")
+_ATTACHED = re.compile(rf"(\S.*?)-art\.\s+{_NUMBER}")
+
+
+def _number(m: re.Match, at: int) -> str:
+    return f"{m[at]}-{m[at + 1].lower()}" if m[at + 1] else m[at]
+
+
+def _lines(parts: list[str]) -> str:
+    return "\n".join(x.strip() for x in "".join(parts).split("\n")).strip()
+
+
+def act_of(html: str | None) -> dict:
+    """Title, subtitle and articles (number, annex, text, warning) of a captured page.
+
+    An article's heading is "Art. N", an attachment's "NAME-art. N", whose name is the annex. Headings of other forms are
+    the number as they stand, with a warning. The first title and subtitle count. Text before any article is lost unless
+    there is none at all: then it is that of one article, "unico".
+    """
+    reader, out, before = Captures(), [], []
+    head: dict[str, str | None] = {"title": None, "subtitle": None}
     reader.feed(html or "")
     for kind, text in reader.done():
-        text = "\n".join(" ".join(x.split()) for x in text.split("\n")).strip()
-        if kind == "number":
-            m = re.fullmatch(r"(?:(\S.*?)-)?[Aa]rt\.?\s*(\d+(?:/\d+)?(?:[ -][a-z]+)?)\.?", text)
-            out.append({"number": m[2].replace(" ", "-") if m else text, "annex": m[1] if m else None, "heading": None, "text": ""})
-        elif out and kind == "heading":
-            out[-1]["heading"] = text
-        elif out and kind in ("text", "paragraph") and text:
-            out[-1]["text"] += ("\n" if out[-1]["text"] else "") + text
-    return out
+        flat = " ".join(text.split())
+        if kind in head:
+            head[kind] = flat if head[kind] is None else head[kind]
+        elif kind == "number":
+            m = _HEADING.fullmatch(flat)
+            out.append({"number": _number(m, 1) if m else text.strip(), "annex": None, "parts": [], "warning": None if m else "another heading"})
+        elif kind == "attachment":
+            m = _ATTACHED.fullmatch(flat)
+            out.append({"number": _number(m, 2) if m else flat, "annex": m[1] if m else None, "parts": [], "warning": None if m else "another heading"})
+        else:
+            (out[-1]["parts"] if out else before).append(text)
+    if not out:
+        out = [{"number": "unico", "annex": None, "parts": before, "warning": None}]
+    return head | {"articles": [{"number": a["number"], "annex": a["annex"], "text": _lines(a["parts"]), "warning": a["warning"]} for a in out]}
 
 
 def page_contents(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -129,11 +159,13 @@ def page_contents(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
 
 def html_articles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, pos, number, annex, heading, text): a row for each captured article."""
+    """(id, title, subtitle, pos, number, annex, text, warning): a row for each article of each page; null counts as empty."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, k, a["number"], a["annex"], a["heading"], a["text"]) for i, html in zip(f["id"], f["html"], strict=True) for k, a in enumerate(articles_of(html))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "number", "annex", "heading", "text"])
+            acts = [(i, act_of(html)) for i, html in zip(f["id"], f["html"], strict=True)]
+            rows = [(i, act["title"], act["subtitle"], k, a["number"], a["annex"], a["text"], a["warning"]) for i, act in acts for k, a in enumerate(act["articles"])]
+            yield pd.DataFrame(rows, columns=["id", "title", "subtitle", "pos", "number", "annex", "text", "warning"])
 
-    return pages.selectExpr(f"cast({id_col} as long) id", f"{html_col} html").mapInPandas(run, "id long, pos long, number string, annex string, heading string, text string")
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, f"id {kind}, title string, subtitle string, pos long, number string, annex string, text string, warning string")

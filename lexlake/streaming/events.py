@@ -1,12 +1,12 @@
-"""Server-sent events, and admission with two identities."""
+"""Server-sent events: written from parts of an answer, and read back."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 KINDS = ("status", "sources", "token", "citation", "done", "error")
 
@@ -36,47 +36,24 @@ class EventReader:
                     pass
 
 
-class Admission:
-    """Requests of an address and a visitor: at most `open_most` at once and `day_most` a day for each of the two. A refused
-    request leaves no trace; one refused for too many at once costs none of the day's; forgotten ones end after ttl seconds."""
+def frames(kind: Column, data: Column) -> Column:
+    """One frame of a text/event-stream."""
+    return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), F.to_json(data), F.lit("\n\n"))
 
-    def __init__(self, day_most: int, open_most: int, ttl: int = 300):
-        self.day_most, self.open_most, self.ttl = day_most, open_most, ttl
-        self.day: dict[tuple[str, int], int] = {}
-        self.running: dict[str, list[float]] = {}
 
-    def start(self, at: float, *who: str) -> str:
-        for w in who:
-            self.running[w] = [t for t in self.running.get(w, []) if t + self.ttl > at]
-        today = int(at // 86400)
-        if any(len(self.running[w]) >= self.open_most for w in who):
-            return "too_many_at_once"
-        if any(self.day.get((w, today), 0) >= self.day_most for w in who):
-            return "daily_limit"
-        for w in who:
-            self.running[w].append(at)
-            self.day[w, today] = self.day.get((w, today), 0) + 1
-        return "admitted"
+def turn_events(parts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(stream_id, event_no, event, payload, verified) of answered turns, in the order of the wire: status, sources, then
+    each part as a token, a marker with a verdict also as a citation, at the end done.
 
-    def end(self, *who: str) -> None:
-        for w in who:
-            if self.running.get(w):
-                self.running[w].pop(0)
-
-
-def admit(events: DataFrame, day_most: int, open_most: int, ttl: int = 300) -> DataFrame:
-    """(ts, ip, cookie, kind 'start' or 'end') with a verdict for each start, by network: those whose addresses share a
-    prefix of two parts go to one task in time order, since each decision rests on the ones before."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gate, out = Admission(day_most, open_most, ttl), []
-        for r in pdf.sort_values(["ts", "cookie"]).itertuples():
-            at = r.ts.timestamp()
-            if r.kind == "end":
-                gate.end(r.ip, r.cookie)
-            else:
-                out.append((r.ts, r.ip, r.cookie, gate.start(at, r.ip, r.cookie)))
-        return pd.DataFrame(out, columns=["ts", "ip", "cookie", "verdict"])
-
-    keyed = events.selectExpr("*", "substring_index(ip, '.', 2) as network")
-    return keyed.groupBy("network").applyInPandas(run, "ts timestamp, ip string, cookie string, verdict string")
+    parts: (stream_id, seq, kind, payload) from split_streams; verdicts: (stream_id, marker, verified). A marker of another
+    form has no verdict and stays plain text. Streams without parts give nothing.
+    """
+    token = F.struct(F.lit(0).alias("part"), F.lit("token").alias("event"), F.col("payload"), F.lit(None).cast("boolean").alias("verified"))
+    cited = F.struct(F.lit(1).alias("part"), F.lit("citation").alias("event"), F.col("payload"), F.col("verified"))
+    one = verdicts.groupBy("stream_id", F.col("marker").alias("payload")).agg(F.bool_or("verified").alias("verified")).withColumn("kind", F.lit("marker"))
+    both = parts.join(one, ["stream_id", "kind", "payload"], "left")
+    body = both.select("stream_id", (F.col("seq") + 2).alias("at"), F.explode(F.when(F.col("verified").isNotNull(), F.array(token, cited)).otherwise(F.array(token))).alias("e"))
+    edge = [F.struct(F.lit(k).cast("long").alias("at"), F.struct(F.lit(0).alias("part"), F.lit(name).alias("event"), F.lit("").alias("payload"), F.lit(None).cast("boolean").alias("verified")).alias("e")) for k, name in ((0, "status"), (1, "sources"), (1 << 60, "done"))]
+    ends = parts.select("stream_id").distinct().select("stream_id", F.explode(F.array(*edge)).alias("x")).select("stream_id", "x.at", "x.e")
+    w = Window.partitionBy("stream_id").orderBy("at", "e.part")
+    return body.unionByName(ends).withColumn("event_no", F.row_number().over(w)).select("stream_id", "event_no", "e.event", "e.payload", "e.verified")

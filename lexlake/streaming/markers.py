@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+#: Most characters of a marker, its brackets included.
 LONGEST = 200
-_MARKER = re.compile(r"([a-z0-9][a-z0-9-]*)(?:\s+art\.?\s*(\d+(?:/\d+)?(?:-[a-z]+)?))?(?:\s+c(?:omma|\.)?\s*(\d+(?:-[a-z]+)?))?", re.IGNORECASE)
+_ACT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789-")
 
 
 class MarkerParser:
     """Splits a stream of pieces into text and markers; what it gives, joined, is what it got, byte for byte.
 
-    A last "[" and an open "[[" wait for more, the latter up to LONGEST characters: beyond that its "[[" is text and
-    the rest is read again. The first "]]" closes a marker.
+    A last "[" and an open "[[" wait for more, the latter up to LONGEST characters in all: beyond that its "[[" is text
+    and the rest is read again. The first "]]" closes a marker.
     """
 
     def __init__(self, held: str = ""):
@@ -36,10 +37,10 @@ class MarkerParser:
                 yield "text", self.held[:at]
                 self.held = self.held[at:]
             end = self.held.find("]]", 2)
-            if 0 <= end <= LONGEST:
+            if 0 <= end <= LONGEST - 2:
                 yield "marker", self.held[: end + 2]
                 self.held = self.held[end + 2 :]
-            elif end > LONGEST or len(self.held) > LONGEST + 2:
+            elif end >= 0 or len(self.held) > LONGEST:
                 yield "text", "[["
                 self.held = self.held[2:]
             else:
@@ -52,9 +53,21 @@ class MarkerParser:
 
 
 def parsed_marker(marker: str) -> dict:
-    """Act, article and paragraph of a marker; all null if it has another form."""
-    m = _MARKER.fullmatch(marker.removeprefix("[[").removesuffix("]]").strip())
-    return dict(zip(("act", "article", "comma"), m.groups() if m else (None,) * 3, strict=True))
+    """Act, article and paragraph of a marker, [[act|art.N]] or [[act|art.N|c.M]]; all null if it has another form.
+
+    Further fields after the article are passed over; none may be empty or hold spaces or brackets.
+    """
+    act, *fields = marker.removeprefix("[[").removesuffix("]]").split("|")
+    ok = act and _ACT.issuperset(act) and fields and fields[0].startswith("art.") and len(fields[0]) > 4
+    if not ok or not all(f and not any(c.isspace() or c in "[]" for c in f) for f in fields):
+        return dict.fromkeys(("act", "article", "comma"))
+    comma = fields[1][2:] if len(fields) > 1 and fields[1].startswith("c.") and len(fields[1]) > 2 else None
+    return {"act": act, "article": fields[0][4:], "comma": comma}
+
+
+def marker_acts(text: Column) -> Column:
+    """The acts that the markers of a text name, with or without an article, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[([a-z0-9-]+)[|\]]"), F.lit(1)))
 
 
 OUTPUT = "stream_id string, seq long, kind string, payload string, act string, article string, comma string"
@@ -70,17 +83,27 @@ def _rows(stream: str, seq: int, pieces: Iterator[tuple[str, str]]) -> list[tupl
 
 
 def split_streams(pieces: DataFrame) -> DataFrame:
-    """Of whole streams (stream_id, seq, delta): the parts in order. Batch form of the stateful operator."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parser, stream = MarkerParser(), pdf["stream_id"].iloc[0]
-        out: list[tuple] = []
-        for delta in pdf.sort_values("seq")["delta"]:
-            out += _rows(stream, len(out), parser.feed(delta or ""))
-        out += _rows(stream, len(out), parser.finish())
-        return pd.DataFrame(out, columns=NAMES)
-
-    return pieces.groupBy("stream_id").applyInPandas(run, OUTPUT)
+    """Of whole streams (stream_id, seq, delta): the parts in order. Batch form of the stateful operator: each task reads
+    its streams one after the other, in sorted order, and holds only what waits for more."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, parser, seq = None, MarkerParser(), 0
+        for f in frames:
+            out: list[tuple] = []
+            for i, delta in zip(f["stream_id"], f["delta"], strict=True):
+                if i != stream:
+                    if stream is not None:
+                        out += _rows(stream, seq, parser.finish())
+                    stream, parser, seq = i, MarkerParser(), 0
+                new = _rows(i, seq, parser.feed(delta or ""))
+                out += new
+                seq += len(new)
+            yield pd.DataFrame(out, columns=NAMES)
+        if stream is not None:
+            yield pd.DataFrame(_rows(stream, seq, parser.finish()), columns=NAMES)
+
+    known = pieces.where("stream_id is not null").select("stream_id", "seq", "delta")
+    return known.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, OUTPUT)
 
 
 def stateful_markers(pieces: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 import datetime
 import random
+from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexlake.operators.embedding import embed, token_batches
 from lexlake.sources import changes, tables
-from lexlake.streaming.events import Admission, EventReader, admit
+from lexlake.streaming import admission
+from lexlake.streaming.events import EventReader
 
 
 def test_name_status():
@@ -29,18 +32,55 @@ def test_event_reader_at_any_cut():
         assert got == want
 
 
-def test_admission():
-    gate = Admission(day_most=2, open_most=1, ttl=10)
-    assert gate.start(0, "ip", "c1") == "admitted" and gate.start(1, "ip", "c2") == "too_many_at_once"
-    gate.end("ip", "c1")
-    assert gate.start(2, "ip", "c2") == "admitted" and gate.start(20, "ip", "c3") == "daily_limit" and gate.start(21, "other", "c3") == "admitted"
-    assert gate.start(86400, "ip", "c9") == "admitted"
+def admitted_by_hand(rows, day_most, open_most, zone, ttl):
+    """One request after the other."""
+    day, running, out = {}, {}, {}
+    for i, ts, done, *who in sorted(rows, key=lambda r: (r[1], r[0])):
+        today = ts.replace(tzinfo=datetime.UTC).astimezone(ZoneInfo(zone)).date()
+        end = min(done or datetime.datetime.max, ts + datetime.timedelta(seconds=ttl))
+        who = [(k, w) for k, w in enumerate(who)]
+        for w in who:
+            running[w] = [e for e in running.get(w, []) if e > ts]
+        if any(day.get((w, today), 0) >= day_most for w in who):
+            out[i] = "daily_limit"
+        elif any(len(running[w]) >= open_most for w in who):
+            out[i] = "concurrency_limit"
+        else:
+            out[i] = "admitted"
+            for w in who:
+                day[w, today] = day.get((w, today), 0) + 1
+                running[w].append(end)
+    return out
 
 
-def test_admit_frame(spark):
-    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
-    df = spark.createDataFrame([(at(0), "1.2.3.4", "a", "start"), (at(1), "1.2.3.4", "b", "start"), (at(2), "1.2.3.4", "a", "end"), (at(3), "1.2.3.4", "b", "start")], "ts timestamp, ip string, cookie string, kind string")
-    assert [r.verdict for r in admit(df, 5, 1).orderBy("ts").collect()] == ["admitted", "too_many_at_once", "admitted"]
+def test_admission_by_hand(spark):
+    draw = random.Random(2)
+    begin = datetime.datetime(2024, 3, 30, 18)
+    rows = []
+    for i in range(400):
+        ts = begin + datetime.timedelta(seconds=draw.randint(0, 40) * 1800)
+        rows.append((i, ts, None if draw.random() < 0.2 else ts + datetime.timedelta(seconds=draw.randint(0, 4) * 900), f"ip{draw.randint(0, 5)}", f"c{draw.randint(0, 9)}"))
+    df = spark.createDataFrame(rows, "id long, ts timestamp, done timestamp, ip string, cookie string")
+    got = admission.admit(df, 4, 2, "Europe/Rome", 3600).collect()
+    want = admitted_by_hand(rows, 4, 2, "Europe/Rome", 3600)
+    assert {r.id: r.verdict for r in got} == want and len({*want.values()}) == 3
+    for r in got:
+        assert (r.retry_after is None) == (r.verdict == "admitted") and (r.verdict != "concurrency_limit" or r.retry_after == 5)
+
+
+def test_daily_limit_comes_first(spark):
+    at = datetime.datetime(2024, 1, 1, 22, 30)
+    rows = [(1, at, None, "a", "x"), (2, at + datetime.timedelta(seconds=1), None, "a", "y"), (3, at + datetime.timedelta(hours=2), None, "b", "x"), (4, at, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, done timestamp, ip string, cookie string")
+    got = {r.id: (r.verdict, r.retry_after) for r in admission.admit(df, 1, 1, "Europe/Rome").collect()}
+    assert got[1] == ("admitted", None) and got[2] == ("daily_limit", 30 * 60 - 1) and got[3] == ("admitted", None) and got[4] == ("admitted", None)
+
+
+def test_visitors_and_addresses(spark):
+    df = spark.createDataFrame([("1.1.1.1, 2.2.2.2 ", "0123456789abcdef0123456789ABCDEF"), ("", "x"), (None, None)], "h string, c string")
+    v, new = admission.visitor_id(F.col("c"), F.lit("fresh"))
+    got = df.select(admission.rightmost_address(F.col("h"), F.lit("peer")).alias("a"), v.alias("v"), new.alias("n")).collect()
+    assert [tuple(r) for r in got] == [("2.2.2.2", "0123456789abcdef0123456789ABCDEF", False), ("peer", "fresh", True), ("peer", "fresh", True)]
 
 
 def test_batches(spark):

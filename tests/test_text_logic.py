@@ -10,10 +10,10 @@ from lexlake.functions import text as tx
 from lexlake.operators import chunking, identity, ingestion, parsing
 from lexlake.sources import files, html
 from lexlake.streaming import limits
-from lexlake.streaming.markers import LONGEST, MarkerParser, parsed_marker, split_streams, stateful_markers
+from lexlake.streaming.markers import LONGEST, MarkerParser, marker_acts, parsed_marker, split_streams, stateful_markers
 
 def test_markers_keep_every_byte():
-    text = "a [[dlgs-81-2008 art. 18]] b [[x [ [[legge-241-1990]] [[" + "y" * (LONGEST + 50) + "]] tail ["
+    text = "a [[dlgs-81-2008|art.18]] b [[x [ [[legge-241-1990|art.2]] [[" + "y" * (LONGEST + 50) + "]] tail ["
     whole = MarkerParser()
     want = [*whole.feed(text), *whole.finish()]
     n = sum(k == "marker" for k, _ in want)
@@ -27,12 +27,40 @@ def test_markers_keep_every_byte():
         got += parser.finish()
         assert "".join(p for _, p in got) == text
         assert sum(k == "marker" for k, _ in got) == n
-    assert parsed_marker("[[dlgs-81-2008 art. 18 comma 1]]") == {"act": "dlgs-81-2008", "article": "18", "comma": "1"}
-    assert parsed_marker("[[???]]")["act"] is None
+
+
+@pytest.mark.parametrize("marker,want", [
+    ("[[dlgs-81-2008|art.18|c.1]]", ("dlgs-81-2008", "18", "1")),
+    ("[[codice-civile|art.2043]]", ("codice-civile", "2043", None)),
+    ("[[codice-civile|art.54|c.3|lett.a]]", ("codice-civile", "54", "3")),
+    ("[[codice-civile|art.54|lett.a]]", ("codice-civile", "54", None)),
+    ("[[codice-civile|art.54-bis|c.2-ter]]", ("codice-civile", "54-bis", "2-ter")),
+    ("[[Codice|art.1]]", (None, None, None)),
+    ("[[codice-civile|art.]]", (None, None, None)),
+    ("[[codice-civile|art.1||x]]", (None, None, None)),
+    ("[[codice-civile|art.1 bis]]", (None, None, None)),
+    ("[[codice-civile]]", (None, None, None)),
+    ("[[x [[codice-civile|art.1]]", (None, None, None)),
+])
+def test_marker_grammar(marker, want):
+    assert tuple(parsed_marker(marker).values()) == want
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 202])
+def test_longest_marker(n):
+    marker = "[[" + "x" * (n - 4) + "]]"
+    parser = MarkerParser()
+    got = [*parser.feed(marker), *parser.finish()]
+    assert [k for k, _ in got] == (["marker"] if n <= LONGEST else ["text", "text"]) and "".join(p for _, p in got) == marker
+
+
+def test_marker_acts(spark):
+    df = spark.createDataFrame([("a [[legge-1-2000]] [[x-1|art.2]] [[x-1|c]] [[ no]]",)], "t string")
+    assert df.select(marker_acts(F.col("t"))).first()[0] == ["legge-1-2000", "x-1"]
 
 
 def test_stateful_markers_equal_batch(spark, tmp_path):
-    rows = [("a", k, t, k == 3) for k, t in enumerate(["x [", "[legge-1-20", "00]] y", " z"])] + [("b", 0, "[[open", True)]
+    rows = [("a", k, t, k == 3) for k, t in enumerate(["x [", "[legge-1-20", "00|art.1]] y", " z"])] + [("b", 0, "[[open", True)]
     df = spark.createDataFrame(rows, "stream_id string, seq long, delta string, is_end boolean")
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
@@ -40,7 +68,7 @@ def test_stateful_markers_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     joined = lambda d: sorted((r.stream_id, r.kind, r.payload) for r in d.collect() if r.kind == "marker")
-    assert joined(spark.table("parts")) == joined(split_streams(df.drop("is_end"))) == [("a", "marker", "[[legge-1-2000]]")]
+    assert joined(spark.table("parts")) == joined(split_streams(df.drop("is_end"))) == [("a", "marker", "[[legge-1-2000|art.1]]")]
 
 
 def test_line_events(spark):
@@ -123,9 +151,18 @@ def test_payload_and_files(spark, tmp_path):
 
 
 def test_html_articles():
-    page = '<h2 class="article-num-akn">CODICE-art. 5</h2><div class="article-heading-akn">Titolo</div><span class="art_text_in_comma">uno<br>due <span>tre</span></span><h2 class="article-num-akn">Art. 6 bis</h2><span class="art_text_in_comma">aperto'
-    assert html.articles_of(page) == [{"number": "5", "annex": "CODICE", "heading": "Titolo", "text": "uno\ndue tre"}, {"number": "6-bis", "annex": None, "heading": None, "text": "aperto"}]
-    assert html.articles_of(None) == []
+    page = """<div><h1 class="tipo-numero-data-akn">LEGGE
+      1 marzo 2001, n. 5</h1><h1 class="tipo-numero-data-akn">other</h1><span class="art-just-text-akn">lost</span>
+    <h2 class="article-num-akn">Art. 6 bis</h2><span class="a art-just-text-akn">uno<br/>due <span>tre</span> &amp; </span><b>no</b>
+    <div class="art_aggiornamento-akn"><div>nota</div>fine</div><div class="attachment-name">ANNEX-art. 9/2</div><span class="attachment-just-text">aperto
+    <h2 class="article-num-akn">Preambolo</h2><div class="attachment-name">TABELLA A</div>"""
+    act = html.act_of(page)
+    assert act["title"] == "LEGGE 1 marzo 2001, n. 5" and act["subtitle"] is None
+    assert [tuple(a.values()) for a in act["articles"]] == [
+        ("6-bis", None, "uno\ndue tre & notafine", None), ("9/2", "ANNEX", "aperto", None), ("Preambolo", None, "", "another heading"), ("TABELLA A", None, "", "another heading"),
+    ]
+    assert html.act_of(None)["articles"] == [{"number": "unico", "annex": None, "text": "", "warning": None}]
+    assert html.act_of('<span class="art-just-text-akn">solo</span>')["articles"][0]["text"] == "solo"
 
 
 def test_moves_pair_by_content(spark):
