@@ -25,7 +25,8 @@ from .shared import batches, pairs, partitions, release_memory, stored, text_key
 
 WIDTH = 5
 BANDS, ROWS = 36, 5
-COUNTS = 128
+#: Counts of a first sketch, and of the finer one that later rounds compare.
+COUNTS, FINE = 128, 1024
 #: Candidates that a set may check in a round: this to the power of rounds before.
 GROWTH = 4
 
@@ -55,9 +56,9 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def counts(h: np.ndarray) -> bytes:
+def counts(h: np.ndarray, n: int = COUNTS) -> bytes:
     """Shingles by the last bits of their hash, modulo 256."""
-    return np.bincount((h & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype(np.uint8).tobytes()
+    return np.bincount((h & np.uint64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8).tobytes()
 
 
 def may_be_near(size: np.ndarray | int, count: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -75,7 +76,8 @@ def near(common, a, b):
 _DOCS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("counts", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 _LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_SET = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_KEYED_LINK = pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+_SET = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64())), ("fine", pa.binary())])
 
 
 def described(read: DataFrame) -> DataFrame:
@@ -133,13 +135,13 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "key long, node long")
 
 
-def _counted(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COUNTS)
+def _counted(batch: pa.RecordBatch, k: int, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, n)
 
 
-def _out(links: set[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def _out(links: set[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if links:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*((max(x), min(x)) for x in links), strict=True)], schema=_LINK)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], schema=schema)
 
 
 def _groups(got: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
@@ -165,60 +167,69 @@ def first_links(rows: DataFrame) -> DataFrame:
         for _, goes_on, part in _groups(got):
             if not goes_on:
                 nodes, sizes, marks = nodes[:0], sizes[:0], marks[:0]
-            new, size, mark = _numbers(part, 1), _numbers(part, 2), _counted(part, 3)
+            new, size, mark = _numbers(part, 1), _numbers(part, 2), _counted(part, 3, COUNTS)
             left = np.ones(len(new), bool)
             for k in range(len(nodes)):
                 some = may_be_near(sizes[k], marks[k], size, mark)
-                links.update((int(nodes[k]), x) for x in new[some].tolist())
+                links.update((max(x, int(nodes[k])), min(x, int(nodes[k]))) for x in new[some].tolist())
                 left &= ~some
             while left.any():
                 k = int(np.argmax(left))
                 some = may_be_near(size[k], mark[k], size, mark)
                 some[k] = False
                 some &= left
-                links.update((int(new[k]), x) for x in new[some].tolist())
+                links.update((max(x, int(new[k])), min(x, int(new[k]))) for x in new[some].tolist())
                 left &= ~some
                 left[k] = False
                 nodes, sizes, marks = np.append(nodes, new[k]), np.append(sizes, size[k]), np.vstack([marks, mark[k]])
             if len(links) >= 1 << 16:
-                yield from _out(links)
+                yield from _out(links, _LINK)
                 links = set()
-        yield from _out(links)
+        yield from _out(links, _LINK)
         release_memory()
 
     n = partitions(rows)
     return rows.select("key", "node", "size", "counts").repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
 
-def further_links(rows: DataFrame, most: int) -> DataFrame:
-    """Of (key, big, node, root, size, counts): pairs of different roots under a key that may be near, `most` for each node
-    at most (those of the smallest nodes). big marks the key's largest class; a task holds the rows of the others."""
+def further_links(rows: DataFrame) -> DataFrame:
+    """Of (key, big, node, root, size, tried, fine): (key, u, v), nodes of different roots under a key that may be near.
+
+    big marks the rows of the key's largest class; u is always of another. A node of those asks for one more than it has
+    `tried` without success, in its life: if any other candidate is left under the key, one of these is new. So what a
+    class of any size gets is a few rows for each node outside of it. A task holds those nodes.
+    """
 
     def run(got):
-        links: set[tuple[int, int]] = set()
-        nodes, roots, sizes, marks = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COUNTS), np.uint8)
-        for _, goes_on, part in _groups(got):
-            big, new, root, size, mark = part.column(1).to_numpy(zero_copy_only=False), *(_numbers(part, k) for k in (2, 3, 4)), _counted(part, 5)
+        links: set[tuple[int, int, int]] = set()
+        nodes = roots = sizes = left = marks = np.zeros(0, np.int64)
+        for key, goes_on, part in _groups(got):
+            big = part.column(1).to_numpy(zero_copy_only=False)
+            new, root, size, more = (_numbers(part, k) for k in (2, 3, 4, 5))
+            mark = _counted(part, 6, FINE)
             if not goes_on:
-                nodes, roots, sizes, marks = nodes[:0], roots[:0], sizes[:0], marks[:0]
-            small = ~big
+                nodes, roots, sizes, left, marks = new[:0], root[:0], size[:0], more[:0].copy(), mark[:0]
+            at, small = len(nodes), ~big
             if small.any():
-                at = len(nodes)
-                nodes, roots, sizes, marks = np.append(nodes, new[small]), np.append(roots, root[small]), np.append(sizes, size[small]), np.vstack([marks, mark[small]])
+                nodes, roots, sizes, left, marks = (np.concatenate(x) for x in ((nodes, new[small]), (roots, root[small]), (sizes, size[small]), (left, more[small] + 1), (marks, mark[small])))
                 for k in range(at, len(nodes)):
-                    some = may_be_near(sizes[k], marks[k], sizes[:k], marks[:k]) & (roots[:k] != roots[k])
-                    links.update((int(nodes[k]), x) for x in np.sort(nodes[:k][some])[:most].tolist())
-            for k in np.flatnonzero(big).tolist():
-                some = may_be_near(size[k], mark[k], sizes, marks) & (roots != root[k])
-                links.update((int(new[k]), x) for x in np.sort(nodes[some])[:most].tolist())
+                    some = np.flatnonzero(may_be_near(sizes[k], marks[k], sizes[:k], marks[:k]) & (roots[:k] != roots[k]))[: left[k]]
+                    links.update((key, int(nodes[k]), x) for x in nodes[some].tolist())
+                    left[k] -= len(some)
+            if big.any():
+                v, its, sketch, root_ = new[big], size[big], mark[big], root[big]
+                for k in np.flatnonzero(left > 0).tolist():
+                    some = np.flatnonzero(may_be_near(sizes[k], marks[k], its, sketch) & (root_ != roots[k]))[: left[k]]
+                    links.update((key, int(nodes[k]), x) for x in v[some].tolist())
+                    left[k] -= len(some)
             if len(links) >= 1 << 16:
-                yield from _out(links)
+                yield from _out(links, _KEYED_LINK)
                 links = set()
-        yield from _out(links)
+        yield from _out(links, _KEYED_LINK)
         release_memory()
 
     n = partitions(rows)
-    return rows.select("key", "big", "node", "root", "size", "counts").repartition(n, "key").sortWithinPartitions("key", "big", "node").mapInArrow(run, "u long, v long")
+    return rows.select("key", "big", "node", "root", "size", "tried", "fine").repartition(n, "key").sortWithinPartitions("key", "big", "node").mapInArrow(run, "key long, u long, v long")
 
 
 def print_links(nodes: DataFrame) -> DataFrame:
@@ -231,12 +242,11 @@ def print_links(nodes: DataFrame) -> DataFrame:
 
 
 def _checked(links: DataFrame, sets: DataFrame, most: int) -> DataFrame:
-    """(u, v, near) of the `most` candidates of each u with the smallest v, u being the larger."""
-    pair = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    """(u, v, near) of the `most` candidates of each u with the smallest v; u is the node that looks for a partner."""
     if most == 1:
-        pair = pair.groupBy("u").agg(F.min("v").alias("v"))
+        pair = links.groupBy("u").agg(F.min("v").alias("v"))
     else:
-        pair = pair.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("v"))).where(F.col("k") <= most).drop("k")
+        pair = links.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("v"))).where(F.col("k") <= most).drop("k")
     mine, its = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
     both = pair.join(mine, "u").join(its, "v")
     common = F.size(F.array_intersect("u_set", "v_set"))
@@ -256,33 +266,39 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
 
     def sets(got):
         for batch in got:
-            yield from batches(((node, shingle_set(text).view("i8")) for node, text in pairs(batch, "node", "text")), _SET, 256)
+            yield from batches(((node, h.view("i8"), counts(h, FINE)) for node, h in ((node, shingle_set(text)) for node, text in pairs(batch, "node", "text"))), _SET, 256)
         release_memory()
 
     picked = first_docs.join(named, "node", "left_semi")
     known = read.select(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "text")
     # Rows alike in id and text are one document, and each gives the same set.
     of_nodes = known.join(picked, ["unknown", "doc_id", "tie"]).select("node", "text")
-    shingles = stored(of_nodes.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    shingles = stored(of_nodes.mapInArrow(sets, "node long, shingles array<long>, fine binary").dropDuplicates(["node"]))
 
-    links = first_links(keyed.join(sketches, "node")).union(prints)
-    checked = stored(_checked(links, shingles, 1))
+    links = first_links(keyed.join(sketches, "node")).union(prints.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))).where("u <> v")
+    checked = stored(_checked(links.distinct(), shingles, 1))
     refuted = checked.where("not near")
     roots = stored(components(checked.where("near"), "u", "v"))
-    done, most = 1, 1
+    finer = shingles.select("node", F.size("shingles").cast("long").alias("size"), "fine")
+    most = 1
     while True:
         rooted = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.count("*").alias("classes")).where("classes > 1")
         live = stored(rooted.join(classes, "key").select("key", "node", "root", (F.col("root") == F.col("big.root")).alias("big")))
-        # A node has checked `done` candidates at most: of one more under each key some is new, if any is left there.
-        links = further_links(live.join(sketches, "node"), done + 1)
-        links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(refuted, ["u", "v"], "left_anti")
+        tried = refuted.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("tried"))
+        asking = live.join(tried, "node", "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
+        found = stored(further_links(asking.join(finer, "node")))
+        links = found.select("u", "v").distinct()
+        # Each pair of nodes once, whichever of the two looks for the other, and none that was refuted.
+        links = links.groupBy(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).agg(F.min(F.struct("u", "v")).alias("l"))
+        links = links.join(refuted.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")), ["x", "y"], "left_anti").select("l.*")
         most *= GROWTH
         checked = stored(_checked(links, shingles, most))
         if checked.isEmpty():
             return roots
-        done += most
         refuted = stored(refuted.union(checked.where("not near")))
+        # A key without candidates has none from now on: classes only grow together.
+        keyed = live.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
         found = checked.where("near")
         if not found.isEmpty():
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
@@ -290,7 +306,6 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
             merged = components(joined)
             every = roots.union(merged.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
             roots = stored(every.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        keyed = live.select("key", "node")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
