@@ -265,17 +265,20 @@ class _Places:
         """(start, ref, start in ref) of a document's known windows. A place that the document's own chunk gave is replaced
         by the one that the index gave for it, so that matches are with the first places of all texts."""
         start, ref, at = self._windows(key)
-        for r in np.unique(ref):
-            if (its := r.item()) in self.range:
+        refs, which = np.unique(ref, return_inverse=True)
+        order = np.argsort(which.reshape(-1), kind="stable")
+        ends = np.searchsorted(which.reshape(-1)[order], np.arange(len(refs) + 1))
+        for k, its in enumerate(refs.tolist()):
+            if its in self.range:
                 if its not in self.places:
-                    s, refs, ats = self._windows(its)
-                    order = np.argsort(s, kind="stable")
-                    self.places[its] = s[order], refs[order], ats[order]
-                s, refs, ats = self.places[its]
-                mine = np.flatnonzero(ref == r)
-                k = np.minimum(np.searchsorted(s, at[mine]), len(s) - 1)
-                found = s[k] == at[mine]
-                ref[mine[found]], at[mine[found]] = refs[k[found]], ats[k[found]]
+                    s, r, a = self._windows(its)
+                    by = np.argsort(s, kind="stable")
+                    self.places[its] = s[by], r[by], a[by]
+                s, r, a = self.places[its]
+                mine = order[ends[k] : ends[k + 1]]
+                hit = np.minimum(np.searchsorted(s, at[mine]), len(s) - 1)
+                found = s[hit] == at[mine]
+                ref[mine[found]], at[mine[found]] = r[hit[found]], a[hit[found]]
         return start, ref, at
 
 
@@ -421,9 +424,12 @@ def parsed(docs: DataFrame, keep: list[str], window: int, gram: int, id_col: str
     def result(got):
         def made(found: _Places, rows: list[tuple]) -> Iterator[tuple]:
             for text, i, tie, *kept in rows:
-                start, ref, at = found.windows(_key(i, tie))
-                refs, ref = np.unique(ref, return_inverse=True)
-                factors = [(s, k, refs[r].item(), a) for s, k, r, a in parse(start, ref.reshape(-1), at, window)]
+                key = _key(i, tie)
+                factors: list[Factor] = []
+                if key in found.range:
+                    start, ref, at = found.windows(key)
+                    refs, ref = np.unique(ref, return_inverse=True)
+                    factors = [(s, k, refs[r].item(), a) for s, k, r, a in parse(start, ref.reshape(-1), at, window)]
                 yield from finish(kept, i, text, split_words(text), factors)
 
         yield from documents(got, _KNOWN, lambda found, rows: batches(made(found, rows), arrow_out, 2048))
@@ -507,8 +513,8 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     def finish(kept, i, text, words, factors):
         gone = covered(len(words), factors)
-        left = b" ".join([w for w, c in zip(words, gone.tolist(), strict=True) if not c])
-        yield i, len(words), int(gone.sum()), hashlib.sha256(left).hexdigest()
+        left = [w for w, c in zip(words, gone.tolist(), strict=True) if not c] if factors else words
+        yield i, len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
 
     return parsed(docs, [], window, GRAM, id_col, text_col, finish, T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
