@@ -34,8 +34,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * depth
     if kind == 1:
         values = 1 - (np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:]), np.uint8)[:n] - 48)
+        if (values > 1).any():
+            raise ValueError("a sample that is neither 0 nor 1")
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.uint16 if most > 255 else np.uint8)
+        given = re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]
+        if any(not x.isdigit() or len(x) > 5 or int(x) > most for x in given):
+            raise ValueError("a sample above the maximum")
+        values = np.array(given, np.uint16 if most > 255 else np.uint8)
     elif kind == 4:
         row = (width + 7) // 8
         raw = np.frombuffer(data, np.uint8, offset=at + 1)[: row * height]
@@ -129,7 +134,9 @@ TILES = pa.schema([("id", pa.int64()), ("height", pa.int32()), ("width", pa.int3
 def media_tiles(files: DataFrame, id_col: str, data_col: str, side: int = 32) -> DataFrame:
     """Of a column of Netpbm or BMP files: id, height, width, tile (NPY), dhash, error.
 
-    A null, broken or empty image gives a row with the reason in error and null in the rest; repeated rows give a row each.
+    A null, broken or empty image gives a row with the reason in error and null in the rest. Very large ones are reduced
+    from all their samples. Null ids stay null, equal images give equal tiles, repeated rows give a row each, an empty
+    table gives no rows, and other columns play no part.
     """
 
     def run(got):
@@ -157,11 +164,12 @@ def payload_image(text: str | None, width: int = 64) -> tuple[int, bytes]:
 
 
 STORED = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile", pa.binary())])
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored losslessly as an image: doc_id, media (PGM, 64 columns). Null text is empty: one row of zeros."""
+    """Each text stored losslessly as an image: doc_id, media (PGM, 64 columns). Null and empty texts are one row of zeros,
+    very long ones are stored whole; null ids stay null, repeated rows give a row each, an empty table gives no rows."""
 
     def run(got):
         for batch in got:
@@ -173,17 +181,19 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def text_media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored as an image, decoded again, and described: one row for each input row, equal for equal texts.
 
-    feature: difference hash of the decoded image and crc32 of its NPY tile. Null text is empty; null ids stay null.
+    tile is the decoded image reduced to an NPY file of 32 x 32, feature its difference hash and the tile's crc32. Null
+    text is empty; very long texts are stored whole; null ids stay null; repeated rows give a row each; an empty table
+    gives no rows; other columns play no part.
     """
 
     def one(i: int | None, text: str | None) -> tuple:
         n, media = payload_image(text)
         image = decode(media)
-        back = image.tobytes()
-        return i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(npy_tile(image)):08x}"
+        back, tile = image.tobytes(), npy_tile(image)
+        return i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(image)}:{zlib.crc32(tile):08x}", tile
 
     def run(got):
         for batch in got:
             yield from batches((one(i, t) for i, t in pairs(batch, "doc_id", "text")), FEATURES)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")

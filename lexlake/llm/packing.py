@@ -25,9 +25,10 @@ class SumOfSquares:
     """Online packing. filled[h]: how many open windows hold h tokens. An item of s tokens goes to the window whose
     level h makes the sum of filled[h]**2 smallest; a window that becomes full leaves the array.
 
-    Items longer than a window are cut into whole windows first, only the rest is placed. At the end, or when
-    more than max_open windows are open (which bounds the memory), what the open windows hold is laid end to end
-    and cut at whole windows; the last rest is cut into windows of powers of two, which need no padding.
+    Items longer than a window are cut into whole windows first, only the rest is placed. When more than max_open
+    windows are open (which bounds the memory), the fuller half of them is laid end to end and cut at whole windows; the
+    others stay open for the rule. At the end all that is left goes this way, its last rest cut into windows of powers
+    of two, which need no padding.
     """
 
     def __init__(self, size: int = 2048, max_open: int = MAX_OPEN):
@@ -69,14 +70,18 @@ class SumOfSquares:
         self.filled[h + s] += 1
         self.n_open += 1
         if self.n_open > self.max_open:
-            yield from self.drain(last=False)
-
-    def drain(self, last: bool = True) -> Iterator[list[Piece]]:
-        """Closes all open windows, fullest first, so that most keep their pieces whole."""
-        left = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in w]
-        self.open.clear()
-        self.filled[:] = 0
-        self.n_open = 0
+            yield from self.drain(self.max_open // 2, last=False)
+
+    def drain(self, keep: int = 0, last: bool = True) -> Iterator[list[Piece]]:
+        """Closes open windows, fullest first, so that most keep their pieces whole, until `keep` are left."""
+        left: list[Piece] = []
+        for h in sorted(self.open, reverse=True):
+            while self.open[h] and self.n_open > keep:
+                left += self.open[h].pop()
+                self.filled[h] -= 1
+                self.n_open -= 1
+            if not self.open[h]:
+                del self.open[h]
         rest = sum(len(p[2]) for p in left) // 4
         window: list[Piece] = []
         room = self._room(rest, last)
@@ -108,8 +113,9 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, id_col: str = "
     Every document is its tokenizer ids and an end id, 1. Each partition of the input packs its own documents as
     they come, so nothing is shuffled and a task that runs again gives the same rows; sequence_id holds the
     partition in its upper bits. Sequences have `size` tokens but for at most log2(size) shorter ones at the end
-    of a partition, each of a power of two: nothing is padded. A null or empty text is its end id alone; a null
-    id stays null; repeated rows are packed each; an empty table gives no rows.
+    of a partition, each of a power of two: nothing is padded. A null or empty text is its end id alone; a very long
+    one is cut into whole windows; a null id stays null; repeated rows are packed each; of levels that cost the same the
+    fullest is taken; an empty table gives no rows; other columns play no part.
     """
 
     def run(got):

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -128,12 +130,13 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def _ips(text: str) -> Iterator[tuple[int, int]]:
     """Whole runs of dotted numbers, four parts at a time from the left."""
     for m in _DOTTED.finditer(text):
-        parts, at = m[0].split("."), m.start()
+        parts, start = m[0].split("."), m.start()
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
-            start = at + sum(map(len, parts[:k])) + k if k else at
+            end = start + sum(map(len, four)) + 3
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
-                yield start, start + sum(map(len, four)) + 3
+                yield start, end
+            start = end + 1
 
 
 def base_spans(text: str) -> list[Span]:
@@ -376,6 +379,7 @@ def added_spans(text: str, labels: dict[int, int], base: list[Span]) -> list[Spa
         else:
             out.append((LABELS[labels[k]], s, e))
     taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], [*accumulate((e for _, e in taken), max)]
     kept = []
     for kind, s, e in out:
         if kind == "secret" and "=" in text[s:e].rstrip("="):
@@ -384,7 +388,8 @@ def added_spans(text: str, labels: dict[int, int], base: list[Span]) -> list[Spa
             s += 1
         while e > s and text[e - 1] in _EDGE:
             e -= 1
-        if s < e and not any(a < e and s < b for a, b in taken):
+        before = bisect_left(starts, e)
+        if s < e and not (before and reach[before - 1] > s):
             kept.append((kind, s, e))
     return kept
 
@@ -433,8 +438,8 @@ def _tagger(field: Field) -> Tagger:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all).
 
-    Spans are kind:start:end in code points, by kind, then start. Null text is empty and has none; a null id
-    stays null; repeated rows give a row each; an empty table gives no rows.
+    Spans are kind:start:end in code points, by kind, then start. Null text is empty and has none; very long texts are read
+    whole; a null id stays null; repeated rows give a row each; an empty table gives no rows; other columns play no part.
     """
     field = trained()
 
@@ -452,7 +457,9 @@ def _row(i: int | None, base: list[Span], added: list[Span]) -> tuple:
 
 
 def redact_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with all spans of the text replaced; null texts stay null, clean texts unchanged."""
+    """The same rows and columns, with all spans of the text replaced; null texts stay null, clean and empty ones unchanged,
+    very long ones are read whole. Repeated rows are changed alike, an empty table stays empty, other columns are passed on
+    whatever their names."""
     field = trained()
     names = docs.columns
     at = names.index(text_col)

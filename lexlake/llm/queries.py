@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, toxicity.grades_of(table(spark, sf_dir, "labels"))))
 
 
 def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,16 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder, stored
+
+__all__ = ["batches", "cached", "one_thread", "pairs", "partitions", "release_memory", "shared_folder", "stored", "text_key", "texts"]
+
 ROWS_OUT = 4096
 
 
@@ -26,26 +28,6 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster sets; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        java = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if java.isDefined():
-            base = java.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="checkpoints")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lexlake-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation above."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame) -> int:
     """Partitions to deal rows to: as many as the input has, so that each stays as small at any size."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

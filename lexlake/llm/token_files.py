@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 import struct
 import uuid
@@ -45,23 +46,32 @@ def shared_dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 class TokenFile:
-    """Reads a file's bytes; any document is decompressed alone, through the index."""
+    """A file's documents, each read and decompressed alone, through the index: only head and index are held.
 
-    def __init__(self, data: bytes, dictionary: bytes):
-        magic, sha, self.width, self.n, at = HEAD.unpack_from(data)
+    `source` is an open file with seek and read, as pyarrow and Python give them, or the bytes of a file.
+    """
+
+    def __init__(self, source, dictionary: bytes):
+        self.source = io.BytesIO(source) if isinstance(source, bytes) else source
+        magic, sha, self.width, self.n, at = HEAD.unpack(self._read(0, HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         if sha != hashlib.sha256(dictionary).digest():
             raise ValueError("another dictionary")
-        self.data, self.lens = data, zstandard.ZstdDecompressor(dict_data=shared_dictionary(dictionary))
-        self.ids = np.frombuffer(data, "<i8", self.n, at)
-        self.known = np.frombuffer(data, "u1", self.n, at + 8 * self.n)
-        self.offsets = np.frombuffer(data, "<u8", self.n + 1, at + 9 * self.n)
-        self.starts = np.frombuffer(data, "<u8", self.n + 1, at + 17 * self.n + 8)
+        self.lens = zstandard.ZstdDecompressor(dict_data=shared_dictionary(dictionary))
+        index = self._read(at, 25 * self.n + 16)
+        self.ids = np.frombuffer(index, "<i8", self.n)
+        self.known = np.frombuffer(index, "u1", self.n, 8 * self.n)
+        self.offsets = np.frombuffer(index, "<u8", self.n + 1, 9 * self.n)
+        self.starts = np.frombuffer(index, "<u8", self.n + 1, 17 * self.n + 8)
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(size)
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
-        frame = self.data[self.offsets[k] : self.offsets[k + 1]]
+        frame = self._read(int(self.offsets[k]), int(self.offsets[k + 1] - self.offsets[k]))
         return np.frombuffer(self.lens.decompress(frame), f"<u{self.width}").astype("<u4")
 
 
@@ -81,10 +91,18 @@ def _put(path: str, data: bytes) -> None:
         out.write(data)
 
 
-def _get(path: str) -> bytes:
+def _open(path: str):
+    """For reading at any place."""
     where, name = pafs.FileSystem.from_uri(path)
-    with where.open_input_stream(name) as got:
-        return got.read()
+    return where.open_input_file(name)
+
+
+def read_document(path: str, folder: str, k: int) -> np.ndarray:
+    """Ids of the k-th document of one file, without reading the others."""
+    with _open(f"{folder}/dictionary.zdict") as got:
+        dictionary = got.read()
+    with _open(path) as got:
+        return TokenFile(got, dictionary).document(k)
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -96,8 +114,11 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     text is empty. A file's name is new for each attempt of a task and only the manifest, stored after all were
     written, says which count: a lost executor's files are ignored. The folder is below spark.checkpoint.dir.
 
-    The dictionary is trained on at most SAMPLE_DOCS documents of at most SAMPLE_CHARS characters, those with
-    the smallest hash of their id: a bounded sample that only affects the size of the files.
+    Very long texts are encoded whole; repeated rows are written each; an empty table gives no files and an empty
+    manifest; other columns play no part.
+
+    The dictionary is trained on the id arrays of at most SAMPLE_DOCS documents, those with the smallest hash of their
+    id, of each no more than its first SAMPLE_CHARS characters: a bounded sample that only affects the files' size.
     """
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
@@ -105,9 +126,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     enc = encoder(path)
     width = 2 if enc.library.get_vocab_size() <= 1 << 16 else 4
     # Each task names that many ids at most; only the chosen documents' texts come to the driver.
-    short = rows.where(F.length("text") <= SAMPLE_CHARS)
-    chosen = [r.doc_id for r in short.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
-    sample = short.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS).collect() if chosen else []
+    some = rows.where("doc_id is not null and text <> ''")
+    chosen = [r.doc_id for r in some.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()]
+    piece = F.substring("text", 1, SAMPLE_CHARS).alias("text")
+    sample = some.where(F.col("doc_id").isin(chosen)).orderBy("doc_id", F.xxhash64("text")).select(piece).limit(SAMPLE_DOCS).collect() if chosen else []
     dictionary = train_dictionary([serialize(enc.encode(r.text) + END, width) for r in sample])
     sha = hashlib.sha256(dictionary).digest()
     _put(f"{folder}/dictionary.zdict", dictionary)
@@ -151,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
         yield from batches(files(), _FILES, 64)
 
     frames = rows.withColumn("tie", F.xxhash64("text")).mapInArrow(encode, "shard int, doc_id long, tie long, n long, frame binary")
-    dealt = frames.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = frames.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "tie")
     return stored(dealt.mapInArrow(write, "shard int, part int, path string, n_docs long, n_ids long")), folder
 
 
@@ -167,10 +189,13 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, with
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
 
     def read(got):
-        dictionary = _get(f"{folder}/dictionary.zdict")
+        with _open(f"{folder}/dictionary.zdict") as kept:
+            dictionary = kept.read()
         for batch in got:
             for path, base in pairs(batch, "path", "base"):
-                file = TokenFile(_get(path), dictionary)
+                # At most FILE_BYTES and a document: read in one go, as all of it is wanted.
+                with _open(path) as one:
+                    file = TokenFile(one.read(), dictionary)
 
                 def made(file=file, base=base):
                     for k in range(file.n):

@@ -10,15 +10,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import batches, pairs, texts
+from .shared import batches, pairs, stored, texts
 
 SAMPLE_DOCS = 4096
 LEAST_DOCS = 4
 MOST_FEATURES = 4096
 COMMON = 0.03
 SPARSE = 5e-4
+#: How strongly cuts are held to the grades' shares, for grades that no document has.
+HELD = 1e-3
+#: No two cuts lie closer.
+GAP = 1e-3
 GRADES = 3
 STEMS = (3, 4, 5, 6)
 _WORD = re.compile(r"\w+")
@@ -71,71 +76,109 @@ class OrdinalModel:
         return sum(self.above(counts))
 
 
-def fit(rows: list[tuple[str, int]], steps: int = 300, sparse: float = SPARSE) -> OrdinalModel:
-    """Penalised maximum likelihood by accelerated proximal gradient steps; most features get no weight at all.
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
-    The labels tell toxic from not; grade 2 are toxic documents with more than the median number of telling
-    words (of features that nearly only toxic documents have). Of all features of LEAST_DOCS documents or more the
-    MOST_FEATURES that differ most between the classes are fitted. Without two classes there is nothing to
-    learn: no feature has weight and nothing is toxic.
+
+def loss(s: np.ndarray, cuts: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of grades y at scores s, and its slopes by s (of each row) and by the cuts.
+
+    P(grade = k) is the difference of two logistics: F(cuts[k] - s) - F(cuts[k-1] - s), the outer ones 1 and 0.
+    `held` are the cuts that a weak penalty draws to.
     """
-    toxic = np.array([int(bool(y)) for _, y in rows], np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return OrdinalModel({}, [20.0 + k for k in range(GRADES - 1)])
-    n, n1 = len(rows), int(toxic.sum())
-    docs_of: Counter = Counter()
-    toxic_docs_of: Counter = Counter()
-    for (text, _), y in zip(rows, toxic, strict=True):
-        found = {f for w in words(text) for f in word_features(w)}
-        docs_of.update(found)
-        if y:
-            toxic_docs_of.update(found)
-    share = n1 / n
-    names = sorted(f for f, k in docs_of.items() if k >= min(LEAST_DOCS, 1 + n // 100))
-    k0, k1 = np.array([docs_of[f] for f in names]), np.array([toxic_docs_of[f] for f in names])
-    z = np.abs(k1 - k0 * share) / np.sqrt(np.maximum(k0 * share * (1 - share) * (1 - k0 / (n + 1)), 1e-9))
-    best = np.sort(np.argsort(-z, kind="stable")[:MOST_FEATURES])
-    column = {names[k]: j for j, k in enumerate(best)}
-    tell = {f for f in column if toxic_docs_of[f] / docs_of[f] > (1 + share) / 2}
-    entries, hits = [], []
-    for i, (text, _) in enumerate(rows):
-        found = words(text)
-        hits.append(sum(c for w, c in found.items() if any(f in tell for f in word_features(w))))
-        entries += [(i, column[f], value(c)) for f, c in features(text).items() if f in column]
-    hit = np.array(hits)
-    some = hit[(toxic > 0) & (hit > 0)]
-    y = toxic + ((toxic > 0) & (hit > (np.median(some) if len(some) else 0)))
-    r, c, v = (np.array(a) for a in zip(*entries, strict=True))
+    n = len(s)
+    edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+    low, high = _logistic(edge[y] - s), _logistic(edge[y + 1] - s)
+    p = np.maximum(high - low, 1e-12)
+    by_cut = HELD * (cuts - held)
+    np.add.at(by_cut, y[y < len(cuts)], -(high * (1 - high) / p)[y < len(cuts)] / n)
+    np.add.at(by_cut, y[y > 0] - 1, (low * (1 - low) / p)[y > 0] / n)
+    return -float(np.log(p).mean()) + HELD / 2 * float(np.square(cuts - held).sum()), (1 - low - high) / n, by_cut
+
+
+def fit(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, d: int, grades: int = GRADES, sparse: float = SPARSE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of d features, cuts): the least of loss() plus `sparse` times the sum of absolute weights.
+
+    The features are entries (row, column, x) of a sparse matrix; y are grades from 0 to grades - 1. The penalised
+    likelihood is convex; accelerated proximal gradient steps, each as long as the loss allows, lead to its least. Most
+    features get no weight at all. Without two different grades nothing is learned: no weights, cuts from shares.
+    """
+    n = len(y)
+    start = np.array([math.log(((y < k).sum() + 1) / ((y >= k).sum() + 1)) for k in range(1, grades)])
+    start = np.maximum.accumulate(start + GAP * np.arange(grades - 1))
+    if len(np.unique(y)) < 2 or not d:
+        return np.zeros(d), start
     # Frequent features scaled down to the spread of one in COMMON of the documents; rare ones have to earn their weight.
-    d = len(column)
-    scale = 1 / np.sqrt(np.maximum(np.bincount(c, v * v, d) / n, COMMON))
-    v = v * scale[c]
-    cut = np.array([math.log(((y < k).sum() + 1) / ((y >= k).sum() + 1)) for k in range(1, GRADES)])
-    sign = np.stack([(y >= k).astype(float) for k in range(1, GRADES)], 1)
-    # The steepest direction of the data, by power iteration, bounds the step.
-    u = np.ones(d)
-    for _ in range(15):
-        u = np.bincount(c, v * np.bincount(r, v * u[c], n)[r], d)
-        u /= np.linalg.norm(u) + 1e-12
-    curve = (GRADES - 1) * 0.25 * (np.square(np.bincount(r, v * u[c], n)).sum() / n + 1) * 1.05
-    w, b, zw, zb, t = np.zeros(d), cut.copy(), np.zeros(d), cut.copy(), 1.0
+    scale = 1 / np.sqrt(np.maximum(np.bincount(column, x * x, d) / n, COMMON))
+    v = x * scale[column]
+
+    def slopes(w: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value_, by_s, by_b = loss(np.bincount(row, v * w[column], n), b, y, start)
+        return value_, np.bincount(column, v * by_s[row], d), by_b
+
+    w, b = np.zeros(d), start.copy()
+    zw, zb, t, curve = w, b, 1.0, 1.0
     for _ in range(steps):
-        # The two cuts are yes-no questions with shared weights, whose summed loss is convex.
-        s = np.bincount(r, v * zw[c], n)
-        g = (1 / (1 + np.exp(np.clip(zb - s[:, None], -500, 500))) - sign) / n
-        nw = zw - np.bincount(c, v * g.sum(1)[r], d) / curve
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - sparse / curve, 0)
-        nb = np.sort(zb + g.sum(0) / curve)
+        at, gw, gb = slopes(zw, zb)
+        while True:
+            nw = zw - gw / curve
+            nw = np.sign(nw) * np.maximum(np.abs(nw) - sparse / curve, 0)
+            nb = np.maximum.accumulate(zb - gb / curve - GAP * np.arange(grades - 1)) + GAP * np.arange(grades - 1)
+            dw, db = nw - zw, nb - zb
+            if slopes(nw, nb)[0] <= at + gw @ dw + gb @ db + curve / 2 * (dw @ dw + db @ db) + 1e-12:
+                break
+            curve *= 2
         nt = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        if (nw - w) @ (zw - nw) + (nb - b) @ (zb - nb) > 0:  # past the least: no momentum for a step
+            nt = 1.0
         zw, zb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = nw, nb, nt
-    full = w * scale
-    return OrdinalModel({f: float(full[k]) for f, k in column.items() if full[k]}, [float(x) for x in b])
+        w, b, t, curve = nw, nb, nt, curve / 1.2
+    return w * scale, b
+
+
+_COUNTS = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("feature", pa.string()), ("n", pa.int64())])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> OrdinalModel:
-    """From at most sample_docs labelled documents."""
-    return fit([(r.text, r.label) for r in labelled_sample(docs, labels, "toxic", sample_docs).orderBy("doc_id").collect()])
+def grades_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade): 0 not toxic, 1 toxic, 2 toxic and of low quality; a null or absent quality counts as good, a null
+    toxic stays null."""
+    quality = F.coalesce(F.col("quality").cast("int"), F.lit(1)) if "quality" in labels.columns else F.lit(1)
+    toxic = F.col("toxic").cast("int")
+    return labels.select("doc_id", F.when(toxic == 1, F.when(quality == 0, 2).otherwise(1)).when(toxic == 0, 0).alias("grade"))
+
+
+def fit_toxicity(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_DOCS, sparse: float = SPARSE) -> OrdinalModel:
+    """From at most sample_docs documents of (doc_id, grade), grades from 0 to GRADES - 1.
+
+    Tasks count the features; of those that LEAST_DOCS documents or more have, the MOST_FEATURES that differ most between
+    grade 0 and the others are fitted. Only their counts, for the sampled documents, come to the driver. Ids without
+    grade or text are left out, of several grades of an id the smallest counts. Without two grades, or without words,
+    nothing has weight.
+    """
+
+    def count(got):
+        for batch in got:
+            yield from batches(((i, g, f, n) for i, g, t in pairs(batch, "doc_id", "label", "text") for f, n in features(t).items()), _COUNTS)
+
+    sample = labelled_sample(docs, grades.where(F.col("grade").between(0, GRADES - 1)), "grade", sample_docs)
+    every = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, toxic = sum(every.values()), sum(c for g, c in every.items() if g)
+    counted = stored(sample.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, grade int, feature string, n long"))
+    share = toxic / n if n else 0.0
+    k, k1 = F.col("k"), F.col("k1")
+    differ = F.abs(k1 - k * share) / F.sqrt(F.greatest(k * (share * (1 - share)) * (1 - k / (n + 1)), F.lit(1e-9)))
+    some = counted.groupBy("feature").agg(F.count("*").alias("k"), F.count_if("grade > 0").alias("k1")).where(k >= min(LEAST_DOCS, 1 + n // 100))
+    names = sorted(r.feature for r in some.orderBy(differ.desc(), "feature").limit(MOST_FEATURES).collect())
+    chosen = counted.sparkSession.createDataFrame([(f, j) for j, f in enumerate(names)], "feature string, j int")
+    entries = counted.join(F.broadcast(chosen), "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("found"))
+    rows = sample.select("doc_id", "label").join(entries, "doc_id", "left").orderBy("doc_id").collect()
+    flat = [(i, j, value(c)) for i, r in enumerate(rows) for j, c in r.found or ()]
+    row, column, x = (np.array(a, kind) for a, kind in zip(zip(*flat, strict=True) if flat else ((), (), ()), (np.int64, np.int64, float), strict=True))
+    w, b = fit(row, column, x, np.array([r.label for r in rows], np.int64), len(names), GRADES, sparse)
+    if not w.any():
+        # Nothing tells documents apart: none is called toxic, whatever the sample's shares.
+        b = np.maximum(b, 1.0 + np.arange(len(b)))
+    return OrdinalModel({f: float(w[j]) for j, f in enumerate(names) if w[j]}, [float(c) for c in b])
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32()), ("toxic", pa.int32())])
@@ -144,8 +187,9 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_toxi
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, severity (expected grade, 0 to 2), p_toxic (of grade 1 or more), grade, toxic.
 
-    grade is the number of cuts that the document is likelier above than not; toxic is 1 from grade 1 on. Null
-    and empty texts have no words: the severity of the cuts alone. Null ids stay null; repeated rows give a row each.
+    grade is the number of cuts that the document is likelier above than not, ties counting as above; toxic is 1 from
+    grade 1 on. Null and empty texts have no words: the severity of the cuts alone. Very long texts are read whole. Null
+    ids stay null; repeated rows give a row each; an empty table gives no rows; other columns play no part.
     """
 
     def run(got):
@@ -161,7 +205,8 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows whose grade is 0, all columns unchanged; null and empty texts stay."""
+    """The rows whose grade is 0, all columns unchanged; null and empty texts stay. Repeated rows go or stay alike, an empty
+    table stays empty; other columns may have any name."""
     at = docs.columns.index(text_col)
 
     def run(got):

@@ -1,8 +1,10 @@
 """The training-data operators against brute force, exact round trips, and the cases their docstrings define."""
 
 import hashlib
+import io
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -125,6 +127,24 @@ def test_packing_level_minimises_squares():
     assert p.n_open == p.filled.sum()
 
 
+def test_packing_with_few_open_windows(spark, docs, rows):
+    """The bound on open windows closes the fuller ones; every id stays in one piece, nothing is padded."""
+    got = packing.pack_documents(docs.coalesce(1), WORD, max_open=6).toPandas()
+    for _, g in got.sort_values("start").groupby("doc_id"):
+        assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == g.doc_tokens.iloc[0]
+    sizes = got.groupby("sequence_id").length.sum()
+    assert (sizes == 2048).sum() >= len(sizes) - 11 and all(n & (n - 1) == 0 for n in sizes)
+
+
+def test_bpe_digests(docs, rows):
+    lib = Tokenizer.from_file(WORD)
+    got = {r.doc_id: r for r in bpe.encode_documents(docs, WORD, digest=True).collect()}
+    for i, t in rows:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
 def test_token_files(spark, docs, rows):
     lib = Tokenizer.from_file(BYTE)
     manifest, folder = token_files.write_token_files(docs, BYTE)
@@ -141,6 +161,16 @@ def test_token_files(spark, docs, rows):
     assert [r.doc_id for r in odd] == sorted((i for i, _ in EDGE), key=lambda i: (i is not None, i or 0))
 
 
+def test_documents_are_read_alone(spark, tmp_path):
+    """Through head and index only; texts that are all long have a dictionary too."""
+    df = spark.createDataFrame([(k, f"word{k} and more " * 3000) for k in range(12)], "doc_id long, text string")
+    manifest, folder = token_files.write_token_files(df, BYTE, folder=f"file://{tmp_path}/tokens")
+    (row,) = manifest.collect()
+    lib = Tokenizer.from_file(BYTE)
+    assert token_files.read_document(row.path, folder, 7).tolist() == [*lib.encode("word7 and more " * 3000, add_special_tokens=False).ids, 0]
+    assert (tmp_path / "tokens" / "dictionary.zdict").stat().st_size > 0
+
+
 def test_one_document_of_a_token_file():
     dictionary = token_files.train_dictionary([bytes(range(200)) * 3] * 5)
     press = zstandard.ZstdCompressor(dict_data=token_files.shared_dictionary(dictionary))
@@ -159,7 +189,7 @@ def test_media_formats():
     assert (media.decode(b"P3 # c\n2 1\n255\n1 2 3 4 5 6") == np.array([[[1, 2, 3], [4, 5, 6]]])).all()
     assert (media.decode(b"P1\n3 2\n1 0 1\n010") == 1 - np.array([[1, 0, 1], [0, 1, 0]])).all()
     assert (media.decode(b"P4\n3 1\n\xa0") == np.array([[0, 1, 0]])).all()
-    for broken in (b"", b"P7", b"P5\n2 2\n255\nabc", b"BM", b"P2\n1"):
+    for broken in (b"", b"P7", b"P5\n2 2\n255\nabc", b"BM", b"P2\n1", b"P2 1 1 255 300", b"P2 1 1 255 -1", b"P2 1 1 9 10", b"P3 1 1 255 1 2 999999999999999999999", b"P1 1 1 7", b"P5 1 1 70000 xx", b"P2 9999999 9999999 255 1"):
         with pytest.raises(ValueError):
             media.decode(broken)
     small = media.area_resize(g, 3, 5)
@@ -174,14 +204,31 @@ def test_media_columns(spark):
     assert np.load(__import__("io").BytesIO(got[1].tile)).shape == (32, 32)
 
 
+def area_means(image, height, width):
+    """Mean over each cell's exact area, sample by sample."""
+    def share(n, cells, k):
+        low, high = k * n / cells, (k + 1) * n / cells
+        return [(j, min(high, j + 1) - max(low, j)) for j in range(int(low), min(n, int(np.ceil(high)))) if min(high, j + 1) > max(low, j)]
+
+    h, w = image.shape
+    rows_, cols = [share(h, height, k) for k in range(height)], [share(w, width, k) for k in range(width)]
+    return [[sum(float(image[i, j]) * a * b for i, a in r for j, b in c) / (h / height * w / width) for c in cols] for r in rows_]
+
+
 def test_text_media(docs, rows):
     got = {r.doc_id: r for r in media.text_media_features(docs).collect()}
     stored_ = {r.doc_id: bytes(r.media) for r in media.text_media(docs).collect()}
-    for i, t in rows:
+    for i, t in rows[:60]:
         raw = t.encode()
         full = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        image = np.frombuffer(full, np.uint8).reshape(-1, 64)
+        cells = area_means(image, 8, 9)
+        bits = "".join(str(int(round(cells[a][b + 1], 6) > round(cells[a][b], 6))) for a in range(8) for b in range(8))
+        tile = np.load(io.BytesIO(r.tile))
+        assert np.abs(tile - np.array(area_means(image, 32, 32))).max() <= 0.5 + 1e-6 and tile.dtype == np.uint8
+        assert r.feature == f"{int(bits, 2):016x}:{zlib.crc32(r.tile):08x}"
         assert r.media_sha256 == hashlib.sha256(stored_[i]).hexdigest() and r.media_bytes == len(stored_[i]) and media.decode(stored_[i]).tobytes() == full
 
 
@@ -199,6 +246,32 @@ def test_base_spans_equal_patterns(rows):
         assert sorted(pii.base_spans(t)) == sorted(base_by_patterns(t))
 
 
+def test_personal_data_columns(docs, rows):
+    """Counts, digest and spans of the query against the patterns; added spans touch no base span."""
+    for r in pii.find_personal_data(docs).collect():
+        base = sorted(base_by_patterns(dict(rows)[r.doc_id]), key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1], x[2])) and {*base} <= {*spans}
+        assert all(b <= s or e <= a for _, s, e in {*spans} - {*base} for _, a, b in base)
+
+
+@pytest.mark.parametrize("piece", ["1.", "a@", "a@b.c ", "+1 ", "1 ", "a", "+1 555 555 5555 x@y ", "9"])
+def test_personal_data_in_linear_time(piece):
+    tagger = pii.Tagger(pii.trained())
+
+    def took(n):
+        text = piece * (n // len(piece))
+        began = time.process_time()
+        pii.redact(text, sum(next(pii._found([text], tagger)), []))
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 0.5 + 30 * took(100_000)
+
+
 def test_field_decodes_as_one_chain(rows):
     field, tagger = pii.trained(), pii.Tagger(pii.trained(), limit=50)
     many = [t.split() for _, t in rows]
@@ -416,9 +489,14 @@ def labelled(sf, col):
     return ([(t, y) for t, y, _ in c] for c in cut)
 
 
-def test_toxicity_on_held_out_rows():
+def fitted(spark, rows):
+    df = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "doc_id long, text string, grade int")
+    return toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "grade"))
+
+
+def test_toxicity_on_held_out_rows(spark):
     train, held = labelled("sf0.1", "toxic")
-    model = toxicity.fit(train)
+    model = fitted(spark, train)
     assert model.cuts == sorted(model.cuts)
     got = [model.above(toxicity.words(t))[0] >= 0.5 for t, _ in held]
     hit = sum(g and y for g, (_, y) in zip(got, held, strict=True))
@@ -426,8 +504,83 @@ def test_toxicity_on_held_out_rows():
     assert all(a >= b for t, _ in held[:200] for a, b in [model.above(toxicity.words(t))])
 
 
-def test_toxicity_without_two_classes():
-    assert toxicity.fit([("a b", 0), ("c", 0)]).weights == {} and toxicity.fit([]).above(toxicity.words("x"))[0] < 0.5
+def grade_probability(s, cuts, k):
+    """Of one document, by the definition of a cumulative link."""
+    above = [1.0, *(1 / (1 + np.exp(c - s)) for c in cuts), 0.0]
+    return above[k] - above[k + 1]
+
+
+def test_ordinal_fit_is_the_least_of_its_likelihood():
+    """Against the slopes of the plain dense likelihood, by differences: zero at the cuts, the penalty's at the weights."""
+    draw = np.random.default_rng(4)
+    n, d, grades, sparse = 400, 12, 4, 0.01
+    x = draw.random((n, d)) * (draw.random((n, d)) < 0.5)
+    y = np.digitize(x @ draw.normal(0, 3, d) * (np.arange(d) < 4).mean() + draw.logistic(0, 1, n), [0.0, 1.0, 2.5])
+    row, column = np.nonzero(x)
+    w, cuts = toxicity.fit(row, column, x[row, column], y, d, grades, sparse, steps=3000)
+    scale = 1 / np.sqrt(np.maximum((x**2).mean(0), toxicity.COMMON))
+    share = np.array([np.log(((y < k).sum() + 1) / ((y >= k).sum() + 1)) for k in range(1, grades)]) + toxicity.GAP * np.arange(grades - 1)
+
+    def plain(u, b):
+        s = (x * scale) @ u
+        return -np.mean([np.log(grade_probability(a, b, k)) for a, k in zip(s, y, strict=True)]) + toxicity.HELD / 2 * ((b - share) ** 2).sum()
+
+    u, h = w / scale, 1e-5
+    slope_w = np.array([(plain(u + h * e, cuts) - plain(u - h * e, cuts)) / (2 * h) for e in np.eye(d)])
+    slope_b = np.array([(plain(u, cuts + h * e) - plain(u, cuts - h * e)) / (2 * h) for e in np.eye(grades - 1)])
+    assert np.abs(slope_b).max() < 1e-4 and (np.diff(cuts) > 0).all()
+    assert (np.abs(slope_w[u != 0] + sparse * np.sign(u[u != 0])) < 1e-4).all() and (np.abs(slope_w[u == 0]) <= sparse + 1e-4).all()
+    assert 0 < (u != 0).sum() < d
+
+
+def test_severity_by_hand(spark):
+    model = toxicity.OrdinalModel({"bad": 1.0, "baddest": 0.5, "badde*": 0.25}, [0.5, 2.0])
+    s = 1.0 * (1 + np.log(2)) + 0.5 + 0.25
+    above = [1 / (1 + np.exp(c - s)) for c in model.cuts]
+    rows = [(1, "Bad, BAD baddest good"), (2, None), (3, ""), (3, "")]
+    got = sorted(map(tuple, toxicity.score_toxicity(edge(spark, rows), model).collect()))
+    assert np.allclose(got[0][:3], (1, sum(above), above[0])) and got[0][3:] == (sum(p >= 0.5 for p in above), 1)
+    none = sum(1 / (1 + np.exp(c)) for c in model.cuts)
+    assert np.allclose([r[1] for r in got[1:]], none) and len(got) == 4
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(edge(spark, rows), model).collect()) == [2, 3, 3]
+
+
+def test_toxicity_of_odd_samples(spark):
+    for rows in ([], [("a b", 0), ("c", 0)], [("!!", 1), ("?", 0), ("", 1), (None, 0)], [(None, 1), (None, 2)], [("a", None), ("b", 7), ("c", -1)]):
+        model = fitted(spark, rows) if rows else toxicity.fit_toxicity(edge(spark, []), spark.createDataFrame([], "doc_id long, grade int"))
+        assert model.weights == {} and model.above(toxicity.words("x"))[0] < 0.5, rows
+    # Null ids and grades are left out, of several the smallest counts, labels of other documents play no part.
+    docs = spark.createDataFrame([(k, "fine words" if k % 2 else "vile words") for k in range(60)] + [(1, "fine words"), (None, "vile")], "doc_id long, text string")
+    labels = [(k, int(k % 2 == 0), 1) for k in range(60)] + [(0, None, 1), (3, 1, 0), (None, 1, 1), (999, 1, 1), (4, 1, None)]
+    model = toxicity.fit_toxicity(docs, toxicity.grades_of(spark.createDataFrame(labels, "doc_id long, toxic int, quality int")))
+    assert model.above(toxicity.words("vile words"))[0] > 0.5 > model.above(toxicity.words("fine words"))[0]
+    grades = {tuple(r) for r in toxicity.grades_of(spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, None, 0), (5, 1, None)], "doc_id long, toxic int, quality int")).collect()}
+    assert grades == {(1, 2), (2, 1), (3, 0), (4, None), (5, 1)}
+
+
+def test_ranking_equals_plain_descent():
+    """Newton steps against small gradient steps on the same pairs."""
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(300, 5))
+    y = (x[:, 0] + 0.5 * x[:, 1] + draw.normal(size=300) > 0).astype(int)
+    model = quality.fit(x, y, n_pairs=500, n_knots=3, decay=1e-2)
+    f, again = model.expand(x), np.random.default_rng(7)
+    d = f[again.choice(np.flatnonzero(y == 1), 500)] - f[again.choice(np.flatnonzero(y == 0), 500)]
+    w = np.zeros(d.shape[1])
+    for _ in range(20_000):
+        w += 0.5 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 1e-2 * w)
+    assert np.allclose(w, model.weights, atol=1e-4)
+    assert model.threshold == np.quantile(f @ model.weights, (y == 0).mean())
+    assert ((model.scores(x) >= quality.CUT) == (f @ model.weights >= model.threshold - 1e-9)).all()
+
+
+def test_quality_of_odd_samples(spark):
+    docs = edge(spark)
+    for labels in ([], [(1, None), (None, 1)], [(1, 1), (2, 1)], [(1, 0), (1, 1), (7, 1), (7, 1), (99, 0), (3, 0)]):
+        model = quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        got = quality.score_quality(docs, model).collect()
+        assert len(got) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+        assert {r.doc_id: r.held_out for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in EDGE}
 
 
 def test_quality_on_held_out_rows():
