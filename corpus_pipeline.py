@@ -11,7 +11,7 @@ from lexlake.llm import near_copies, packing, pii, shared, substrings, toxicity
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the ordinal model, fitted on the labelled ones among docs, grades as toxic."""
-    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit_toxicity(docs, toxicity.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.drop_toxic(docs, model)
 
 
