@@ -167,7 +167,7 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_D
     share = toxic / n if n else 0.0
     k, k1 = F.col("k"), F.col("k1")
     differ = F.abs(k1 - k * share) / F.sqrt(F.greatest(k * (share * (1 - share)) * (1 - k / (n + 1)), F.lit(1e-9)))
-    some = counted.groupBy("feature").agg(F.count("*").alias("k"), F.count_if("grade > 0").alias("k1")).where(k >= min(LEAST_DOCS, 1 + n // 100))
+    some = counted.groupBy("feature").agg(F.count("*").alias("k"), F.count_if(F.col("grade") > 0).alias("k1")).where(k >= min(LEAST_DOCS, 1 + n // 100))
     names = sorted(r.feature for r in some.orderBy(differ.desc(), "feature").limit(MOST_FEATURES).collect())
     chosen = counted.sparkSession.createDataFrame([(f, j) for j, f in enumerate(names)], "feature string, j int")
     entries = counted.join(F.broadcast(chosen), "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("found"))
