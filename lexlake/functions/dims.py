@@ -13,30 +13,70 @@ SUFFIX_PATTERN = "|".join(sorted(SUFFIXES, key=len, reverse=True))
 #: Months.
 MONTHS = ["gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre"]
 
-#: Words of an act's kind, its type, the prefix of its key, its label.
-ACT_TYPES = [
-    ("legge", "legge", "legge", "Legge"),
-    ("legge costituzionale", "legge_costituzionale", "legge-cost", "Legge Costituzionale"),
-    ("decreto legge", "decreto_legge", "dl", "Decreto-Legge"),
-    ("decreto legislativo", "decreto_legislativo", "dlgs", "Decreto Legislativo"),
-    ("decreto legislativo luogotenenziale", "decreto_legislativo_luogotenenziale", "dlgs-lgt", "Decreto Legislativo Luogotenenziale"),
-    ("decreto legge luogotenenziale", "decreto_legge_luogotenenziale", "dl-lgt", "Decreto-Legge Luogotenenziale"),
-    ("decreto luogotenenziale", "decreto_luogotenenziale", "dlt", "Decreto Luogotenenziale"),
-    ("decreto legislativo del capo provvisorio dello stato", "decreto_legislativo_cps", "dlcps", "Decreto Legislativo del Capo Provvisorio dello Stato"),
-    ("regio decreto", "regio_decreto", "rd", "Regio Decreto"),
-    ("regio decreto legge", "regio_decreto_legge", "rdl", "Regio Decreto-Legge"),
-    ("regio decreto legislativo", "regio_decreto_legislativo", "rdlgs", "Regio Decreto Legislativo"),
-    ("decreto del presidente della repubblica", "dpr", "dpr", "D.P.R."),
-    ("dpr", "dpr", "dpr", "D.P.R."),
-    ("decreto del presidente del consiglio dei ministri", "dpcm", "dpcm", "D.P.C.M."),
-    ("dpcm", "dpcm", "dpcm", "D.P.C.M."),
-    ("decreto ministeriale", "decreto_ministeriale", "dm", "Decreto Ministeriale"),
-    ("dm", "decreto_ministeriale", "dm", "Decreto Ministeriale"),
-    ("decreto", "decreto", "decreto", "Decreto"),
-    ("codice", "codice", "codice", "Codice"),
-    ("testo unico", "testo_unico", "tu", "Testo Unico"),
-    ("atto normativo", "atto_normativo", "atto", "Atto normativo"),
-]
+#: Types of acts by the words that name their kind.
+TYPE_OF_KIND = {
+    "legge": "legge",
+    "legge costituzionale": "legge_costituzionale",
+    "decreto legge": "decreto_legge",
+    "decreto legislativo": "decreto_legislativo",
+    "decreto legislativo luogotenenziale": "decreto_legislativo_luogotenenziale",
+    "decreto legge luogotenenziale": "decreto_legge_luogotenenziale",
+    "decreto luogotenenziale": "decreto_luogotenenziale",
+    "decreto legislativo del capo provvisorio dello stato": "decreto_legislativo_cps",
+    "regio decreto": "regio_decreto",
+    "regio decreto legge": "regio_decreto_legge",
+    "regio decreto legislativo": "regio_decreto_legislativo",
+    "decreto del presidente della repubblica": "dpr",
+    "dpr": "dpr",
+    "decreto del presidente del consiglio dei ministri": "dpcm",
+    "dpcm": "dpcm",
+    "decreto ministeriale": "decreto_ministeriale",
+    "dm": "decreto_ministeriale",
+    "decreto": "decreto",
+    "codice": "codice",
+}
+#: Prefix of an act's key by its type.
+KEY_PREFIX = {
+    "legge": "legge",
+    "legge_costituzionale": "legge-cost",
+    "decreto_legge": "dl",
+    "decreto_legislativo": "dlgs",
+    "decreto_legislativo_luogotenenziale": "dlgs-lgt",
+    "decreto_legge_luogotenenziale": "dl-lgt",
+    "decreto_luogotenenziale": "dlt",
+    "decreto_legislativo_cps": "dlcps",
+    "regio_decreto": "rd",
+    "regio_decreto_legge": "rdl",
+    "regio_decreto_legislativo": "rdlgs",
+    "dpr": "dpr",
+    "dpcm": "dpcm",
+    "decreto_ministeriale": "dm",
+    "decreto": "decreto",
+    "codice": "codice",
+    "testo_unico": "tu",
+    "atto_normativo": "atto",
+}
+#: How a type is written.
+TYPE_LABEL = {
+    "legge": "Legge",
+    "legge_costituzionale": "Legge Costituzionale",
+    "decreto_legge": "Decreto-Legge",
+    "decreto_legislativo": "Decreto Legislativo",
+    "decreto_legislativo_luogotenenziale": "Decreto Legislativo Luogotenenziale",
+    "decreto_legge_luogotenenziale": "Decreto-Legge Luogotenenziale",
+    "decreto_luogotenenziale": "Decreto Luogotenenziale",
+    "decreto_legislativo_cps": "Decreto Legislativo del Capo Provvisorio dello Stato",
+    "regio_decreto": "Regio Decreto",
+    "regio_decreto_legge": "Regio Decreto-Legge",
+    "regio_decreto_legislativo": "Regio Decreto Legislativo",
+    "dpr": "D.P.R.",
+    "dpcm": "D.P.C.M.",
+    "decreto_ministeriale": "Decreto Ministeriale",
+    "decreto": "Decreto",
+    "codice": "Codice",
+    "testo_unico": "Testo Unico",
+    "atto_normativo": "Atto normativo",
+}
 
 #: Names that open a code's title, and its key.
 CODES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,26 @@ def hashed_embedding(texts: list[str], width: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+@dataclass(frozen=True)
+class Model:
+    """Vectors of documents and of queries, which some models make in different ways."""
+
+    name: str
+    width: int
+    documents: Callable[[list[str]], np.ndarray]
+    queries: Callable[[list[str]], np.ndarray]
+
+
+MODELS: dict[str, Callable[[], Model]] = {"hashed-64": lambda: Model("hashed-64", 64, hashed_embedding, hashed_embedding)}
+
+
+def model_named(name: str) -> Model:
+    """A model by the name under which MODELS has it; unknown names raise."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[name]()
+
+
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], np.ndarray] = hashed_embedding, out: str = "embedding") -> DataFrame:
     """Adds the model's vector of each text; null counts as empty."""
 

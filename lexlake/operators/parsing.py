@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,32 +121,46 @@ def _stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
 
 
+_NUMBERED = re.compile(PARAGRAPH, re.ASCII)
+_BRACKETED = re.compile(r"\((?!\()(.+?)\)\.?")
+
+
+def finished(style: str | None, body: str | None) -> tuple[str | None, str]:
+    """(rubric, body without it) of one article, cut at the first line that is exactly N O T E."""
+    lines = (body or "").split("\n")
+    bare = [x.strip() for x in lines]
+    if "N O T E" in bare:
+        lines = lines[: bare.index("N O T E")]
+    some = [k for k, x in enumerate(bare[: len(lines)]) if x]
+    if style == "atx" and some:
+        stop = begin = some[0]
+        while stop < len(lines) and bare[stop] and not _NUMBERED.match(lines[stop]):
+            stop += 1
+        if stop > begin:
+            return " ".join(bare[begin:stop]), "\n".join(lines[:begin] + lines[stop:])
+    elif style == "plain":
+        for k in some[:4]:
+            if _NUMBERED.match(bare[k]):
+                break
+            if m := _BRACKETED.fullmatch(bare[k]):
+                return m[1], "\n".join(lines[:k] + lines[k + 1 :])
+    return None, "\n".join(lines)
+
+
 def finish_articles(arts: DataFrame) -> DataFrame:
     """Articles with rubric, and the body without it and without the lines from the first that is exactly N O T E.
 
     ATX articles: the first block of non-blank lines, up to a numbered one, joined by spaces. Plain ones: the line in
-    single brackets that `rubrics` finds. Others have none.
+    single brackets that `rubrics` finds. Others have none. A fold over an article's lines, in Arrow batches.
     """
-    a = arts.withColumn("x", F.split("body", "\n")).withColumn("note", F.array_position(F.transform("x", _stripped), "N O T E").cast("int"))
-    a = a.withColumn("x", F.when(F.col("note") > 0, F.slice("x", F.lit(1), F.greatest(F.col("note") - 1, F.lit(0)))).otherwise(F.col("x"))).withColumn("bare", F.transform("x", _stripped))
-    size = F.size("x")
-    begin = F.array_position(F.transform("bare", lambda b: b != ""), True).cast("int")
-    a = a.withColumn("begin", F.greatest(begin, F.lit(1)))
-    stop = F.array_position(F.transform("x", lambda line, i: (i + 1 >= F.col("begin")) & ((_stripped(line) == "") | line.rlike(PARAGRAPH))), True).cast("int")
-    a = a.withColumn("stop", F.when(stop > 0, stop).otherwise(size + 1))
-    pattern = r"^\((?!\()(.+?)\)\.?$"
-    four = F.slice(F.filter(F.transform("bare", lambda b, i: F.struct(b.alias("b"), (i + 1).alias("at"))), lambda s: s["b"] != ""), 1, 4)
-    a = a.withColumn("four", four)
-    found = F.array_position(F.transform("four", lambda s: s["b"].rlike(pattern)), True).cast("int")
-    numbered = F.array_position(F.transform("four", lambda s: s["b"].rlike(PARAGRAPH)), True).cast("int")
-    a = a.withColumn("at", F.when((found > 0) & ((numbered == 0) | (found < numbered)), F.try_element_at("four", found)["at"]))
-    block, bracket = (F.col("style") == "atx") & (F.col("stop") > F.col("begin")), (F.col("style") == "plain") & F.col("at").isNotNull()
-    first = F.when(block, F.col("begin")).otherwise(F.col("at"))
-    after = F.when(block, F.col("stop")).otherwise(F.col("at") + 1)
-    rubric = F.when(block, F.array_join(F.slice("bare", F.col("begin"), F.greatest(F.col("stop") - F.col("begin"), F.lit(0))), " ")).when(bracket, F.regexp_extract(F.try_element_at("bare", F.col("at")), pattern, 1))
-    rest = F.filter("x", lambda line, i: (i + 1 < first) | (i + 1 >= after))
-    body = F.array_join(F.when(block | bracket, rest).otherwise(F.col("x")), "\n")
-    return a.select("doc", "article_no", "number", "style", "path", rubric.alias("rubric"), body.alias("body"))
+
+    @F.arrow_udf("struct<rubric: string, body: string>")
+    def run(style: pa.Array, body: pa.Array) -> pa.Array:
+        rows = [finished(s, b) for s, b in zip(style.to_pylist(), body.to_pylist(), strict=True)]
+        return pa.array([{"rubric": r, "body": b} for r, b in rows], pa.struct([("rubric", pa.string()), ("body", pa.string())]))
+
+    done = arts.withColumn("done", run("style", "body"))
+    return done.select("doc", "article_no", "number", "style", "path", "done.rubric", "done.body")
 
 
 def article_paragraphs(finished: DataFrame, with_articles: bool = False) -> DataFrame:

@@ -279,6 +279,16 @@ def path_headers(t: Tables) -> DataFrame:
     return w.select("l_orderkey", "l_linenumber", "l_returnflag", F.coalesce(F.col("l_returnflag") != F.col("before"), F.lit(True)).alias("shown"))
 
 
+@query("""WITH x AS (SELECT l_orderkey AS act_ref, l_suppkey % 3 AS article, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) AS occurrence FROM lineitem),
+w AS (SELECT act_ref, article, pos FROM x WHERE occurrence = 1 AND article = 1)
+SELECT x.act_ref, x.article, x.pos, x.occurrence, w.article AS wanted FROM x JOIN w ON w.act_ref = x.act_ref AND x.pos BETWEEN w.pos - 1 AND w.pos + 1""")
+def article_window(t: Tables) -> DataFrame:
+    """RET-14, WIN-03/08: the first article 1 of each order with its neighbours."""
+    x = t("lineitem").select(F.col("l_orderkey").alias("act_ref"), (F.col("l_suppkey") % 3).alias("article"), "l_linenumber", "l_partkey")
+    wanted = x.select("act_ref").distinct().withColumn("article", F.lit(1).cast("long"))
+    return pl.article_window(x, wanted, [F.asc("l_linenumber"), F.asc("l_partkey")])
+
+
 # Streams.
 
 _TURNS = "SELECT concat_ws('-', conv_id, turn) AS stream_id, coalesce(text, '') AS text, turn FROM conversations"

@@ -240,13 +240,15 @@ def retrieve_tiers(t: Tables) -> DataFrame:
     return pl.retrieve(o, c, hybrid.select("query_id", F.col("chunk_id").alias("id"), "rank"), 3)
 
 
-@query(None)
+@query("""WITH x AS (SELECT doc_id, concat(text, ' di cui all''articolo ', doc_id + 1, ' e all''art. ', doc_id + 2, ' della legge 7 agosto 1990, n. 241 ') AS text FROM documents),
+c AS (SELECT q.doc_id AS query_id, x.doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY q.doc_id ORDER BY x.doc_id) AS place, greatest(1, length(x.text) // 4) AS cost FROM documents q JOIN x ON x.doc_id IN (q.doc_id + 1, q.doc_id + 2) WHERE q.doc_id % 100 = 0)
+SELECT query_id, chunk_id, place, sum(cost) OVER (PARTITION BY query_id ORDER BY place)::BIGINT AS spent FROM c QUALIFY spent <= 6000""")
 def follow_citations(t: Tables) -> DataFrame:
-    """RET-09, EXT-05..09: documents as articles whose texts cite the next ones."""
+    """RET-09, JON-06, EXT-06/09: documents as articles whose texts cite the next ones."""
     n = F.col("doc_id")
     cite = F.concat(F.lit(" di cui all'articolo "), (n + 1).cast("string"), F.lit(" e all'art. "), (n + 2).cast("string"), F.lit(" della legge 7 agosto 1990, n. 241 "))
-    c = t("documents").select(n.cast("string").alias("chunk_id"), F.lit("legge-241-1990").alias("act_ref"), n.cast("string").alias("article"), F.lit(0).alias("split_no"), F.concat("text", cite).alias("text"))
-    hits = c.where("cast(chunk_id as long) % 100 = 0").withColumn("query_id", F.col("chunk_id").cast("long"))
+    c = t("documents").select(n.cast("string").alias("chunk_id"), F.lit("legge-241-1990").alias("act_ref"), n.cast("string").alias("article"), F.lit(0).alias("split_no"), n.alias("legal_no"), F.concat("text", cite).alias("text"))
+    hits = c.where("cast(chunk_id as long) % 100 = 0").withColumns({"query_id": F.col("chunk_id").cast("long"), "position": F.lit(1)})
     return pl.follow_citations(hits, c, 6000)
 
 

@@ -56,5 +56,6 @@ def evaluation_set(df: DataFrame) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, mode: str = "overwrite") -> None:
-    """A table whose readers prune by a column; rows of a value are dealt together, large ones over several files."""
-    df.repartition(by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode(mode).partitionBy(by).parquet(path)
+    """A table whose readers prune by a column. Rows of a value are dealt together; adaptive execution cuts large values into
+    several files and joins small ones, by their size."""
+    df.hint("rebalance", by).write.mode(mode).partitionBy(by).parquet(path)

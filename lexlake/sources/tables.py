@@ -44,3 +44,20 @@ def current_runs(log: DataFrame) -> DataFrame:
     note = F.array(F.struct(F.lit(None).cast("string").alias("file_path"), F.col("note").alias("error")))
     errors = F.coalesce("errors", F.expr("cast(array() as array<struct<file_path:string,error:string>>)"))
     return last.select("id", "status", F.when(F.col("note").isNotNull(), F.concat(errors, note)).otherwise(errors).alias("errors"))
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, or no rows where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def migrated(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of an older version under a newer schema: new columns are null, old ones cast; a column that the new one lacks
+    raises, as nothing is dropped silently."""
+    gone = [c for c in df.columns if c not in schema.names]
+    if gone:
+        raise ValueError(f"columns that the new schema lacks: {', '.join(gone)}")
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

@@ -66,8 +66,49 @@ def parsed_marker(marker: str) -> dict:
 
 
 def marker_acts(text: Column) -> Column:
-    """The acts that the markers of a text name, with or without an article, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[([a-z0-9-]+)[|\]]"), F.lit(1)))
+    """The acts that the markers of a text name, whatever follows the act, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[\[([a-z0-9-]+)[|]"), F.lit(1)))
+
+
+def _may_become_marker(part: str) -> bool:
+    """An open "[[..." that further text could make a marker."""
+    body = part[2:].removesuffix("]")
+    act, *fields = body.split("|")
+    if len(part) > LONGEST or not _ACT.issuperset(act):
+        return False
+    if fields and not ("art.".startswith(fields[0]) or fields[0].startswith("art.")):
+        return False
+    shown = [f.removeprefix("art.") if k == 0 and f.startswith("art.") else f for k, f in enumerate(fields)]
+    return not any(c.isspace() or c in "[]" for f in shown for c in f) and all(fields[1:-1])
+
+
+def segments(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of a text that may still grow: text, markers of the grammar, and at the end perhaps one pending, which
+    might become a marker. Pairs of another form are text, and neighbouring texts are one."""
+    out: list[tuple[str, str]] = []
+
+    def add(kind: str, value: str) -> None:
+        if kind == "text" and out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + value)
+        elif value:
+            out.append((kind, value))
+
+    at = 0
+    while (start := text.find("[[", at)) >= 0:
+        add("text", text[at:start])
+        end = text.find("]]", start + 2)
+        if end >= 0:
+            pair = text[start : end + 2]
+            add("marker" if parsed_marker(pair)["act"] else "text", pair)
+            at = end + 2
+        elif _may_become_marker(text[start:]):
+            add("pending", text[start:])
+            return out
+        else:
+            add("text", "[[")
+            at = start + 2
+    add("text", text[at:])
+    return out
 
 
 OUTPUT = "stream_id string, seq long, kind string, payload string, act string, article string, comma string"

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexlake.operators.embedding import embed, token_batches
+from lexlake.operators.embedding import embed, model_named, token_batches
+from lexlake.operators.identity import citation_label
 from lexlake.sources import changes, tables
-from lexlake.streaming import admission
-from lexlake.streaming.events import EventReader
+from lexlake.sources.files import write_partitioned
+from lexlake.streaming import admission, feeds
+from lexlake.streaming.events import EventReader, turn_events
 
 
 def test_name_status():
@@ -103,3 +105,63 @@ def test_tables(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "running", None, None), (1, 2, "failed", None, "interrupted")], "id long, at long, status string, errors array<struct<file_path:string,error:string>>, note string")
     (row,) = tables.current_runs(log).collect()
     assert row.status == "failed" and row.errors[0].error == "interrupted" and row.errors[0].file_path is None
+
+
+def test_migrated(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = tables.migrated(old, T.StructType.fromDDL("k long, v string, w double"))
+    assert new.dtypes == [("k", "bigint"), ("v", "string"), ("w", "double")] and tuple(new.first()) == (1, "a", None)
+    with pytest.raises(ValueError):
+        tables.migrated(old, T.StructType.fromDDL("k long"))
+
+
+def test_alerts_are_remembered(spark, tmp_path):
+    state, got = str(tmp_path / "sent"), []
+    alerts = lambda at: spark.createDataFrame([("a", at, "m"), ("a", at + 5, "later"), ("b", at, "n")], "key string, at long, message string")
+
+    def send(key, message):
+        got.append((key, message))
+        return key == "a"
+
+    assert feeds.push_alerts(spark, alerts(0), state, send) == 1 and got == [("a", "m"), ("b", "n")]
+    assert feeds.push_alerts(spark, alerts(100), state, send) == 0 and got[2:] == [("b", "n")]
+    assert feeds.push_alerts(spark, alerts(feeds.QUIET), state, send) == 1
+
+
+def test_feed_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("upsert", "a/1.md", None), ("delete", "a/2.md", None)], "status string, path string, old_path string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        feeds.run_feed(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_models_by_name():
+    assert model_named("hashed-64").queries(["a"]).shape == (1, 64)
+    with pytest.raises(ValueError):
+        model_named("none")
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("dlgs-81-2008", "18", "1"), ("codice-civile", "2043", None)], "r string, a string, c string")
+    names = {"codice-civile": "Cod. civ."}
+    assert [x[0] for x in df.select(citation_label(F.col("r"), F.col("a"), F.col("c"), names)).collect()] == ["Decreto Legislativo 81/2008, art. 18, c. 1", "Cod. civ., art. 2043"]
+
+
+def test_turn_events_of_odd_streams(spark):
+    parts = spark.createDataFrame([("s", 0, "marker", "[[x]]"), ("s", 1, "marker", "[[y|art.1]]"), ("t", 0, "text", "a")], "stream_id string, seq long, kind string, payload string")
+    verdicts = spark.createDataFrame([("s", "[[y|art.1]]", False), ("s", "[[y|art.1]]", True), ("t", "a", True)], "stream_id string, marker string, verified boolean")
+    got = {}
+    for r in turn_events(parts, verdicts).orderBy("stream_id", "event_no").collect():
+        got.setdefault(r.stream_id, []).append((r.event, r.payload, r.verified))
+    assert got["s"] == [("status", "", None), ("sources", "", None), ("token", "[[x]]", None), ("token", "[[y|art.1]]", None), ("citation", "[[y|art.1]]", True), ("done", "", None)]
+    assert [e for e, *_ in got["t"]] == ["status", "sources", "token", "done"]
+
+
+def test_write_partitioned(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "case when id % 10 > 0 then 'big' else concat('s', id % 3) end as kind")
+    write_partitioned(df, str(tmp_path / "t"), "kind")
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert got.where("kind = 'big'").count() == 900 and got.count() == 1000
+    assert "PartitionFilters: [isnotnull(kind" in got.where("kind = 'big'")._jdf.queryExecution().executedPlan().toString()

@@ -10,7 +10,7 @@ from lexlake.functions import text as tx
 from lexlake.operators import chunking, identity, ingestion, parsing
 from lexlake.sources import files, html
 from lexlake.streaming import limits
-from lexlake.streaming.markers import LONGEST, MarkerParser, marker_acts, parsed_marker, split_streams, stateful_markers
+from lexlake.streaming.markers import LONGEST, MarkerParser, marker_acts, parsed_marker, segments, split_streams, stateful_markers
 
 def test_markers_keep_every_byte():
     text = "a [[dlgs-81-2008|art.18]] b [[x [ [[legge-241-1990|art.2]] [[" + "y" * (LONGEST + 50) + "]] tail ["
@@ -56,7 +56,21 @@ def test_longest_marker(n):
 
 def test_marker_acts(spark):
     df = spark.createDataFrame([("a [[legge-1-2000]] [[x-1|art.2]] [[x-1|c]] [[ no]]",)], "t string")
-    assert df.select(marker_acts(F.col("t"))).first()[0] == ["legge-1-2000", "x-1"]
+    assert df.select(marker_acts(F.col("t"))).first()[0] == ["x-1"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a [[x|art.1]] b", [("text", "a "), ("marker", "[[x|art.1]]"), ("text", " b")]),
+    ("a [[no]] b [[x|ar", [("text", "a [[no]] b "), ("pending", "[[x|ar")]),
+    ("[[x|art.1|c.2]", [("pending", "[[x|art.1|c.2]")]),
+    ("[[ no [[x-", [("text", "[[ no "), ("pending", "[[x-")]),
+    ("[[x|com", [("text", "[[x|com")]),
+    ("[[x|art.1||", [("text", "[[x|art.1||")]),
+    ("[[" + "x" * 300, [("text", "[[" + "x" * 300)]),
+    ("", []),
+])
+def test_segments_of_growing_text(text, want):
+    assert segments(text) == want
 
 
 def test_stateful_markers_equal_batch(spark, tmp_path):
