@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import batches, pairs, stored, texts
+from .shared import batches, pairs, release_memory, stored, texts
 
 SAMPLE_DOCS = 4096
 LEAST_DOCS = 4
@@ -136,7 +136,8 @@ def fit(row: np.ndarray, column: np.ndarray, x: np.ndarray, y: np.ndarray, d: in
     return w * scale, b
 
 
-_COUNTS = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("feature", pa.string()), ("n", pa.int64())])
+_COUNTS = pa.schema([("feature", pa.string()), ("k", pa.int64()), ("k1", pa.int64())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("columns", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
@@ -157,24 +158,46 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_D
     """
 
     def count(got):
+        """How many documents of the task have each feature, and how many of those have a grade above 0."""
+        every: Counter = Counter()
+        above: Counter = Counter()
         for batch in got:
-            yield from batches(((i, g, f, n) for i, g, t in pairs(batch, "doc_id", "label", "text") for f, n in features(t).items()), _COUNTS)
-
-    sample = labelled_sample(docs, grades.where(F.col("grade").between(0, GRADES - 1)), "grade", sample_docs)
+            for g, t in pairs(batch, "label", "text"):
+                found = {f for w in words(t) for f in word_features(w)}
+                every.update(found)
+                if g:
+                    above.update(found)
+        yield from batches(((f, k, above[f]) for f, k in every.items()), _COUNTS)
+        release_memory()
+
+    sample = stored(labelled_sample(docs, grades.where(F.col("grade").between(0, GRADES - 1)), "grade", sample_docs))
     every = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n, toxic = sum(every.values()), sum(c for g, c in every.items() if g)
-    counted = stored(sample.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, grade int, feature string, n long"))
     share = toxic / n if n else 0.0
     k, k1 = F.col("k"), F.col("k1")
     differ = F.abs(k1 - k * share) / F.sqrt(F.greatest(k * (share * (1 - share)) * (1 - k / (n + 1)), F.lit(1e-9)))
-    some = counted.groupBy("feature").agg(F.count("*").alias("k"), F.count_if(F.col("grade") > 0).alias("k1")).where(k >= min(LEAST_DOCS, 1 + n // 100))
-    names = sorted(r.feature for r in some.orderBy(differ.desc(), "feature").limit(MOST_FEATURES).collect())
-    chosen = counted.sparkSession.createDataFrame([(f, j) for j, f in enumerate(names)], "feature string, j int")
-    entries = counted.join(F.broadcast(chosen), "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "n"))).alias("found"))
-    rows = sample.select("doc_id", "label").join(entries, "doc_id", "left").orderBy("doc_id").collect()
-    flat = [(i, j, value(c)) for i, r in enumerate(rows) for j, c in r.found or ()]
-    row, column, x = (np.array(a, kind) for a, kind in zip(zip(*flat, strict=True) if flat else ((), (), ()), (np.int64, np.int64, float), strict=True))
-    w, b = fit(row, column, x, np.array([r.label for r in rows], np.int64), len(names), GRADES, sparse)
+    counted = sample.select("label", "text").mapInArrow(count, "feature string, k long, k1 long").groupBy("feature").agg(F.sum("k").alias("k"), F.sum("k1").alias("k1"))
+    some = counted.where(k >= min(LEAST_DOCS, 1 + n // 100)).orderBy(differ.desc(), "feature").limit(MOST_FEATURES)
+    names = sorted(r.feature for r in some.select("feature").collect())
+    number = {f: j for j, f in enumerate(names)}
+
+    def chosen(got):
+        for batch in got:
+            def rows(batch=batch):
+                for i, g, t in pairs(batch, "doc_id", "label", "text"):
+                    found = sorted((number[f], c) for f, c in features(t).items() if f in number)
+                    yield i, g, [j for j, _ in found], [c for _, c in found]
+
+            yield from batches(rows(), _FOUND, 512)
+
+    # As arrays of numbers, not as rows of objects: sample_docs documents with MOST_FEATURES features each at most.
+    got = sample.mapInArrow(chosen, "doc_id long, label int, columns array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    sizes = np.array(got["columns"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False), np.int64) if len(got) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column, times = (np.array(got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64) if len(got) else np.zeros(0, np.int64) for c in ("columns", "counts"))
+    x, y = 1.0 + np.log(np.maximum(times, 1)), got["label"].to_numpy().astype(np.int64)
+    w, b = fit(row, column, x, y, len(names), GRADES, sparse)
+    release_memory()
     if not w.any():
         # Nothing tells documents apart: none is called toxic, whatever the sample's shares.
         b = np.maximum(b, 1.0 + np.arange(len(b)))
