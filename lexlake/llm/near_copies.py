@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .components import components
-from .shared import batches, pairs, partitions, release_memory, stored, text_key, texts
+from .shared import batches, pairs, partitions, release_memory, stored, stored_with, text_key, texts
 
 WIDTH = 5
 BANDS, ROWS = 36, 5
@@ -293,14 +293,14 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
         links = links.groupBy(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).agg(F.min(F.struct("u", "v")).alias("l"))
         links = links.join(refuted.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")), ["x", "y"], "left_anti").select("l.*")
         most *= GROWTH
-        checked = stored(_checked(links, shingles, most))
-        if checked.isEmpty():
+        checked, seen = stored_with(_checked(links, shingles, most), n=F.count("*"), near=F.count_if("near"))
+        if not seen["n"]:
             return roots
         refuted = stored(refuted.union(checked.where("not near")))
         # A key without candidates has none from now on: classes only grow together.
         keyed = live.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
-        found = checked.where("near")
-        if not found.isEmpty():
+        if seen["near"]:
+            found = checked.where("near")
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
             joined = found.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
             merged = components(joined)

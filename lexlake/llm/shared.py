@@ -8,12 +8,12 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder, stored
 
-__all__ = ["batches", "cached", "one_thread", "pairs", "partitions", "release_memory", "shared_folder", "stored", "text_key", "texts"]
+__all__ = ["batches", "cached", "one_thread", "pairs", "partitions", "release_memory", "shared_folder", "stored", "stored_with", "text_key", "texts"]
 
 ROWS_OUT = 4096
 
@@ -28,6 +28,13 @@ def text_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def stored_with(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The rows as a stored table, and what was measured of them while they were written, without a job of its own."""
+    seen = Observation()
+    table = stored(df.observe(seen, *(m.alias(name) for name, m in measures.items())))
+    return table, seen.get
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions to deal rows to: as many as the input has, so that each stays as small at any size."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
