@@ -42,7 +42,8 @@ def html_articles(t: Tables) -> DataFrame:
 # Chunks.
 
 
-@query("WITH RECURSIVE " + _LINES.format(rule="line") + """, s AS MATERIALIZED (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS line_no, line, length(line) AS n FROM l WHERE doc IN (SELECT doc_id FROM documents WHERE length(text) > 7600)), r AS (SELECT doc, line_no, n AS size, 0 AS g FROM s WHERE line_no = 1
+@query("WITH RECURSIVE " + _LINES.format(rule="line") + """, u AS (SELECT doc, line_no, line, unnest(range(0, CASE WHEN length(line) > 7600 THEN (length(line) + 4499) // 4500 ELSE 1 END)) AS k FROM l WHERE doc IN (SELECT doc_id FROM documents WHERE length(text) > 7600)),
+c AS (SELECT doc, line_no, k, CASE WHEN length(line) > 7600 THEN substr(line, k * 4500 + 1, 4500) ELSE line END AS line FROM u), s AS MATERIALIZED (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line_no, k) AS line_no, line, length(line) AS n FROM c), r AS (SELECT doc, line_no, n AS size, 0 AS g FROM s WHERE line_no = 1
 UNION ALL SELECT s.doc, s.line_no, CASE WHEN r.size + 1 + s.n <= 4500 THEN r.size + 1 + s.n ELSE s.n END, CASE WHEN r.size + 1 + s.n <= 4500 THEN r.g ELSE r.g + 1 END FROM r JOIN s ON s.doc = r.doc AND s.line_no = r.line_no + 1),
 p AS (SELECT r.doc, g, string_agg(line, chr(10) ORDER BY r.line_no) AS piece FROM r JOIN s ON s.doc = r.doc AND s.line_no = r.line_no GROUP BY 1, 2)
 SELECT doc, g::BIGINT AS piece_no, length(piece)::BIGINT AS chars, md5(piece) AS md5 FROM p""")
@@ -279,14 +280,14 @@ def path_headers(t: Tables) -> DataFrame:
     return w.select("l_orderkey", "l_linenumber", "l_returnflag", F.coalesce(F.col("l_returnflag") != F.col("before"), F.lit(True)).alias("shown"))
 
 
-@query("""WITH x AS (SELECT l_orderkey AS act_ref, l_suppkey % 3 AS article, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey) AS occurrence FROM lineitem),
+@query("""WITH x AS (SELECT l_orderkey AS act_ref, l_suppkey % 3 AS article, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) AS occurrence FROM lineitem),
 w AS (SELECT act_ref, article, pos FROM x WHERE occurrence = 1 AND article = 1)
 SELECT x.act_ref, x.article, x.pos, x.occurrence, w.article AS wanted FROM x JOIN w ON w.act_ref = x.act_ref AND x.pos BETWEEN w.pos - 1 AND w.pos + 1""")
 def article_window(t: Tables) -> DataFrame:
     """RET-14, WIN-03/08: the first article 1 of each order with its neighbours."""
-    x = t("lineitem").select(F.col("l_orderkey").alias("act_ref"), (F.col("l_suppkey") % 3).alias("article"), "l_linenumber", "l_partkey")
+    x = t("lineitem").select(F.col("l_orderkey").alias("act_ref"), (F.col("l_suppkey") % 3).alias("article"), "l_linenumber", "l_partkey", "l_suppkey")
     wanted = x.select("act_ref").distinct().withColumn("article", F.lit(1).cast("long"))
-    return pl.article_window(x, wanted, [F.asc("l_linenumber"), F.asc("l_partkey")])
+    return pl.article_window(x, wanted, [F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_suppkey")])
 
 
 # Streams.
