@@ -153,6 +153,7 @@ class Phrases:
 
 _KINDS = Phrases(ACT_KINDS)
 _CODES = Phrases({form: (key, near, form) for forms, near in ((SHORT_CODES, True), (LONG_CODES, False), (NAMES, False), (dict.fromkeys(CONSTITUTION), False)) for form, key in forms.items()})
+_FIRST = frozenset((*_KINDS.by_first, *_CODES.by_first))
 _OPENERS = re.compile(r"(?i)\b(?:artt?|articol[oi]|cod|codice|cost|costituzione|cds|legge|dlgs|dpcm|dpr|dl|rd|decreto|regio|nuovo|comma)\b|\b[cdlr]\s*\.|\bd\s+lgs\b")
 
 
@@ -250,12 +251,10 @@ def _source(t: Tokens, k: int, forms: tuple) -> Source | None:
 
 def sources(t: Tokens, forms: tuple = (_numbered,)) -> list[Source]:
     """Named acts from left to right, none over another."""
-    out, k = [], 0
-    while k < len(t):
-        s = _source(t, k, forms)
-        if s:
+    out: list[Source] = []
+    for k, word in enumerate(t.words):
+        if word in _FIRST and not (out and k < out[-1].end) and (s := _source(t, k, forms)):
             out.append(s)
-        k = s.end if s else k + 1
     return out
 
 
@@ -307,16 +306,12 @@ def _paragraph(t: Tokens, k: int, ordinals: bool = True) -> tuple[str, int] | No
 
 
 def articles(t: Tokens) -> list[Article]:
-    out, k = [], 0
-    while k < len(t):
-        if t[k] in ONE or t[k] in MANY:
-            if got := _list(t, t.skip(k + 1, "."), t[k] in MANY):
-                numbers, end = got
-                paragraph, end = _paragraph(t, end) or (None, end)
-                out.append(Article(k, end, numbers, paragraph))
-                k = end
-                continue
-        k += 1
+    out: list[Article] = []
+    for k, word in enumerate(t.words):
+        if (word in ONE or word in MANY) and not (out and k < out[-1].end) and (got := _list(t, t.skip(k + 1, "."), word in MANY)):
+            numbers, end = got
+            paragraph, end = _paragraph(t, end) or (None, end)
+            out.append(Article(k, end, numbers, paragraph))
     return out
 
 
