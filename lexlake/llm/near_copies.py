@@ -280,10 +280,13 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
     refuted = checked.where("not near")
     roots = stored(components(checked.where("near"), "u", "v"))
     finer = shingles.select("node", F.size("shingles").cast("long").alias("size"), "fine")
-    most = 1
+    most, asked = 1, None
     while True:
         rooted = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.count("*").alias("classes")).where("classes > 1")
+        if asked is not None:
+            # A key without candidates has none from now on: classes only grow together.
+            classes = classes.join(asked, "key", "left_semi")
         live = stored(rooted.join(classes, "key").select("key", "node", "root", (F.col("root") == F.col("big.root")).alias("big")))
         tried = refuted.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("tried"))
         asking = live.join(tried, "node", "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
@@ -297,8 +300,7 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
         if not seen["n"]:
             return roots
         refuted = stored(refuted.union(checked.where("not near")))
-        # A key without candidates has none from now on: classes only grow together.
-        keyed = live.join(found.select("key").distinct(), "key", "left_semi").select("key", "node")
+        keyed, asked = live.select("key", "node"), found.select("key").distinct()
         if seen["near"]:
             found = checked.where("near")
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
