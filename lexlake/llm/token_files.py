@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     cuts = np.array(rows.select("doc_id").approxQuantile("doc_id", [k / shards for k in range(1, shards)], 0.1 / shards) if shards > 1 else [], np.float64)
 
     def encode(got):
-        enc, press = encoder(path), zstandard.ZstdCompressor(level=3, dict_data=shared_dictionary(dictionary))
+        enc, press = encoder(path), zstandard.ZstdCompressor(level=1, dict_data=shared_dictionary(dictionary))
         for batch in got:
             def made(batch=batch):
                 for i, text, tie in pairs(batch, "doc_id", "text", "tie"):
