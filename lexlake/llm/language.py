@@ -139,7 +139,8 @@ def calibrate(model: LanguageModel, rows: list[Example], precision: float = PREC
     p = softmax(z / model.temperature)
     top, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-top, kind="stable")
-    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision
+    # Equal scores are above the level together.
+    good = (np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= precision) & np.append(np.diff(top[order]) < -1e-9, True)
     model.least = float(top[order[np.flatnonzero(good)[-1]]]) if good.any() else 1.0
     return model
 
