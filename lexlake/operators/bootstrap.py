@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.files import payload
 from ..sources.html import html_articles
 from ..sources.scratch import stored
-from . import chunking, identity, parsing
-from .ingestion import first_file_wins, latest_wins, resume_skip, stale_points, status_override, watermark
+from . import chunking, identity, ownership, parsing
+from .ingestion import resume_skip, stale_points, watermark
 
 #: Files are taken in this order: by collection, then name.
 ORDER = ("collection", "path")
@@ -40,31 +40,80 @@ def parsed_acts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return acts.select("doc", "title", "subtitle", "first_text", "error"), arts
 
 
-def bootstrap(files: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
+def bootstrap(files: DataFrame, done: DataFrame, acts: DataFrame | None = None, order: tuple[str, ...] = ORDER) -> dict[str, DataFrame]:
     """The tables of one run over files (path, collection, text, sha), without those that `done` (path, sha) has.
 
-    acts: one row for each act, of its first file, with its status; files: every file with act_ref and outcome (processed,
-    resume_skipped, duplicate, failed) and error; chunks: of the acts' own files. A later file of an act adds only its
-    status, where that isn't the default. Nothing is collected, and the tables are stored between the steps.
+    acts: a row for each act that the run met and changed, with its owner's file and its status; files: every file with sha, act_ref and
+    outcome (processed, resume_skipped, duplicate, failed) and error; chunks: of the acts' own files. With `acts` of earlier
+    runs (act_ref, file_path, status and the rest; a null file_path gives the act away) an act stays with its file: another one is a
+    duplicate and adds only its status, where that isn't the default. Nothing is collected, and the tables are stored
+    between the steps.
     """
     fresh = stored(resume_skip(files, done, "path", "sha"))
     parsed, articles = parsed_acts(fresh)
     articles = stored(articles)
-    named = parsed.join(fresh.select(F.col("path").alias("doc"), "collection"), "doc")
+    named = parsed.join(fresh.select(F.col("path").alias("doc"), "collection", "sha"), "doc")
     kind = identity.type_of_collection(F.col("collection"))
     named = identity.with_identity(named, F.col("title"), F.col("subtitle"), F.col("first_text"), F.col("doc"), kind, "ref").withColumn("status", identity.status_of(F.col("doc")))
     named = stored(named.withColumn("act_ref", F.when(F.col("error").isNull(), F.col("ref.act_ref"))).withColumnRenamed("doc", "path"))
-    owned = first_file_wins(named.where("act_ref is not null"), "act_ref", [F.asc(c) for c in ORDER]).select("path", F.col("owner"))
-    known = stored(named.join(owned, "path", "left"))
-    status = status_override(known.where("act_ref is not null"), "act_ref", "status", F.struct("collection", "path")).withColumnRenamed("status", "act_status")
+    held = files.sparkSession.createDataFrame([], ownership.ACTS) if acts is None else acts
+    owned, met = ownership.settle(named.where("act_ref is not null").select("path", "act_ref", "collection", "status"), held, list(order))
+    known = stored(named.join(owned.select("path", "owner"), "path", "left"))
+    met = stored(met.withColumnRenamed("status", "act_status"))
     title = F.coalesce("subtitle", "title")
-    acts = known.where("owner").join(status, "act_ref").select("act_ref", F.col("ref.act_type").alias("act_type"), F.col("ref.number").alias("number"), F.col("ref.year").alias("year"), F.col("ref.date").alias("date"), F.col("ref.source").alias("source"), title.alias("title"), "collection", F.col("act_status").alias("status"), F.col("path").alias("file_path"))
-    acts = stored(acts)
-    of_chunks = acts.select(F.col("file_path").alias("doc"), "act_ref", "act_type", F.col("number").alias("act_number"), "year", "title", "collection", "status", "file_path")
+    indexed = known.where("owner").join(met.select("act_ref", "act_status"), "act_ref").select("act_ref", F.col("ref.act_type").alias("act_type"), F.col("ref.number").alias("number"), F.col("ref.year").alias("year"), F.col("ref.date").alias("date"), F.col("ref.source").alias("source"), title.alias("title"), "collection", F.col("act_status").alias("status"), F.col("path").alias("file_path"))
+    indexed = stored(indexed)
+    of_chunks = indexed.select(F.col("file_path").alias("doc"), "act_ref", "act_type", F.col("number").alias("act_number"), "year", "title", "collection", "status", "file_path")
     outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("owner"), "processed").otherwise("duplicate")
-    skipped = files.join(fresh.select("path"), "path", "left_anti").select("path", "collection", F.lit(None).cast("string").alias("act_ref"), F.lit("resume_skipped").alias("outcome"), F.lit(None).cast("string").alias("error"))
-    outcomes = known.select("path", "collection", "act_ref", outcome.alias("outcome"), "error").unionByName(skipped)
-    return {"acts": acts, "files": outcomes, "chunks": chunking.chunk_articles(articles, of_chunks)}
+    skipped = files.join(fresh.select("path"), "path", "left_anti").select("path", "collection", "sha", F.lit(None).cast("string").alias("act_ref"), F.lit("resume_skipped").alias("outcome"), F.lit(None).cast("string").alias("error"))
+    outcomes = known.select("path", "collection", "sha", "act_ref", outcome.alias("outcome"), "error").unionByName(skipped)
+    changed = indexed
+    if acts is not None:
+        # Acts of earlier runs of which only duplicates were read.
+        only = held.join(met.where("not indexed").select("act_ref", "act_status"), "act_ref").where("act_status <> status").withColumn("status", F.col("act_status"))
+        changed = indexed.unionByName(only.select(*indexed.columns))
+    return {"acts": changed, "files": outcomes, "chunks": chunking.chunk_articles(articles, of_chunks)}
+
+
+def bootstrap_run(spark: SparkSession, folder: str, files: DataFrame) -> dict[str, DataFrame]:
+    """A bootstrap that goes on from the state below a folder and writes it anew; returns the run's tables and `version`, one row."""
+    version, before = ownership.read_state(spark, folder)
+    run = bootstrap(files, before["files"].select("path", "sha"), before["acts"])
+    return _written(spark, folder, version, before, run, stale=False)
+
+
+def _written(spark: SparkSession, folder: str, version: int, before: dict[str, DataFrame], run: dict[str, DataFrame], stale: bool) -> dict[str, DataFrame]:
+    run = {name: stored(table) for name, table in run.items()}
+    ownership.write_state(spark, folder, version, ownership.merged(before, run, stale))
+    return run
+
+
+def delta(files: DataFrame, changes: DataFrame, acts: DataFrame, done: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """(tables of the run, as bootstrap() gives them; acts and files after deletes and moves) of a change feed (status, path, old_path).
+
+    files is the new snapshot, acts and done (path, sha, act_ref) the state before. Deletes and moves read no file
+    (ownership.apply_feed); what is left is read in the order of paths. A path of the feed that the snapshot lacks has failed.
+    """
+    fed = ownership.apply_feed(changes, acts, done)
+    after, upserts = stored(fed["acts"]), stored(fed["upserts"])
+    held = after.withColumn("file_path", F.when(~F.col("released"), F.col("file_path")))
+    run = bootstrap(files.join(upserts, "path", "left_semi"), fed["files"].select("path", "sha"), held.drop("released", "touched"), ("path",))
+    lost = upserts.join(files.select("path"), "path", "left_anti").select("path", F.substring_index("path", "/", 1).alias("collection"), *(F.lit(None).cast("string").alias(c) for c in ("sha", "act_ref")), F.lit("failed").alias("outcome"), F.lit("unreadable").alias("error"))
+    moved = after.where("touched").join(run["acts"].select("act_ref"), "act_ref", "left_anti")
+    # An act whose owner is gone keeps the path in its row; it was given away within this run only.
+    own = run["acts"].join(after.select("act_ref", F.col("file_path").alias("kept")), "act_ref", "left").withColumn("file_path", F.coalesce("file_path", "kept"))
+    changed = own.select(*run["acts"].columns).unionByName(moved.select(*run["acts"].columns))
+    return {"acts": changed, "files": run["files"].unionByName(lost), "chunks": run["chunks"]}, {"acts": after.drop("released", "touched"), "files": fed["files"]}
+
+
+def delta_run(spark: SparkSession, folder: str, files: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
+    """A delta that goes on from the state below a folder and writes it anew; returns the run's tables. Without a state there is
+    nothing to go on from, which raises."""
+    version, before = ownership.read_state(spark, folder)
+    if not version:
+        raise ValueError("no completed run to go on from")
+    run, after = delta(files, changes, before["acts"], before["files"])
+    return _written(spark, folder, version, {"acts": stored(after["acts"]), "files": stored(after["files"]), "chunks": before["chunks"]}, run, stale=True)
 
 
 def run_counts(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -99,25 +148,21 @@ def index_collection(files: DataFrame, done: DataFrame, collection: str) -> dict
 
 
 def delta_upserts(files: DataFrame, changes: DataFrame, acts: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    """Acts and chunks after the upserts of a change feed (status, path, old_path), files being the new snapshot.
+    """Acts, chunks and stale chunk ids after the upserts of a change feed, files being the new snapshot; every path of the feed is read.
 
-    What changed is parsed and chunked as in a bootstrap. An act stays with its file as long as that is there; a changed
-    file of another owner adds only its status, where that isn't the default. Chunks of acts indexed again that weren't
-    produced again are stale and go.
+    An act stays with its file as long as that is in the snapshot; a changed file of another owner adds only its status,
+    where that isn't the default, to the act and its chunks. Chunks of acts indexed again that weren't produced again go.
     """
+    none = files.select("path", "sha").limit(0)
+    held = acts.join(files.select(F.col("path").alias("file_path"), F.lit(True).alias("there")), "file_path", "left")
+    held = held.withColumn("file_path", F.when(F.col("there"), F.col("file_path"))).drop("there")
     paths = changes.where("status = 'upsert'").select("path").distinct()
-    new = bootstrap(files.join(paths, "path", "left_semi"), files.select("path", "sha").limit(0))
-    owner = acts.select("act_ref", F.col("file_path").alias("old_path"))
-    # Owners whose file is gone from the snapshot give their act away.
-    holds = owner.join(files.select(F.col("path").alias("old_path")), "old_path", "left_semi")
-    mine = stored(new["acts"].join(holds, "act_ref", "left").where("old_path is null or old_path = file_path").drop("old_path"))
-    others = new["acts"].join(mine.select("act_ref"), "act_ref", "left_anti").where(F.col("status") != "vigente").select("act_ref", F.col("status").alias("other"))
-    produced = stored(new["chunks"].join(mine.select("act_ref"), "act_ref", "left_semi"))
-    merged = latest_wins(acts, mine.select(*acts.columns), ["act_ref"])
-    merged = merged.join(others, "act_ref", "left").withColumn("status", F.coalesce("other", "status")).select(*acts.columns)
-    gone = stale_points(chunks, produced, "act_ref", "chunk_id").select("chunk_id")
-    kept = latest_wins(chunks, produced.select(*chunks.columns), ["chunk_id"]).join(gone, "chunk_id", "left_anti")
-    return {"acts": merged, "chunks": kept.select(*chunks.columns), "stale": gone}
+    run = bootstrap(files.join(paths, "path", "left_semi"), none, held.select(*acts.columns), ("path",))
+    run = {name: stored(table) for name, table in run.items()}
+    before = {"acts": acts, "chunks": chunks, "files": none.select("path", "sha", F.lit(None).cast("string").alias("act_ref"))}
+    after = ownership.merged(before, run, stale=True)
+    gone = stale_points(chunks, run["chunks"], "act_ref", "chunk_id").select("chunk_id")
+    return {"acts": after["acts"], "chunks": after["chunks"], "stale": gone}
 
 
 def required_watermark(runs: DataFrame) -> str:
