@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dims import PARTITIONS
+
+
 def without_accents(text: Column) -> Column:
     """Compatibility decomposition (NFKD) without what isn't ASCII. Its function is a static method of ICU, which Spark ships."""
     apart = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
@@ -83,29 +86,53 @@ def sigmoid(x: Column) -> Column:
 
 
 def partition_label(label: Column) -> Column:
-    """A partition heading whose opening label is there twice, once."""
-    return F.regexp_replace(label, r"(?iu)^((?:LIBRO|PARTE|TITOLO|CAPO|SEZIONE)\s+[^\s.-]+)\s*(?:-\s*)?(\1(?:[\s.-].*)?)$", "$2")
+    """A partition heading whose opening kind and number are there twice, once: "CAPO II - CAPO II Premi" as "CAPO II Premi"."""
+    words = F.split(label, r"\s+")
+    number = F.substring_index(F.translate(words[1], ".", "-"), "-", 1)
+    size = F.position(number, label, F.length(words[0]) + 1) - 1 + F.length(number)
+    head, rest = F.substr(label, F.lit(1), size), F.ltrim(F.substr(label, size + 1))
+    rest = F.when(F.startswith(rest, F.lit("-")), F.ltrim(F.substr(rest, F.lit(2)))).otherwise(rest)
+    after = F.substr(rest, F.length(head) + 1, F.lit(1))
+    twice = F.startswith(F.lower(rest), F.lower(head)) & (F.trim(F.translate(after, ".-", "  ")) == "")
+    return F.when(F.upper(words[0]).isin(*PARTITIONS) & (number != "") & twice, rest).otherwise(label)
+
 
+def gazette_code(word: Column) -> Column:
+    """Whether a word is a gazette's code: two to four digits, a capital, four or five digits, perhaps a capital; or six or seven digits, a capital."""
+    capitals = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+    shape = F.translate(F.translate(word, "012345678", "9" * 9), capitals, "A" * len(capitals))
+    shapes = [f"{'9' * n}A{'9' * m}{end}" for n in (2, 3, 4) for m in (4, 5) for end in ("", "A")] + [f"{'9' * n}A" for n in (6, 7)]
+    return shape.isin(*shapes)
 
-#: A gazette's code: two to four digits, a letter, four or five digits, perhaps a letter; or six or seven digits, a letter.
-GAZETTE_CODE = "|".join(("[0-9]{2,4}[A-Z][0-9]{4,5}[A-Z]?", "[0-9]{6,7}[A-Z]"))
 
+#: Fixed value: a link of Markdown.
+LINK = r"\[([^\]]*)\]\([^)]*\)"
 
-def _cleaned(text: Column, dropped: str) -> Column:
-    """Links to their words, a pattern out, white space to single spaces; null if nothing is left."""
-    words = F.regexp_replace(text, r"\[(?<words>[^\]]*)\]\([^)]*\)", "${words}")
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(words, dropped, ""), r"\s+", " ")), F.lit(""))
+
+def _one_line(text: Column) -> Column:
+    """Links as their words, white space to single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, LINK, "$1"), r"\s+", " "))
 
 
 def clean_title(title: Column) -> Column:
-    """A title without gazette codes and collection years in brackets."""
-    return _cleaned(title, rf"\s*[(]\s*(?:{GAZETTE_CODE}|Raccolta [0-9]{{4}})\s*[)]")
+    """A title without brackets that hold just a gazette's code or a collection's year; null if nothing is left."""
+    parts = F.split(_one_line(title), r"\(")
+
+    def add(done: Column, part: Column) -> Column:
+        words = F.trim(F.substring_index(part, ")", 1))
+        year = F.when(F.startswith(words, F.lit("Raccolta ")), F.substr(words, F.lit(10)))
+        dropped = F.contains(part, F.lit(")")) & (gazette_code(words) | F.coalesce(F.translate(year, "012345678", "9" * 9) == "9999", F.lit(False)))
+        return F.when(dropped, F.concat(F.rtrim(done), F.substr(part, F.locate(")", part) + 1))).otherwise(F.concat(done, F.lit("("), part))
+
+    return F.nullif(F.trim(F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), parts[0], add)), F.lit(""))
 
 
 def clean_rubric(rubric: Column) -> Column:
-    """A rubric up to the bracket that says from which article it stems."""
-    sources = "|".join(("Articolo", "Artt?[.]"))
-    return _cleaned(rubric, rf"(?s)\s*[(](?:{sources})\s.*")
+    """A rubric up to the bracket that says from which article it stems; null if nothing is left."""
+    text = _one_line(rubric)
+    # A bracket that opens with one of these words, at the end of which white space stands.
+    at = F.array_min(F.filter(F.array(*(F.position(F.lit(f"({w} "), F.concat(text, F.lit(" "))) for w in ("Articolo", "Art.", "Artt."))), lambda k: k > 0))
+    return F.nullif(F.trim(F.when(at.isNotNull(), F.substr(text, F.lit(1), at - 1)).otherwise(text)), F.lit(""))
 
 
 def collapsed(text: Column, width: int = 120) -> Column:
@@ -156,9 +183,24 @@ def wholly_amended(paragraphs: Column) -> Column:
 
 
 def self_numbered(number: Column, text: Column) -> Column:
-    """A text that opens with its paragraph's own number, after an amendment's mark or not."""
-    own = F.regexp_extract(text, r"(?iu)^\s*(?:[(]{2}\s*)?(\d+(?:-[a-zà-ú]+)*)\s*[.)]", 1)
-    return (own != "") & (F.lower(own) == F.lower(F.trim(number)))
+    """A text that opens with its paragraph's own number and a dot or bracket, after an amendment's mark or not.
+
+    A number is digits, then perhaps words after hyphens.
+    """
+    letters = "".join(map(chr, (*range(ord("a"), ord("z") + 1), *range(ord("à"), ord("ú") + 1))))
+    own = F.lower(F.trim(number))
+    parts = F.split(own, "-")
+    digits = (parts[0] != "") & (F.translate(parts[0], "0123456789", "") == "")
+    words = F.forall(F.slice(parts, 2, F.size(parts)), lambda w: (w != "") & (F.translate(w, letters, "") == ""))
+    opened = _stripped(F.lower(text))
+    opened = F.when(F.startswith(opened, F.lit("((")), _stripped(F.substr(opened, F.lit(3)))).otherwise(opened)
+    sign = F.substr(_stripped(F.substr(opened, F.length(own) + 1)), F.lit(1), F.lit(1))
+    return F.coalesce(digits & words & F.startswith(opened, own) & sign.isin(".", ")"), F.lit(False))
+
+
+def _stripped(text: Column) -> Column:
+    """Without white space at its start."""
+    return F.ltrim(text, F.lit(" \t\n\r\v\f\u00a0"))
 
 
 def open_links(text: Column) -> Column:

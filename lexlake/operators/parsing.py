@@ -43,15 +43,27 @@ def line_events(rows: DataFrame) -> DataFrame:
 _N, _SUFFIX, _END = r"(\d+)", rf"(?:[ .-]+({SUFFIX_PATTERN}))?", r"\.?\s*$"
 ATX = rf"^###\s+Art\.?\s*{_N}{_SUFFIX}{_END}"
 SETEXT = rf"^Art\.?\s+{_N}{_SUFFIX}{_END}"
-PLAIN = rf"^(\S.*?)-art\.\s+(\d+(?:/\d+)?)(?:\s+({SUFFIX_PATTERN}))?\s*$"
 ONLY = rf"(?i)^#* *Articolo\s+unico{_END}"
 _PARTITION = rf"(?i)^({'|'.join(PARTITIONS)})\b"
 
 
+def plain_marker(line: Column) -> Column:
+    """(annex, base, suffix) of a line that ends in "-art. " and a number, perhaps of two halves and with a suffix; else null."""
+    words = F.split(F.trim(F.regexp_replace(F.substring_index(line, "-art.", -1), r"\s+", " ")), " ")
+    annex = F.substr(line, F.lit(1), F.length(line) - F.length(F.substring_index(line, "-art.", -1)) - 5)
+    halves = F.split(words[0], "/")
+    numbers = (F.size(halves) <= 2) & F.forall(halves, lambda x: (x != "") & (F.translate(x, "0123456789", "") == ""))
+    suffix = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
+    spaced = F.substr(F.substring_index(line, "-art.", -1), F.lit(1), F.lit(1)).rlike(r"\s")
+    named = (annex != "") & ~F.substr(annex, F.lit(1), F.lit(1)).rlike(r"\s")
+    found = F.contains(line, F.lit("-art.")) & named & spaced & numbers & ((F.size(words) == 1) | ((F.size(words) == 2) & suffix.isin(*SUFFIXES)))
+    return F.when(found, F.struct(annex.alias("annex"), words[0].alias("base"), suffix.alias("suffix")))
+
+
 def article_style() -> Column:
     """How an event (kind, payload) marks an article, null if it doesn't."""
     p, kind = F.col("payload"), F.col("kind")
-    return F.when((kind == "atx") & (p.rlike(ATX) | p.rlike(ONLY)), "atx").when((kind == "h2") & (p.rlike(SETEXT) | p.rlike(ONLY)), "setext").when((kind == "line") & p.rlike(PLAIN), "plain")
+    return F.when((kind == "atx") & (p.rlike(ATX) | p.rlike(ONLY)), "atx").when((kind == "h2") & (p.rlike(SETEXT) | p.rlike(ONLY)), "setext").when((kind == "line") & plain_marker(p).isNotNull(), "plain")
 
 
 def article_number(base: Column, suffix: Column) -> Column:
@@ -65,9 +77,9 @@ def articles(events: DataFrame) -> DataFrame:
     heading before the marker. A document without articles is one, "unico", of all its text.
     """
     p, kind = F.col("payload"), F.col("kind")
-    atx, setext, plain, only, style = ATX, SETEXT, PLAIN, ONLY, article_style()
+    atx, setext, plain, only, style = ATX, SETEXT, plain_marker(p), ONLY, article_style()
     number = F.when(kind.isin("atx", "h2") & p.rlike(only), "unico").when(kind == "atx", article_number(F.regexp_extract(p, atx, 1), F.regexp_extract(p, atx, 2)))
-    number = number.when(kind == "h2", article_number(F.regexp_extract(p, setext, 1), F.regexp_extract(p, setext, 2))).otherwise(article_number(F.regexp_extract(p, plain, 2), F.regexp_extract(p, plain, 3)))
+    number = number.when(kind == "h2", article_number(F.regexp_extract(p, setext, 1), F.regexp_extract(p, setext, 2))).otherwise(article_number(plain["base"], plain["suffix"]))
     w = Window.partitionBy("doc").orderBy("line_no")
     e = events.withColumn("style", style).withColumn("number", F.when(style.isNotNull(), number))
     opens = F.col("style").isNotNull()
@@ -77,7 +89,7 @@ def articles(events: DataFrame) -> DataFrame:
     e = e.withColumn("part", part)
     body_line = F.when(~opens | F.col("bound").isNull(), F.struct("line_no", "payload"))
     in_article = e.where("inside").groupBy("doc", "article_no").agg(
-        F.max("number").alias("number"), F.max("style").alias("style"), F.max_by("part", F.when(opens, 1)).alias("part"), F.max(F.when(F.col("style") == "plain", F.regexp_extract("payload", plain, 1))).alias("annex"), F.sort_array(F.collect_list(body_line)).alias("lines")
+        F.max("number").alias("number"), F.max("style").alias("style"), F.max_by("part", F.when(opens, 1)).alias("part"), F.max(F.when(F.col("style") == "plain", plain["annex"])).alias("annex"), F.sort_array(F.collect_list(body_line)).alias("lines")
     )
     path = F.concat_ws(" — ", F.col("part"), F.col("annex"))
     out = in_article.select("doc", "article_no", "number", "style", path.alias("path"), F.concat_ws("\n", F.transform("lines", lambda x: x["payload"])).alias("body"))
@@ -113,8 +125,10 @@ def rubrics(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("line_no")
     k = rows.withColumn("text", text).where("text <> ''")
     k = k.withColumn("place", F.row_number().over(w)).withColumn("numbered", F.max(F.col("text").rlike(PARAGRAPH).cast("int")).over(w))
-    pattern = r"^\((?!\()(.+?)\)\.?$"
-    return k.where((F.col("place") <= 4) & (F.col("numbered") == 0) & F.col("text").rlike(pattern)).groupBy("doc").agg(F.min_by(F.regexp_extract("text", pattern, 1), "place").alias("rubric"))
+    bare = F.when(F.endswith("text", F.lit(".")), F.substr("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
+    words = F.substr(bare, F.lit(2), F.length(bare) - 2)
+    bracketed = F.startswith(bare, F.lit("(")) & F.endswith(bare, F.lit(")")) & (words != "") & ~F.startswith(words, F.lit("("))
+    return k.where((F.col("place") <= 4) & (F.col("numbered") == 0) & bracketed).groupBy("doc").agg(F.min_by(words, "place").alias("rubric"))
 
 
 def _stripped(line: Column) -> Column:
@@ -122,7 +136,12 @@ def _stripped(line: Column) -> Column:
 
 
 _NUMBERED = re.compile(PARAGRAPH, re.ASCII)
-_BRACKETED = re.compile(r"\((?!\()(.+?)\)\.?")
+
+
+def bracketed(line: str) -> str | None:
+    """The words of a line that is one bracket, with or without a full stop; double brackets mark amendments."""
+    line = line.removesuffix(".")
+    return line[1:-1] if len(line) > 2 and line[0] == "(" and line[1] != "(" and line[-1] == ")" else None
 
 
 def finished(style: str | None, body: str | None) -> tuple[str | None, str]:
@@ -142,8 +161,8 @@ def finished(style: str | None, body: str | None) -> tuple[str | None, str]:
         for k in some[:4]:
             if _NUMBERED.match(bare[k]):
                 break
-            if m := _BRACKETED.fullmatch(bare[k]):
-                return m[1], "\n".join(lines[:k] + lines[k + 1 :])
+            if words := bracketed(bare[k]):
+                return words, "\n".join(lines[:k] + lines[k + 1 :])
     return None, "\n".join(lines)
 
 
