@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import payload
-from ..sources.html import html_articles
+from ..sources.html import captured_pages
 from ..sources.scratch import stored
 from . import chunking, identity, ownership, parsing
 from .ingestion import resume_skip, stale_points, watermark
@@ -26,8 +26,8 @@ def parsed_acts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = read.where("not broken")
     events = stored(parsing.line_events(parsing.lines(good.where("format = 'markdown'"), "doc", "body")))
     plain = parsing.article_paragraphs(parsing.finish_articles(parsing.articles(events)), with_articles=True)
-    pages = html_articles(good.where("format <> 'markdown'").select("doc", "body"), "doc", "body")
-    pages = stored(pages)
+    read_pages = stored(captured_pages(good.where("format <> 'markdown'").select("doc", "body"), "doc", "body"))
+    pages = read_pages.where("error is null")
     captured = pages.select("id", (F.col("pos") + 1).alias("article_no"), "number", F.lit("akn").alias("style"), F.coalesce("annex", F.lit("")).alias("path"), F.col("text").alias("body")).withColumnRenamed("id", "doc")
     captured = parsing.article_paragraphs(parsing.finish_articles(captured), with_articles=True)
     every = plain.unionByName(captured)
@@ -36,7 +36,8 @@ def parsed_acts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     arts = found.select("doc", "article_no", F.col("article").alias("number"), "path", "rubric", F.transform("all", lambda p: F.struct(p["number"].alias("number"), p["text"].alias("text"))).alias("paragraphs"))
     heads = parsing.act_heads(events).unionByName(pages.groupBy(F.col("id").alias("doc")).agg(F.first("title").alias("title"), F.first("subtitle").alias("subtitle")))
     first = arts.groupBy("doc").agg(F.min_by(F.try_element_at("paragraphs", F.lit(1))["text"], "article_no").alias("first_text"))
-    acts = read.select("doc", F.when(F.col("broken"), "unreadable").alias("error")).join(heads, "doc", "left").join(first, "doc", "left")
+    failed = read_pages.where("error is not null").select(F.col("id").alias("doc"), F.col("error").alias("page_error"))
+    acts = read.join(failed, "doc", "left").select("doc", F.when(F.col("broken"), "unreadable").otherwise(F.col("page_error")).alias("error")).join(heads, "doc", "left").join(first, "doc", "left")
     return acts.select("doc", "title", "subtitle", "first_text", "error"), arts
 
 

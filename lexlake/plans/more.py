@@ -207,7 +207,20 @@ def grammar_refs(t: Tables) -> DataFrame:
 @query(None)
 def html_extract(t: Tables) -> DataFrame:
     """Extension: title, shown text and links of raw pages."""
-    return html.page_contents(t("pages"))
+    return html.page_contents(t("pages")).drop("error")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 7 = 3 THEN 'AssertionError' WHEN page_id % 11 = 4 THEN 'ValueError' END AS error, CASE WHEN page_id % 7 <> 3 AND page_id % 11 <> 4 THEN coalesce(octet_length(encode(html)), 0) END AS n_bytes FROM pages""")
+def error_rows(t: Tables) -> DataFrame:
+    """PRS-13, SRC-04: pages with broken markup, a declaration that the parser rejects or tags that never end, each become one row of an error."""
+    p = t("pages").withColumn("n_bytes", F.coalesce(F.octet_length("html"), F.lit(0)))
+    broken = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("<![foo["), "html")).when(F.col("page_id") % 11 == 4, F.concat("html", F.repeat(F.lit("<a "), F.lit(20_000)))).otherwise(F.col("html"))
+    parsed = html.captured_pages(p.withColumn("html", broken), "page_id", "html")
+    found = parsed.groupBy("id").agg(F.max(F.substring_index("error", ":", 1)).alias("error"), F.count("*").alias("n"))
+    failed = html.dead_letters(parsed, "pages").groupBy("id").agg(F.count("*").alias("n_errors"))
+    out = p.join(found, p.page_id == found.id).join(failed, "id", "left")
+    # An error stands alone: one row for its page.
+    return out.where("error is null or (n = 1 and n_errors = 1)").select("page_id", "error", F.when(F.col("error").isNull(), F.col("n_bytes")).alias("n_bytes"))
 
 
 @query(r"""WITH x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('CAPO ', doc_id % 9, ' - CAPO ', doc_id % 9, ' ', source) WHEN 1 THEN concat('CAPO ', doc_id % 9, ' CAPO ', doc_id % 7, ' ', source) ELSE concat('Titolo ', source) END AS label, concat('[', source, '](http://x/', doc_id, ') di  legge (18G000', doc_id % 90 + 10, ')') AS title FROM documents)

@@ -1,14 +1,16 @@
-"""Articles and links from lenient HTML, by the standard library's parser in Arrow batches."""
+"""Articles and links from lenient HTML, by the standard library's parser in Arrow batches. A page that can't be read is an error row."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.dims import SUFFIX_PATTERN
 
@@ -27,6 +29,43 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 SILENT = {"script", "style", "template", "noscript"}
 
 
+#: Characters times unfinished tags up to which a page is parsed: the parser looks for the end of each from where it starts.
+MOST_SEARCHED = 50_000_000
+_OPENS = re.compile(r"<(?:(!--)|(script|style)(?=[\s/>]))?", re.IGNORECASE)
+
+
+def unfinished_tags(html: str) -> int:
+    """How many tags no ">" ends before the next "<", outside of comments, scripts and styles; in one walk over the page."""
+    count, at, ends = 0, 0, html.find(">")
+    low = html.lower()
+    while m := _OPENS.search(html, at):
+        at = m.end()
+        if m[1]:
+            at = html.find("-->", at)
+        elif m[2]:
+            at = low.find(f"</{m[2].lower()}", at)
+        else:
+            if 0 <= ends < at:
+                ends = html.find(">", at)
+            following = html.find("<", at)
+            count += ends < 0 or 0 <= following < ends
+            at = following
+        if at < 0:
+            break
+    return count
+
+
+def attempt(parse: Callable[[str], object], html: str | None) -> tuple[object | None, str | None]:
+    """(what parse makes of a page, None), or (None, what went wrong): one page never stops the others."""
+    try:
+        n = unfinished_tags(html or "")
+        if n * len(html or "") > MOST_SEARCHED:
+            raise ValueError(f"{n} unfinished tags")
+        return parse(html or ""), None
+    except Exception as e:  # whatever a parser raises on broken markup is this page's result
+        return None, f"{type(e).__name__}: {e}"[:200]
+
+
 class Captures(HTMLParser):
     """Text of the elements in CAPTURES, in order. Elements of one tag nest; a captured element that starts inside another
     closes it, as they are siblings whose end is missing; what is open at the end counts."""
@@ -141,31 +180,56 @@ def act_of(html: str | None) -> dict:
     return head | {"articles": [{"number": a["number"], "annex": a["annex"], "text": _lines(a["parts"]), "warning": a["warning"]} for a in out]}
 
 
+def contents_of(html: str) -> dict:
+    v = Visible()
+    v.feed(html)
+    v.close()
+    shown = " ".join("".join(v.text).split())
+    return {"title": " ".join("".join(v.title).split()), "text_chars": len(shown), "words": len(shown.split()), "links": v.links}
+
+
+def _parsed(pages: DataFrame, id_col: str, html_col: str, parse: Callable[[str], list[dict]], columns: str) -> DataFrame:
+    """id, the columns of each row that parse gives for a page, and error; a page that can't be parsed has one row, of its error."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    ddl = f"id {kind}, {columns}, error string"
+
+    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in got:
+            rows: list[dict] = []
+            for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found, error = attempt(parse, html)
+                rows += [{"id": i, "error": error}] if error is not None else [{"id": i} | r for r in found]
+                if len(rows) >= 2048:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, ddl)
+
+
 def page_contents(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, title, text_chars, words, links) of each page; null and broken pages give what can be read of them."""
+    """(id, title, text_chars, words, links, error) of each page; a null one is empty, one that can't be parsed has only id and error."""
+    return _parsed(pages, id_col, html_col, lambda html: [contents_of(html)], "title string, text_chars long, words long, links long")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for i, html in zip(f["id"], f["html"], strict=True):
-                v = Visible()
-                v.feed(html or "")
-                v.close()
-                shown = " ".join("".join(v.text).split())
-                rows.append((i, " ".join("".join(v.title).split()), len(shown), len(shown.split()), v.links))
-            yield pd.DataFrame(rows, columns=["id", "title", "text_chars", "words", "links"])
 
-    return pages.selectExpr(f"cast({id_col} as long) id", f"{html_col} html").mapInPandas(run, "id long, title string, text_chars long, words long, links long")
+def captured_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, title, subtitle, pos, number, annex, text, warning, error): a row for each article of each page, null counting as empty; of a
+    page that can't be parsed, one row with its error."""
+
+    def rows(html: str) -> list[dict]:
+        act = act_of(html)
+        return [{"title": act["title"], "subtitle": act["subtitle"], "pos": k} | a for k, a in enumerate(act["articles"])]
+
+    return _parsed(pages, id_col, html_col, rows, "title string, subtitle string, pos long, number string, annex string, text string, warning string")
 
 
 def html_articles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, title, subtitle, pos, number, annex, text, warning): a row for each article of each page; null counts as empty."""
+    """The articles of captured_pages, without the pages that have errors."""
+    return captured_pages(pages, id_col, html_col).where("error is null").drop("error")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            acts = [(i, act_of(html)) for i, html in zip(f["id"], f["html"], strict=True)]
-            rows = [(i, act["title"], act["subtitle"], k, a["number"], a["annex"], a["text"], a["warning"]) for i, act in acts for k, a in enumerate(act["articles"])]
-            yield pd.DataFrame(rows, columns=["id", "title", "subtitle", "pos", "number", "annex", "text", "warning"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, f"id {kind}, title string, subtitle string, pos long, number string, annex string, text string, warning string")
+def dead_letters(parsed: DataFrame, stage: str) -> DataFrame:
+    """(stage, id, error) of the rows that a stage could not read: what is to be looked at, and read again, apart from the rest."""
+    return parsed.where("error is not null").select(F.lit(stage).alias("stage"), "id", "error")
