@@ -1,5 +1,6 @@
 """Pages that a parser rejects or that would hold it up: one row of an error each, within bounded time."""
 
+import base64
 import time
 
 import pytest
@@ -45,7 +46,8 @@ def test_contents_of_pages_by_hand(spark):
 
 def test_a_broken_page_fails_alone(spark):
     """In a bootstrap the file has failed with what the parser said; the others are processed."""
-    rows = [("DPR/a.md", GOOD), ("DPR/b.md", "<html>" + REJECTED), ("DPR/c.md", "<html>" + ENDLESS)]
+    coded = lambda page: base64.b64encode(f"<html>{page}".encode()).decode()
+    rows = [("DPR/a.md", coded(GOOD)), ("DPR/b.md", coded(REJECTED)), ("DPR/c.md", coded(ENDLESS))]
     df = spark.createDataFrame(rows, "path string, text string").selectExpr("path", "'DPR' as collection", "text", "md5(text) as sha")
     run = bs.bootstrap(df, df.select("path", "sha").limit(0))
     got = {r.path: (r.outcome, (r.error or "").split(":")[0]) for r in run["files"].collect()}
