@@ -56,14 +56,14 @@ def plain_marker(line: Column) -> Column:
     suffix = F.coalesce(F.try_element_at(words, F.lit(2)), F.lit(""))
     spaced = F.substr(F.substring_index(line, "-art.", -1), F.lit(1), F.lit(1)).rlike(r"\s")
     named = (annex != "") & ~F.substr(annex, F.lit(1), F.lit(1)).rlike(r"\s")
-    found = F.contains(line, F.lit("-art.")) & named & spaced & numbers & ((F.size(words) == 1) | ((F.size(words) == 2) & suffix.isin(*SUFFIXES)))
-    return F.when(found, F.struct(annex.alias("annex"), words[0].alias("base"), suffix.alias("suffix")))
+    found = named & spaced & numbers & ((F.size(words) == 1) | ((F.size(words) == 2) & suffix.isin(*SUFFIXES)))
+    return F.when(F.contains(line, F.lit("-art.")), F.when(found, F.struct(annex.alias("annex"), words[0].alias("base"), suffix.alias("suffix"))))
 
 
-def article_style() -> Column:
-    """How an event (kind, payload) marks an article, null if it doesn't."""
+def article_style(plain: Column | None = None) -> Column:
+    """How an event (kind, payload) marks an article, null if it doesn't; plain is its plain_marker, if that is at hand."""
     p, kind = F.col("payload"), F.col("kind")
-    return F.when((kind == "atx") & (p.rlike(ATX) | p.rlike(ONLY)), "atx").when((kind == "h2") & (p.rlike(SETEXT) | p.rlike(ONLY)), "setext").when((kind == "line") & plain_marker(p).isNotNull(), "plain")
+    return F.when((kind == "atx") & (p.rlike(ATX) | p.rlike(ONLY)), "atx").when((kind == "h2") & (p.rlike(SETEXT) | p.rlike(ONLY)), "setext").when((kind == "line") & (plain_marker(p) if plain is None else plain).isNotNull(), "plain")
 
 
 def article_number(base: Column, suffix: Column) -> Column:
@@ -77,7 +77,9 @@ def articles(events: DataFrame) -> DataFrame:
     heading before the marker. A document without articles is one, "unico", of all its text.
     """
     p, kind = F.col("payload"), F.col("kind")
-    atx, setext, plain, only, style = ATX, SETEXT, plain_marker(p), ONLY, article_style()
+    events = events.withColumn("marker", F.when(kind == "line", plain_marker(p)))
+    atx, setext, plain, only = ATX, SETEXT, F.col("marker"), ONLY
+    style = article_style(plain)
     number = F.when(kind.isin("atx", "h2") & p.rlike(only), "unico").when(kind == "atx", article_number(F.regexp_extract(p, atx, 1), F.regexp_extract(p, atx, 2)))
     number = number.when(kind == "h2", article_number(F.regexp_extract(p, setext, 1), F.regexp_extract(p, setext, 2))).otherwise(article_number(plain["base"], plain["suffix"]))
     w = Window.partitionBy("doc").orderBy("line_no")

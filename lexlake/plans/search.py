@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import italian
 from ..operators import inverted as iv
-from ..sources.scratch import shared_folder
+from ..operators import retrieval as rt
+from ..operators import vector_index as vi
+from ..sources.scratch import shared_folder, stored
 from .queries import _BM25, _POST, Tables, _index, query
 
 
@@ -35,3 +37,25 @@ def index_after_feed(t: Tables) -> DataFrame:
     iv.write_index(added, folder, 8)
     asked = iv.asked_terms(docs.select("doc_id", text.alias("text")).where("doc_id % 100 = 0 and text is not null"), "doc_id", "text")
     return iv.search(iv.living(iv.read_index(docs.sparkSession, folder), dead), asked, 10)
+
+
+def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+
+
+@query(None)
+def ivf_topk(t: Tables) -> DataFrame:
+    """RET-01: approximate search over an inverted file of residual codes; every vector is indexed."""
+    vectors, asked = _vectors(t)
+    cells = vi.fit_cells(vectors)
+    return vi.probe(stored(vi.index_vectors(vectors, cells)), vectors, asked, cells, 10)
+
+
+@query("""SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) * 10 AS n, true AS enough""")
+def ivf_recall(t: Tables) -> DataFrame:
+    """RET-01: how many of the exact ten nearest of each query the approximate search finds, at least 0.95 of all."""
+    vectors, asked = _vectors(t)
+    cells = vi.fit_cells(vectors)
+    found = vi.probe(stored(vi.index_vectors(vectors, cells)), vectors, asked, cells, 10)
+    return vi.recall_of(found, rt.cosine_topk(vectors, asked, 10)).select("n", (F.col("recall") >= 0.95).alias("enough"))
