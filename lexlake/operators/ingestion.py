@@ -97,10 +97,10 @@ def watermark(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'completed' and commit_to is not null").agg(F.max_by("commit_to", "id").alias("commit_to"), F.max("id").alias("run_id"))
 
 
-def set_status(acts: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def set_status(acts: DataFrame, changes: DataFrame, order: str = "status") -> tuple[DataFrame, DataFrame]:
     """Acts (key, status, sha, ...) with the status of `changes` (key, status, sha), a null sha keeping the old one; and
-    one row, n_rows: how many acts were met."""
-    new = changes.groupBy("key").agg(F.max_by(F.struct("status", "sha"), "status").alias("new"))
+    one row, n_rows: how many acts were met. Of several changes of an act the last by `order` counts."""
+    new = changes.groupBy("key").agg(F.max_by(F.struct("status", "sha"), order).alias("new"))
     got = acts.join(new, "key", "left")
     after = got.withColumns({"status": F.coalesce("new.status", "status"), "sha": F.coalesce("new.sha", "sha")}).select(*acts.columns)
     return after, acts.join(new, "key", "left_semi").agg(F.count("*").alias("n_rows"))

@@ -17,6 +17,7 @@ from ..operators import pipeline as pl
 from ..operators import reports as rp
 from ..operators import validation as va
 from ..sources import html
+from ..sources.lots import in_lots
 from ..streaming import admission, events, markers
 from .queries import _FILES, _LINES, _MARKS, Tables, _files, _lines, query
 
@@ -230,12 +231,12 @@ def status_rowcount(t: Tables) -> DataFrame:
     return met.crossJoin(after.agg(F.count_if(F.expr("status = 'X' and sha = 's'")).alias("n_set")))
 
 
-@query("""SELECT status, path, row_number() OVER (ORDER BY CASE status WHEN 'delete' THEN 0 WHEN 'move' THEN 1 ELSE 2 END, path) AS place FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'move' ELSE 'upsert' END AS status, o_orderkey::VARCHAR AS path FROM orders) QUALIFY place <= 20""")
+@query("""SELECT status, path, row_number() OVER (ORDER BY CASE status WHEN 'delete' THEN 0 WHEN 'move' THEN 1 ELSE 2 END, path) AS place FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'delete' WHEN 1 THEN 'move' ELSE 'upsert' END AS status, o_orderkey::VARCHAR AS path FROM orders)""")
 def processing_order(t: Tables) -> DataFrame:
-    """TOP-11: the first twenty changes; the limit is the report."""
+    """TOP-11: every change with its place in the whole order."""
     status = F.when(F.col("o_orderkey") % 3 == 0, "delete").when(F.col("o_orderkey") % 3 == 1, "move").otherwise("upsert")
-    some = bs.processing_order(t("orders").select(status.alias("status"), text_of("o_orderkey").alias("path"))).limit(20)
-    return some.withColumn("place", F.row_number().over(Window.orderBy("step", "path"))).select("status", "path", "place")
+    changes = bs.processing_order(t("orders").select(status.alias("status"), text_of("o_orderkey").alias("path")))
+    return in_lots(changes, [F.col("step"), F.col("path")], 1).select("status", "path", (F.col("lot") + 1).alias("place"))
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean_latency FROM events GROUP BY 1""")

@@ -13,6 +13,7 @@ from ..operators import chunking as ch
 from ..operators import ingestion as ing
 from ..operators import inverted as iv
 from ..operators import parsing as pr
+from ..operators import reranking as rr
 from ..operators import retrieval as rt
 from ..sources.scratch import shared_folder
 
@@ -105,8 +106,10 @@ def hybrid_search(t: Tables) -> DataFrame:
 @query(f"""WITH {_COS.format(where='', k=50)}, r AS (SELECT query_id, id, rank AS upstream_rank, (id * 7 + query_id) % 13 AS score FROM dn)
 SELECT query_id, id, score, upstream_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, upstream_rank) AS rank FROM r) WHERE rank <= 10""")
 def rerank_stable(t: Tables) -> DataFrame:
-    """TOP-05, RET-05: a stand-in scorer; equal scores keep the upstream order."""
-    return rt.rerank(_cosine(t, 50), (F.col("id") * 7 + F.col("query_id")) % 13, 10)
+    """TOP-05, RET-05: pairs through a stand-in scorer, in batches of any queries; equal scores keep the upstream order."""
+    scorer = lambda pairs: [(int(text) * 7 + int(asked)) % 13 for asked, text in pairs]
+    hits = _cosine(t, 50).withColumns({"asked": F.col("query_id").cast("string"), "text": F.col("id").cast("string")})
+    return rr.rerank_pairs(hits, "asked", "text", scorer, 10).select("query_id", "id", F.col("score").cast("long").alias("score"), "upstream_rank", "rank")
 
 
 @query("""WITH x AS (SELECT l_orderkey AS query_id, l_partkey AS id, l_linenumber AS rank, 0 AS tier FROM lineitem WHERE l_returnflag = 'R'
