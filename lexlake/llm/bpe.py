@@ -254,7 +254,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row for each input row, in no order: doc_id, ids (little-endian unsigned 32-bit), decoded.
 
     digest=True gives n_tokens, ids_sha256, decoded_sha256 in place of ids and text. A null text is empty: no
-    ids. A null id stays null. Repeated rows are encoded each. An empty table gives an empty one.
+    ids. A null id stays null. Repeated rows are encoded each, equal texts alike. Very long texts and words are encoded whole. An
+    empty table gives an empty one. Other columns play no part, whatever their names.
     """
 
     def run(got):

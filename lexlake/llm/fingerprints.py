@@ -37,7 +37,9 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows are grouped by the wide hash; within a hash that several rows have, bytes are compared: the least and the
     greatest canonical text are summed up before the shuffle, so a group of any size sends a row for each task. Where
-    they differ the hash's rows are told apart by the canonical text itself.
+    they differ the hash's rows are told apart by the canonical text itself. Null texts are empty ones, and a class with
+    them; null ids stay null; repeated rows give a row each; very long texts are hashed whole; an empty table gives no rows; other columns
+    play no part.
     """
     rows = _rows(docs, id_col, text_col)
     prints = stored(rows.select(*KEY, digest(canonical(F.col("text"))).alias("fingerprint")))
@@ -81,7 +83,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The edited text has the last third (rounded down) of the code points replaced by as many from the start of
     the next document's text, all if it is shorter. Exact digests are alike (1) or not (0). Null text is empty.
-    Of rows that share an id the order is by the text's hash; rows alike in id and text are one document.
+    Of rows that share an id the order is by the text's hash; rows alike in id and text are one document and give a row each.
+    A null id comes last in the order of ids and stays null; a table of one document is its own next. Texts of any length are read whole;
+    an empty table gives no rows; other columns play no part, whatever their names.
     """
     rows = _rows(docs, id_col, text_col)
     prints = stored(rows.select(*KEY, F.length("text").cast("long").alias("n_chars"), digest(canonical(F.col("text"))).alias("fingerprint")))

@@ -102,7 +102,11 @@ def fit(x: np.ndarray, y: np.ndarray, n_pairs: int = PAIRS, n_knots: int = 6, de
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> RankModel:
-    """From at most sample_docs labelled documents, of those whose crc32(id) mod 5 isn't 0; the rest is held out."""
+    """From at most sample_docs labelled documents, of those whose crc32(id) mod 5 isn't 0; the rest is held out.
+
+    Labels that are null or of a null or unknown id don't count, nor do null texts; of several labels of an id the smallest counts. Without rows
+    of both labels all scores are equal, and above the cut.
+    """
 
     def run(got):
         for batch in got:
@@ -126,7 +130,8 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 def score_quality(docs: DataFrame, model: RankModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, held_out, score (0 to 1), predicted (1 from a score of CUT on).
 
-    Null and empty texts have all statistics 0. A null id stays null and isn't held out; repeated rows give a row each.
+    Null and empty texts have all statistics 0. A null id stays null and isn't held out; repeated rows give a row each, equal texts the
+    same score. Very long texts are read whole; an empty table gives no rows; other columns play no part.
     """
 
     def run(got):

@@ -321,7 +321,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
 
     Fingerprints of RADIUS or fewer differing bits are linked; component_id is the smallest id reachable, the
     row's own included. Equal fingerprints are one node, so a group of copies is one, however large. A null id
-    takes part and is never the smallest (null only if nothing else is reachable); repeated rows give a row each.
+    takes part and is never the smallest (null only if nothing else is reachable); repeated rows give a row each. A null, empty or
+    wordless text has fingerprint zero and is linked like any other; a bit set in just half of the shingles is 0; very long texts are read
+    whole; an empty table gives no rows; other columns play no part.
     """
     prints = stored(fingerprints(docs, width, id_col, text_col))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))

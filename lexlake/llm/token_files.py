@@ -184,7 +184,11 @@ _IDS = _DOCS.append(pa.field("ids", pa.binary()))
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
-    """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if wanted."""
+    """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and ids if wanted.
+
+    A row for each document that was written, null ids and repeated rows included, a document without text being its end id alone; an empty
+    manifest gives no rows. A file is read in one go; one whose dictionary isn't the folder's raises.
+    """
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
 

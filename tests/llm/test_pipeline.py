@@ -39,3 +39,35 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.drop("sequence_id", "offset", "ids").collect()), key=str) == sorted(map(tuple, at.drop("sequence_id", "offset", "ids").collect()), key=str)
     assert at.agg(F.sum("length")).first()[0] == at.dropDuplicates(["doc_id"]).agg(F.sum("doc_tokens")).first()[0]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def whole(spark, folder, rows, labels=(), extra=()):
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit(c) for c in extra})
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents: no pieces. No labels: nothing is toxic, the other stages do their work."""
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    assert whole(spark, tmp_path / "a", [], [(1, 1, 0)]).collect() == []
+    rows = [(i, f"w{i} " * 40, "en", "s", 0) for i in range(5)]
+    out = whole(spark, tmp_path / "b", rows)
+    assert {r.doc_id for r in out.collect()} == set(range(5))
+
+
+def test_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text, columns under names that the stages use inside."""
+    long = " ".join(f"x{k}" for k in range(30_000))
+    rows = [(1, "one two three four five six", None, None, None), (1, "one two three four five six", None, None, None), (2, None, "en", "s", 3), (3, "", "en", "s", 0), (None, "no id here at all", "en", "s", 1), (4, long, "en", "s", 1), (5, "  \n\t ", "en", "s", 1)]
+    labels = [(1, None, None), (2, 1, 0), (2, 0, 1), (None, 1, 1), (99, 1, 1)]
+    out = whole(spark, tmp_path, rows, labels, ("label", "fp", "node", "root", "tie", "key", "k", "row", "unknown", "size", "ids", "start", "length", "bucket", "kind")).collect()
+    ids = {r.doc_id for r in out}
+    # Of documents without words the first stays, of repeated rows one.
+    assert ids == {1, 2, None, 4}
+    assert sum(r.length for r in out if r.doc_id == 1) == next(r.doc_tokens for r in out if r.doc_id == 1)
+    assert sum(r.length for r in out if r.doc_id == 4) > 30_000
