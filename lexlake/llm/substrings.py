@@ -493,7 +493,7 @@ def relative_factors(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     The factor's words stand at ref_start of the earlier text ref_doc_id, or earlier in the same text, which it may
     overlap. Documents are ordered by id, null ids last, then by their text's hash; of rows alike in id and text, one
     document, each has its factors. Null, empty and short texts and texts without repeats have none; an empty table
-    gives no rows. Very long texts are parsed whole. Of places that match as long the one a block has first is given. Other columns
+    gives no rows. Very long texts are parsed whole. Of places that match as long the one of the smallest ref and place is given. Other columns
     play no part, whatever their names.
     """
 
