@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import ingestion as ing
 from ..operators import ownership as own
+from ..streaming import events as ev
+from ..streaming import frames as fr
 from .queries import _FILES, _SNAP, Tables, _changes, _files, query
 
 #: Files (path, key, status) of a run with `held` (key, owner, status) of the runs before, taken in the order of `at`; what is settled.
@@ -78,3 +80,15 @@ def delta_upserts(t: Tables) -> DataFrame:
     _, settled, counts = _run(fresh, held, ["path"])
     kept = fed["acts"].select("act_ref", F.col("file_path").alias("kept"))
     return _reported(settled.join(kept, "act_ref", "left").withColumn("file_path", F.coalesce("file_path", "kept")).drop("kept"), counts)
+
+
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS frame_no, CASE WHEN role = 'user' THEN 'status' ELSE 'token' END AS kind, text FROM conversations""")
+def frame_streams(t: Tables) -> DataFrame:
+    """SNK-12, STM-07: the turns of conversations written as event frames, cut into pieces of bytes anywhere, and read back."""
+    frame = ev.frames(F.when(F.col("role") == "user", "status").otherwise("token"), F.struct("text"))
+    whole = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "").alias("s"))
+    raw, width = F.col("s").cast("binary"), (F.col("conv_id") % 37 + 3).cast("int")
+    cuts = F.sequence(F.lit(0), F.floor((F.octet_length("s") - 1) / width).cast("int"))
+    pieces = whole.select(F.col("conv_id").cast("string").alias("stream_id"), F.posexplode(F.transform(cuts, lambda k: F.substring(raw, k * width + 1, width))).alias("seq", "piece"))
+    out = fr.decoded_frames(pieces)
+    return out.select(F.col("stream_id").cast("long").alias("conv_id"), "frame_no", "kind", F.get_json_object("data", "$.text").alias("text"))
