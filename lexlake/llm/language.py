@@ -17,7 +17,7 @@ from .shared import batches, cached, pairs, release_memory, texts
 
 UNKNOWN = "und"
 #: Labelled documents read for fitting, at most so many on average, and languages, the most frequent ones.
-SAMPLE_DOCS, MOST_LANGUAGES = 6_000, 256
+SAMPLE_DOCS, MOST_LANGUAGES = 4_000, 256
 BUCKETS, WIDTH = 1 << 16, 16
 SIZES = (1, 2, 3, 4)
 #: Characters of the words whose sums a worker keeps, beside those of the texts at hand, and rows of numbers gathered at a time.
@@ -185,14 +185,14 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     words = words_of(text)
                     for some in (words, _snippet(i, words)) if words else ():
                         bucket, part = counted(some)
-                        yield lang, abs(i) % 5 == 0, bucket.astype("<i4").tobytes(), part.astype("<f4").tobytes()
+                        yield lang, abs(i) % 5 == 0, bucket.astype("<u2").tobytes(), part.astype("<f4").tobytes()
 
         yield from batches(rows_(), _EXAMPLES, 256)
 
     got = sample.mapInArrow(run, "lang string, calibrates boolean, bucket binary, part binary").orderBy("lang", F.xxhash64("bucket", "part"), "bucket").collect()
     languages = sorted({r.lang for r in got})
     number = {x: k for k, x in enumerate(languages)}
-    examples = [(r.calibrates, (number[r.lang], np.frombuffer(r.bucket, "<i4").astype(np.int64), np.frombuffer(r.part, "<f4"))) for r in got]
+    examples = [(r.calibrates, (number[r.lang], np.frombuffer(r.bucket, "<u2"), np.frombuffer(r.part, "<f4"))) for r in got]
     learned = [x for held, x in examples if not held] or [x for _, x in examples]
     return calibrate(descend(learned, languages), [x for held, x in examples if held])
 

@@ -593,7 +593,8 @@ def test_quality_on_held_out_rows():
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
-    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    table = "embeddings" if "vector_codes" in name else "documents"
+    n = spark.read.parquet(f"{DATA}/{table}.parquet").count()
     df = queries.QUERIES[name](spark, DATA)
     assert df.count() == n if "packing" not in name else df.count() >= n
 
