@@ -47,14 +47,27 @@ def lot_durability(chunks: DataFrame, file: str, order: list[Column], lot: int =
     return placed.select(file, "n_chunks", F.floor((F.col("upto") + F.col("offset") - 1) / lot).cast("long").alias("durable_lot"))
 
 
+def placed_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+    """The rows with their place, from 1 on, among those of the same key by `order`, a key of any size being dealt over many tasks.
+
+    Rows go into ranges of (key, order); a place is what earlier ranges hold of the key and the number within its own. The window over
+    the counts has a row for each range that a key lies in.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, key, order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(key, "_range").agg(F.count("*").alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order))
+    return ranged.withColumn("_within", within).join(counts, [key, "_range"]).withColumn(name, F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(status, path, old_path) between two snapshots (path, sha): upsert, delete, or move where a vanished path's content
     is at a new path. Among several of the same content the first vanished goes with the first new, and so on."""
-    both = old.select("path", F.col("sha").alias("old_sha")).join(new.select("path", F.col("sha").alias("new_sha")), "path", "full_outer")
-    gone = both.where("new_sha is null").select("path", F.col("old_sha").alias("sha"))
+    both = stored(old.select("path", F.col("sha").alias("old_sha")).join(new.select("path", F.col("sha").alias("new_sha")), "path", "full_outer").where("old_sha is null or new_sha is null or old_sha <> new_sha"))
+    gone = both.where("new_sha is null").select(F.col("path").alias("old_path"), F.col("old_sha").alias("sha"))
     come = both.where("old_sha is null").select("path", F.col("new_sha").alias("sha"))
-    place = F.row_number().over(Window.partitionBy("sha").orderBy("path"))
-    pair = gone.select(F.col("path").alias("old_path"), "sha", place.alias("k")).join(come.select("path", "sha", place.alias("k")), ["sha", "k"], "full_outer")
+    pair = placed_within(gone, "sha", "old_path", "k").join(placed_within(come, "sha", "path", "k"), ["sha", "k"], "full_outer")
     moved = F.col("old_path").isNotNull() & F.col("path").isNotNull()
     status = F.when(moved, "move").when(F.col("path").isNull(), "delete").otherwise("upsert")
     changed = both.where("old_sha <> new_sha").select(F.lit("upsert").alias("status"), "path", F.lit(None).cast("string").alias("old_path"))

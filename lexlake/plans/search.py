@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import italian
 from ..operators import inverted as iv
+from ..operators import pipeline as pl
 from ..operators import retrieval as rt
 from ..operators import vector_index as vi
 from ..sources.scratch import shared_folder, stored
@@ -59,3 +60,20 @@ def ivf_recall(t: Tables) -> DataFrame:
     cells = vi.fit_cells(vectors)
     found = vi.probe(stored(vi.index_vectors(vectors, cells)), vectors, asked, cells, 10)
     return vi.recall_of(found, rt.cosine_topk(vectors, asked, 10)).select("n", (F.col("recall") >= 0.95).alias("enough"))
+
+
+@query("""WITH x AS (SELECT doc_id, concat(text, ' di cui all''articolo ', doc_id + 1, ' e all''art. ', doc_id + 2, ' della legge 7 agosto 1990, n. 241 ') AS text FROM documents),
+q AS (SELECT DISTINCT conv_id AS query_id, conv_id % 50 + 1 AS k, conv_id * 7 % 30 + 60 AS h FROM conversations WHERE role = 'user'),
+c AS (SELECT query_id, unnest([k + 1, k + 2, h + 1, h + 2]) AS doc_id, unnest([1, 2, 3, 4]) AS place FROM q),
+s AS (SELECT query_id, c.doc_id, place, sum(greatest(1, length(text) // 4)) OVER (PARTITION BY query_id ORDER BY place) AS spent FROM c JOIN x ON x.doc_id = c.doc_id)
+SELECT query_id, k::VARCHAR AS id, 0::BIGINT AS tier, 1::BIGINT AS position FROM q UNION ALL SELECT query_id, h::VARCHAR, 1, 2 FROM q UNION ALL SELECT query_id, doc_id::VARCHAR, 3, 2 + place FROM s WHERE spent <= 6000""")
+def answer_context(t: Tables) -> DataFrame:
+    """RET-12, EXT-07: what an answer to each conversation's last user turn is given: the article that the turn names, a hit of the search, and
+    what both cite, documents being the articles of one act."""
+    n = F.col("doc_id")
+    cite = F.concat(F.lit(" di cui all'articolo "), (n + 1).cast("string"), F.lit(" e all'art. "), (n + 2).cast("string"), F.lit(" della legge 7 agosto 1990, n. 241 "))
+    chunks = t("documents").select(n.cast("string").alias("chunk_id"), F.lit("legge-241-1990").alias("act_ref"), n.cast("string").alias("article"), F.lit(0).alias("split_no"), n.alias("legal_no"), F.concat("text", cite).alias("text"))
+    asked = F.concat(F.coalesce("text", F.lit("")), F.lit(" Che dice l'art. "), (F.col("conv_id") % 50 + 1).cast("string"), F.lit(" della legge 241/1990?"))
+    turns = t("conversations").withColumn("text", F.when(F.col("role") == "user", asked).otherwise(F.col("text")))
+    hybrid = turns.where("role = 'user'").select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 7 % 30 + 60).cast("string").alias("id"), F.lit(1).alias("rank")).distinct()
+    return pl.answer_context(turns, chunks, hybrid, 5, 6000)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexlake.functions.text import clean_rubric, clean_title, partition_label, self_numbered, sigmoid
 from lexlake.operators import bootstrap as bs
 from lexlake.operators import embedding, identity, reports, reranking
-from lexlake.operators.ingestion import set_status
+from lexlake.operators.ingestion import set_status, snapshot_diff
 from lexlake.sources import files, tables
 
 
@@ -94,3 +94,13 @@ def test_reranking_equals_one_pair_at_a_time(spark):
     for q in range(6):
         mine = sorted(((-seen(r[3], r[4] or ""), r[2], r[1]) for r in rows if r[0] == q))[:5]
         assert [got[q, k] for k in range(1, 6)] == [(i, -s) for s, _, i in mine]
+
+
+def test_moves_among_many_equal_files(spark):
+    """A thousand empty files change their folder: the k-th that vanishes goes with the k-th that comes, in ranges of paths."""
+    old = [(f"a/{k:04d}", "e") for k in range(1000)] + [("x", "1"), ("y", "2"), ("z", "3")]
+    new = [(f"b/{k:04d}", "e") for k in range(1005)] + [("x", "1"), ("y", "9")]
+    got = snapshot_diff(*(spark.createDataFrame(r, "path string, sha string") for r in (old, new))).collect()
+    moves = {r.old_path: r.path for r in got if r.status == "move"}
+    assert moves == {f"a/{k:04d}": f"b/{k:04d}" for k in range(1000)}
+    assert sorted((r.status, r.path) for r in got if r.status != "move") == [("delete", "z"), *(("upsert", f"b/{k}") for k in range(1000, 1005)), ("upsert", "y")]
