@@ -23,7 +23,8 @@ def parsed_acts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kind, body = payload(F.col("text"))
     read = files.select(F.col("path").alias("doc"), kind.alias("format"), body.alias("body"), F.col("text").isNull().alias("broken"))
-    good = read.where("not broken")
+    # Files are dealt out whole, before they become lines: the windows over a file's lines then need no shuffle of lines.
+    good = read.where("not broken").repartition("doc")
     events = stored(parsing.line_events(parsing.lines(good.where("format = 'markdown'"), "doc", "body")))
     plain = parsing.article_paragraphs(parsing.finish_articles(parsing.articles(events)), with_articles=True)
     read_pages = stored(captured_pages(good.where("format <> 'markdown'").select("doc", "body"), "doc", "body"))

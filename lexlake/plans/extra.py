@@ -268,7 +268,7 @@ def two_tier_search(t: Tables) -> DataFrame:
 
 @query("""SELECT l_orderkey AS query_id, l_suppkey AS act_ref, l_returnflag AS article, min(l_linenumber)::BIGINT AS position, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_suppkey, l_returnflag) AS source_no FROM lineitem GROUP BY 1, 2, 3""")
 def source_list(t: Tables) -> DataFrame:
-    """SET-03, JON-11: the sources of each order's lines."""
+    """SET-03: the sources of each order's lines."""
     x = t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("act_ref"), F.col("l_returnflag").alias("article"), F.col("l_linenumber").alias("position"))
     return pl.source_list(x)
 
@@ -318,7 +318,7 @@ def _cut_turns(t: Tables) -> DataFrame:
 
 @query(f"""WITH c AS ({_TURNS}) SELECT stream_id, string_agg(e, ',' ORDER BY k) AS events, bool_or(verified) AS verified FROM (SELECT stream_id, k, e, CASE WHEN e = 'citation' THEN turn % 2 = 0 END AS verified FROM c, (VALUES (0, 'status'), (1, 'sources'), (2, 'text'), (3, 'token'), (4, 'citation'), (5, 'token'), (6, 'text'), (7, 'done')) v(k, e)) GROUP BY 1""")
 def turn_events(t: Tables) -> DataFrame:
-    """STM-02, JON-16, SNK-12: the wire's order; tokens of text are joined again, as their number hangs on the pieces."""
+    """STM-02, JON-16: the wire's order; tokens of text are joined again, as their number hangs on the pieces."""
     parts = markers.split_streams(_cut_turns(t))
     turns = t("conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), F.lit("[[dlgs-81-2008|art.18|c.1|lett.a]]").alias("marker"), (F.col("turn") % 2 == 0).alias("verified"))
     got = events.turn_events(parts, turns)

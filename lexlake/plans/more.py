@@ -124,7 +124,7 @@ _URN = "concat('see <a href=\"urn:nir:stato:', CASE WHEN page_id % 3 = 0 THEN 'l
 @query(rf"""WITH x AS (SELECT page_id, {_URN} AS s FROM pages), y AS (SELECT page_id, regexp_extract(s, 'urn:nir:stato:([a-z.]+):', 1) AS kind, regexp_extract(s, ':(\d{{4}})', 1) AS y, regexp_extract(s, ':(\d{{4}}-\d{{2}}-\d{{2}});', 1) AS d, regexp_extract(s, ';(\d+)', 1) AS number FROM x)
 SELECT page_id, CASE kind WHEN 'legge' THEN concat('legge-', number, '-', y) WHEN 'decreto.legislativo' THEN concat('dlgs-', number, '-', y) ELSE concat('rd-', number, '-', y) END AS act_ref, CASE kind WHEN 'legge' THEN 'legge' WHEN 'decreto.legislativo' THEN 'decreto_legislativo' ELSE 'regio_decreto' END AS act_type, number, y::BIGINT AS year, nullif(d, '') AS date FROM y""")
 def urn_identity(t: Tables) -> DataFrame:
-    """REF-04/08, EXT-05."""
+    """REF-04/08."""
     x = t("pages").select("page_id", idn.from_urn(F.expr(_URN)).alias("r"))
     return x.select("page_id", "r.act_ref", "r.act_type", "r.number", "r.year", F.col("r.date").cast("string").alias("date"))
 
@@ -198,7 +198,7 @@ def windowed_events(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, 0::BIGINT AS pos, concat('dlgs-', doc_id % 90 + 1, '-2008') AS act_ref, 'decreto_legislativo' AS act_type, (doc_id % 90 + 1)::VARCHAR AS number, 2008::BIGINT AS year, (doc_id % 300 + 1)::VARCHAR AS article, '2' AS comma FROM documents UNION ALL SELECT doc_id, 1, 'codice-civile', 'codice', NULL, NULL, '5', NULL FROM documents UNION ALL SELECT doc_id, 2, 'codice-civile', 'codice', NULL, NULL, '7', NULL FROM documents")
 def grammar_refs(t: Tables) -> DataFrame:
-    """EXT-01..04, FLT-12, SCL-12/13, SET-09: references put into the documents' texts, and read back."""
+    """EXT-01..04, FLT-12, SET-09: references put into the documents' texts, and read back."""
     ref = F.concat(F.lit(" art. "), (F.col("doc_id") % 300 + 1).cast("string"), F.lit(", comma 2, del d.lgs. "), (F.col("doc_id") % 90 + 1).cast("string"), F.lit("/2008; artt. 5 e 7 c.c. "))
     x = t("documents").select("doc_id", F.concat("text", ref).alias("text"))
     return ci.with_references(x, "text").select("doc_id", F.posexplode("refs").alias("pos", "r")).select("doc_id", "pos", "r.*")
