@@ -197,7 +197,8 @@ def further_links(rows: DataFrame) -> DataFrame:
 
     big marks the rows of the key's largest class; u is always of another. A node of those asks for one more than it has
     `tried` without success, in its life: if any other candidate is left under the key, one of these is new. So what a
-    class of any size gets is a few rows for each node outside of it. A task holds those nodes.
+    class of any size gets is a few rows for each node outside of it, and a node without a new one has none left there,
+    now or later. A task holds those nodes.
     """
 
     def run(got):
@@ -213,9 +214,12 @@ def further_links(rows: DataFrame) -> DataFrame:
             if small.any():
                 nodes, roots, sizes, left, marks = (np.concatenate(x) for x in ((nodes, new[small]), (roots, root[small]), (sizes, size[small]), (left, more[small] + 1), (marks, mark[small])))
                 for k in range(at, len(nodes)):
-                    some = np.flatnonzero(may_be_near(sizes[k], marks[k], sizes[:k], marks[:k]) & (roots[:k] != roots[k]))[: left[k]]
+                    both = np.flatnonzero(may_be_near(sizes[k], marks[k], sizes[:k], marks[:k]) & (roots[:k] != roots[k]))
+                    some, asks = both[: left[k]], both[left[both] > 0]
                     links.update((key, int(nodes[k]), x) for x in nodes[some].tolist())
+                    links.update((key, x, int(nodes[k])) for x in nodes[asks].tolist())
                     left[k] -= len(some)
+                    left[asks] -= 1
             if big.any():
                 v, its, sketch, root_ = new[big], size[big], mark[big], root[big]
                 for k in np.flatnonzero(left > 0).tolist():
@@ -280,27 +284,26 @@ def near_classes(described_: DataFrame, read: DataFrame, first_docs: DataFrame)
     refuted = checked.where("not near")
     roots = stored(components(checked.where("near"), "u", "v"))
     finer = shingles.select("node", F.size("shingles").cast("long").alias("size"), "fine")
-    most, asked = 1, None
+    pair = {"x": F.greatest("u", "v"), "y": F.least("u", "v")}
+    most = 1
     while True:
         rooted = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.count("*").alias("classes")).where("classes > 1")
-        if asked is not None:
-            # A key without candidates has none from now on: classes only grow together.
-            classes = classes.join(asked, "key", "left_semi")
         live = stored(rooted.join(classes, "key").select("key", "node", "root", (F.col("root") == F.col("big.root")).alias("big")))
         tried = refuted.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("tried"))
         asking = live.join(tried, "node", "left").withColumn("tried", F.coalesce("tried", F.lit(0)))
-        found = stored(further_links(asking.join(finer, "node")))
-        links = found.select("u", "v").distinct()
-        # Each pair of nodes once, whichever of the two looks for the other, and none that was refuted.
-        links = links.groupBy(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).agg(F.min(F.struct("u", "v")).alias("l"))
-        links = links.join(refuted.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")), ["x", "y"], "left_anti").select("l.*")
+        fresh = stored(further_links(asking.join(finer, "node")).withColumns(pair).join(refuted.withColumns(pair).select("x", "y"), ["x", "y"], "left_anti"))
+        # Each pair of nodes once, whichever of the two looks for the other.
+        links = fresh.groupBy("x", "y").agg(F.min(F.struct("u", "v")).alias("l")).select("l.*")
         most *= GROWTH
         checked, seen = stored_with(_checked(links, shingles, most), n=F.count("*"), near=F.count_if("near"))
         if not seen["n"]:
             return roots
         refuted = stored(refuted.union(checked.where("not near")))
-        keyed, asked = live.select("key", "node"), found.select("key").distinct()
+        # Under a key, a node outside of the largest class that has found none but refuted candidates is settled with all others
+        # for good, as classes only grow together; the largest class stays for those that are not.
+        open_ = fresh.select("key", F.col("u").alias("node")).distinct()
+        keyed = open_.union(live.where("big").select("key", "node").join(open_.select("key").distinct(), "key", "left_semi"))
         if seen["near"]:
             found = checked.where("near")
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))

@@ -98,6 +98,32 @@ def test_a_large_group_is_one(spark):
     assert kept(spark, texts) == [0]
 
 
+def test_settled_nodes_are_not_read_again(spark, monkeypatch):
+    """Of a template's variants on both sides of the limit, rounds read again only nodes with a new candidate, beside the
+    largest class of their key; twice the variants make no more than about twice the rows."""
+    asked, plain = [], near_copies.further_links
+
+    def counted(rows):
+        asked[-1].append((rows.where("not big").count(), rows.count()))
+        return plain(rows)
+
+    monkeypatch.setattr(near_copies, "further_links", counted)
+    draw = random.Random(21)
+    template, texts = prose(draw, 120), []
+    for _ in range(240):
+        words = list(template)
+        for i in draw.sample(range(120), draw.choice([1, 1, 2, 3, 4])):
+            words[i] = f"y{draw.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    for n in (120, 240):
+        asked.append([])
+        assert kept(spark, texts[:n]) == sorted({*least_reachable(texts[:n])})
+    for rounds in asked:
+        assert len(rounds) > 1
+        assert sum(few for few, _ in rounds[1:]) < rounds[0][0] / 4
+    assert sum(n for _, n in asked[1]) < 3 * sum(n for _, n in asked[0])
+
+
 def test_keys_of_bands_meet():
     draw = np.random.default_rng(3)
     missed = 0
