@@ -7,11 +7,13 @@ own token. The second test needs the two tokens only, so it is done once for eac
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +69,7 @@ class SpeculativeBPE:
     def _tables(self, merges: list) -> None:
         n = max(self.vocab.values()) + 1
         self.rank, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        keys, ranks, self.merge = [], [], {}
+        keys, ranks, made_by, self.merge = [], [], [], {}
         for r, m in enumerate(merges):
             a, b = m.split(" ") if isinstance(m, str) else m
             x, y = self.vocab[a], self.vocab[b]
@@ -75,10 +77,12 @@ class SpeculativeBPE:
             self.merge.setdefault((x, y), (r, t))
             keys.append(x * n + y)
             ranks.append(r)
+            made_by.append(t)
             if self.rank[t] < 0:
                 self.rank[t], self.left[t], self.right[t] = r, x, y
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.n, self.keys, self.ranks = n, np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.made = np.array(made_by, np.int64)
         # A token is its own encoding if both halves are theirs and nothing merges across their boundary first.
         made = np.flatnonzero(self.rank >= 0)
         inner = self.compatible(self.left[made], self.right[made], top=False)
@@ -151,6 +155,47 @@ class SpeculativeBPE:
                 found[k - 1] = merge.get((ids[k - 1], ids[k]), none)
         return ids
 
+    def exact_many(self, words: list[str]) -> list[list[int]]:
+        """The same for many words, as rows of one array of each length: all make their next merge at once."""
+        get, out, by_length = self.vocab.get, [[] for _ in words], {}
+        for k, w in enumerate(words):
+            ids = [t for t in [*map(get, w[:-1]), get(w[-1] + self.suffix)] if t is not None]
+            if len(ids) > 24:
+                out[k] = self.exact(w)
+            else:
+                by_length.setdefault(len(ids), []).append((k, ids))
+        for n, group in by_length.items():
+            if n:
+                for (k, _), ids in zip(group, self._merged(np.array([ids for _, ids in group], np.int64)), strict=True):
+                    out[k] = ids
+        return out
+
+    def _merged(self, ids: np.ndarray) -> list[list[int]]:
+        """Of rows of symbols of one length: the rows after all merges, by linked neighbours."""
+        count, n = ids.shape
+        after, before = np.tile(np.arange(1, n + 1), (count, 1)), np.tile(np.arange(-1, n - 1), (count, 1))
+        there, rank, on = np.ones((count, n), bool), np.full((count, n), _NEVER), np.arange(count)
+        rank[:, :-1] = self._pair_rank(ids[:, :-1], ids[:, 1:])
+        while len(on):
+            now = rank[on]
+            k = now.argmin(1)
+            best = now[np.arange(len(on)), k]
+            some = best < _NEVER
+            on, k, best = on[some], k[some], best[some]
+            ids[on, k] = self.made[best]
+            gone = after[on, k]
+            there[on, gone], rank[on, gone] = False, _NEVER
+            rank[on, k] = _NEVER
+            after[on, k] = follows = after[on, gone]
+            more = follows < n
+            row, x, y = on[more], k[more], follows[more]
+            before[row, y] = x
+            p = before[on, k]
+            more = p >= 0
+            row, x, y = (np.append(u, v[more]) for u, v in ((row, on), (x, p), (y, k)))
+            rank[row, x] = self._pair_rank(ids[row, x], ids[row, y])
+        return [list(compress(x, t)) for x, t in zip(ids.tolist(), there.tolist(), strict=True)]
+
     def _exact_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and linked neighbours, for words of many symbols."""
         n, merge = len(ids), self.merge
@@ -183,8 +228,9 @@ class SpeculativeBPE:
         kinds, which = np.unique(flat[inside] * self.n + flat[inside + 1], return_inverse=True)
         fine[owner[inside[~self.compatible(kinds // self.n, kinds % self.n)[which]]]] = False
         self.seen, self.failed = self.seen + len(words), self.failed + int((~fine).sum())
-        for w, m, x, ok in zip(words, mapped, tried, fine.tolist(), strict=True):
-            self.words[w] = tuple(x if ok else self.exact(m))
+        merged = iter(self.exact_many([m for m, ok in zip(mapped, fine.tolist(), strict=True) if not ok]))
+        for w, x, ok in zip(words, tried, fine.tolist(), strict=True):
+            self.words[w] = tuple(x if ok else next(merged))
 
     def split(self, text: str) -> list[str]:
         if self.folded:  # one character at a time, as the library folds: no final sigma
@@ -225,13 +271,24 @@ class SpeculativeBPE:
         needed = {p for x in split for p in x}
         if len(self.chunks) > self.limit:
             self.chunks.clear()
-        self._pieces(needed - self.chunks.keys())
+        # Nothing here refers to itself, and looking for it among millions of pieces takes long.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._pieces(needed - self.chunks.keys())
+        finally:
+            if collecting:
+                gc.enable()
         for x in split:
             got = [self.chunks[p] for p in x]
             yield b"".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]
 
     def _pieces(self, new: set[str]) -> None:
-        found = [(p, [([t], True) if own else (self.split(t), False) for t, own in self.parts(p)]) for p in new]
+        line = "\n".join(new)
+        if any(s in line for s in self.special):
+            found = [(p, [([t], True) if own else (self.split(t), False) for t, own in self.parts(p)]) for p in new]
+        else:
+            found = [(p, [(self.split(p), False)]) for p in new]
         words = {w for _, parts in found for x, own in parts if not own for w in x}
         if len(self.words) > self.limit:
             self.words.clear()

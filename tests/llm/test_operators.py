@@ -602,3 +602,13 @@ def test_queries_run(spark, name):
 def test_native_plan(docs):
     plan = fingerprints.fingerprint_edits(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_many_words_are_merged_at_once():
+    """As one by one: words of any length, repeated symbols, symbols that no merge has."""
+    draw = random.Random(4)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        coder = bpe.SpeculativeBPE(public_tokenizers.path(name))
+        words = ["".join(draw.choice(kind) for _ in range(draw.randint(1, 40))) for kind in ("etaoinshrdlu", "aab", coder.alphabet, "€0a") for _ in range(400)]
+        assert coder.exact_many(words) == [coder.exact(w) for w in words]
+    assert coder.exact_many([]) == []
