@@ -37,7 +37,7 @@ def index_after_feed(t: Tables) -> DataFrame:
     added, dead = iv.updated(iv.read_index(docs.sparkSession, folder), None, feed, "doc_id", "text")
     iv.write_index(added, folder, 8)
     asked = iv.asked_terms(docs.select("doc_id", text.alias("text")).where("doc_id % 100 = 0 and text is not null"), "doc_id", "text")
-    return iv.search(iv.living(iv.read_index(docs.sparkSession, folder), dead), asked, 10)
+    return iv.search(iv.read_index(docs.sparkSession, folder), asked, 10, dead=dead)
 
 
 def _vectors(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,7 @@
 """The stored index against scores computed document by document, and Italian terms by the published examples."""
 
 import math
+import pathlib
 import random
 import re
 from collections import Counter
@@ -96,6 +97,75 @@ def test_edges(spark):
     assert iv.blocks(spark.createDataFrame([(None, "x")], "id long, text string"), "id", "text").where(F.col("term") != iv.ALL).count() == 0
 
 
+def test_dead_documents_are_left_out_by_the_search(spark, tmp_path):
+    """The same as a search of the living blocks, without writing these."""
+    docs, folder = corpus(150, 9), str(tmp_path)
+    iv.write_index(iv.blocks(table(spark, docs), "id", "text", part_docs=16), folder, 4)
+    feed = {i: None if i % 3 else "w0 w1 nuovo" for i in range(0, 150, 2)}
+    added, dead = iv.updated(iv.read_index(spark, folder), None, table(spark, feed), "id", "text")
+    iv.write_index(added, folder, 4)
+    docs = {i: x for i, x in (docs | feed).items() if x is not None}
+    queries = {1: "w0 w1", 2: "nuovo w7", 3: "only4 w3", 4: docs[1]}
+    got = iv.search(iv.read_index(spark, folder), iv.asked_terms(table(spark, queries), "id", "text"), 10, dead=dead).collect()
+    assert near(got, by_hand(docs, queries, 10))
+
+
+def written_by(spark, folder, run):
+    """(result, bytes written to shuffles and to the tables below a folder)."""
+    group = f"written-{random.random()}"
+    tables = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    context, before = spark.sparkContext, tables()
+    context.setJobGroup(group, group)
+    out, n = run(), tables() - before
+    context.setLocalProperty("spark.jobGroup.id", None)
+    store, track = context._jsc.sc().statusStore(), context.statusTracker()
+    for stage in {s for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds}:
+        try:
+            n += store.lastStageAttempt(stage).shuffleWriteBytes()
+        except Exception:  # noqa: BLE001
+            assert track.getStageInfo(stage) is None  # skipped
+    return out, n
+
+
+def test_postings_are_not_written_for_each_block_of_queries(spark, tmp_path, monkeypatch):
+    """Twenty-five blocks of queries instead of one: what a search writes stays nearly the same."""
+    docs = corpus(2000, 3)
+    iv.write_index(iv.blocks(table(spark, docs), "id", "text", part_docs=500), str(tmp_path), 4)
+    queries = {i: " ".join(x.split()[:8]) for i, x in docs.items() if i % 20 == 0}
+    asked = iv.stored(iv.asked_terms(table(spark, queries), "id", "text"))
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    written, found = [], []
+    for size in (1000, 4):
+        monkeypatch.setattr(iv, "QUERIES", size)
+        rows, n = written_by(spark, shared, lambda: iv.search(iv.read_index(spark, str(tmp_path)), asked, 3).collect())
+        found.append(sorted(map(tuple, rows)))
+        written.append(n)
+    assert found[0] == found[1] and near(found[0], by_hand(docs, queries, 3))
+    assert 0 < written[1] < 2 * written[0], written
+
+
+def test_folders_without_terms(spark, tmp_path):
+    """An index of few terms, the last of whose folders are empty."""
+    docs = {1: "uno", 2: "uno due", 3: "tre"}
+    iv.write_index(iv.blocks(table(spark, docs), "id", "text"), str(tmp_path), 64)
+    index = iv.read_index(spark, str(tmp_path))
+    assert index.agg(F.max("bucket")).first()[0] < 63
+    asked = iv.asked_terms(table(spark, docs), "id", "text")
+    assert near(iv.search(index, asked, 3).collect(), by_hand(docs, docs, 3))
+
+
+def test_many_good_scores_and_ties(spark, monkeypatch):
+    """More documents than a query keeps, with equal scores, by products of matrices alone, by single pairs alone, and in small steps."""
+    draw = random.Random(2)
+    docs = {i: " ".join(draw.choices(["a", "b", "c", "d"], k=3)) for i in range(300)}
+    queries = {i: x for i, x in docs.items() if i % 10 == 0}
+    want, index, asked = by_hand(docs, queries, 4), iv.blocks(table(spark, docs), "id", "text", part_docs=64), iv.asked_terms(table(spark, queries), "id", "text")
+    for dense, pairs in ((64, 1 << 21), (10**9, 1 << 21), (0, 1 << 21), (0, 50)):
+        monkeypatch.setattr(iv, "_DENSE", dense)
+        monkeypatch.setattr(iv, "_PAIRS", pairs)
+        assert near(iv.search(index, asked, 4).collect(), want)
+
+
 def test_italian_stems():
     """Words of the published description and its sample vocabulary."""
     want = {
