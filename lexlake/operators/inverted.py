@@ -21,7 +21,7 @@ from ..sources.scratch import shared_folder, stored
 from .retrieval import B, K1, terms, top_per
 
 #: Documents of a part, queries scored together, and folders of an index on disk.
-PART, QUERIES, BUCKETS = 2048, 1024, 64
+PART, QUERIES, BUCKETS = 2048, 512, 64
 BLOCKS = "part long, term string, n long, max_tf int, min_len int, ids array<long>, tfs array<int>, lens array<int>"
 _SCHEMA = pa.schema([("part", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("max_tf", pa.int32()), ("min_len", pa.int32()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32()))])
 #: The block of a part that lists all its documents, those without words too. No term is empty.
@@ -135,17 +135,19 @@ _QUERIES = "queries int, avg_len double, query_ids array<long>, terms array<stri
 _HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 #: Rows of a file of parts or of blocks of queries, which Spark reads at a time; blocks of queries that a task meets its parts with.
 _FILE_ROWS, _MEET = 8, 16
+#: Bytes of an Arrow batch after which no further row is added.
+_BATCH = 4 << 20
 #: Bits of the filter of asked terms, so 1 MB; more terms than that only leave more blocks in.
 _BITS = 1 << 23
 #: A term is a row of a matrix if its pairs of query and document are at least one of so many cells; pairs of rarer ones are added one by one.
-_DENSE, _PAIRS = 64, 1 << 21
+_DENSE, _PAIRS = 64, 1 << 18
 
 
-def _in_files(df: DataFrame) -> DataFrame:
-    """A stored table of large rows."""
+def _in_files(df: DataFrame) -> str:
+    """The folder of a stored table of large rows."""
     path = shared_folder(df.sparkSession)
     df.write.option("maxRecordsPerFile", _FILE_ROWS).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _asked_blocks(index: DataFrame, named: DataFrame) -> DataFrame:
@@ -163,8 +165,8 @@ def _asked_blocks(index: DataFrame, named: DataFrame) -> DataFrame:
     return index.where(has | (F.col("term") == ALL)).drop("bucket", "buckets")
 
 
-def _parts(found: DataFrame, dead: DataFrame | None) -> DataFrame:
-    """One row for each part with living documents, without the dead ones."""
+def _parts(found: DataFrame, dead: DataFrame | None) -> str:
+    """The table of one row for each part with living documents, without the dead ones."""
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(got, 1):
@@ -199,8 +201,8 @@ def _one(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type))
 
 
-def _query_blocks(asked: DataFrame, idf: DataFrame, n_queries: int) -> DataFrame:
-    """asked: (query_id, term); idf: (term, idf, avg_len). Queries are dealt into blocks of some QUERIES."""
+def _query_blocks(asked: DataFrame, idf: DataFrame, n_queries: int) -> str:
+    """The table of blocks of some QUERIES. asked: (query_id, term); idf: (term, idf, avg_len)."""
     schema = pa.schema([("queries", pa.int32()), ("avg_len", pa.float64()), *((c, pa.list_(t)) for c, t in (("query_ids", pa.int64()), ("terms", pa.string()), ("idf", pa.float64()), ("q", pa.int32()), ("t", pa.int32())))])
 
     def pack(rows: pa.Table) -> pa.Table:
@@ -228,7 +230,9 @@ def search(index: DataFrame, asked: DataFrame, k: int, size: DataFrame | None =
     """
     asked = stored(asked.distinct())
     n_queries = asked.agg(F.approx_count_distinct("query_id")).first()[0]
-    parts = _parts(_asked_blocks(index, asked.select("term").distinct()), dead)
+    spark = index.sparkSession
+    packed = _parts(_asked_blocks(index, asked.select("term").distinct()), dead)
+    parts = spark.read.schema(_PACKED).parquet(packed)
     if size is None:
         words = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
         size = parts.select(F.size("docs").alias("n"), words.alias("words")).agg(F.sum("n").alias("n"), (F.sum("words") / F.sum("n")).alias("avg_len"))
@@ -239,8 +243,8 @@ def search(index: DataFrame, asked: DataFrame, k: int, size: DataFrame | None =
 
     def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, _Best] = {}
-        part, block = None, None
         for batch in got:
+            part, block = None, None
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 number, average = row["queries"].as_py(), row["avg_len"].as_py() or 1.0
@@ -248,16 +252,23 @@ def search(index: DataFrame, asked: DataFrame, k: int, size: DataFrame | None =
                     part = _Part(row, lambda tf, length, a=average: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / a)))
                 if block is None or block.number != number:
                     block = _Block(row)
-                part.meet(block, best.setdefault(number, _Best(block.ids, k)), prune)
+                if number not in best:
+                    best[number] = _Best(np.array(block.ids), k)
+                part.meet(block, best[number], prune)
+            # A batch may be large, and is let go before the next one comes.
+            del batch, row, part, block
         for held in best.values():
             yield held.rows()
 
-    spark = index.sparkSession
+    # Rows are some MB each, so they go to Python a few at a time, by a setting that the caller's session doesn't get.
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
     # Of each query, each share of the parts gives k rows: shares are as many as the machines can use, whatever the table's size.
-    mine = parts.coalesce(4 * spark.sparkContext.defaultParallelism)
-    dealt = queries.coalesce(max(1, math.ceil(n_queries / QUERIES / _MEET)))
-    scored = mine.crossJoin(dealt.withColumnRenamed("terms", "asked")).mapInArrow(run, "query_id long, id long, score double")
-    return top_per(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    mine = own.read.schema(_PACKED).parquet(packed).coalesce(4 * spark.sparkContext.defaultParallelism)
+    dealt = own.read.schema(_QUERIES).parquet(queries).coalesce(max(1, math.ceil(n_queries / QUERIES / _MEET)))
+    hits, path = mine.crossJoin(dealt.withColumnRenamed("terms", "asked")).mapInArrow(run, "query_id long, id long, score double"), shared_folder(spark)
+    hits.write.parquet(path)
+    return top_per(spark.read.schema(hits.schema).parquet(path), ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
 class _Block:
