@@ -145,6 +145,19 @@ def test_postings_are_not_written_for_each_block_of_queries(spark, tmp_path, mon
     assert 0 < written[1] < 2 * written[0], written
 
 
+def test_hybrid_search_writes_postings_once(spark, monkeypatch):
+    """A block for each query instead of one for all: nearly the same is written, and the same found."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    written, found = [], []
+    for size in (1000, 1):
+        monkeypatch.setattr(iv, "QUERIES", size)
+        rows, n = written_by(spark, shared, lambda: QUERIES["hybrid_search"](spark, "/root/testdata/sf0.01").collect())
+        found.append(sorted(map(tuple, rows)))
+        written.append(n)
+    assert len(found[0]) == 100 and found[0] == found[1]
+    assert 0 < written[1] < 1.02 * written[0], written
+
+
 def test_folders_without_terms(spark, tmp_path):
     """An index of few terms, the last of whose folders are empty."""
     docs = {1: "uno", 2: "uno due", 3: "tre"}
